@@ -173,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str
     probes = asking.mapInArrow(probe, "list long, query long, v array<double>").join(F.broadcast(pieces), "list")
     probes = probes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
 
-    def scan(keys, have: pa.Table, ask: pa.Table) -> pa.Table:
+    def scan(keys, have, ask):
         if not have.num_rows or not ask.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         base, ids = _matrix(have["v"]), have["class"].to_numpy()
