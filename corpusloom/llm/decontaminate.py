@@ -170,54 +170,57 @@ def contamination_report(
     it has hit words and they are at least ``hit_share`` of its words.
     """
     blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
-    share = round(1 / hit_share)
 
     def scan(batches):
         items = [Items(*b.value) for b in blocks]
-        depth = max([1, *(x.depth for x in items)])
         for part in slices(batches, "text"):
-            words, row = words_of(part["text"])
-            rows = part.num_rows
-            n_words = np.bincount(row, minlength=rows)
-            shard = Suffixes(words, row, rows, depth)
-            cover = np.zeros(len(shard.text) + 1, np.int64)
-            met: list[set[str]] = [set() for _ in range(rows)]
-            best, where, which = np.zeros(rows, np.int64), np.full(rows, -1), np.full(rows, None, object)
-            for x in items:
-                _, suffix, at = x.search(shard)
-                if not len(at):
-                    continue
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + x.window[suffix], -1)
-                doc = shard.row_of(at)
-                for pair in np.unique(doc * len(x.ids) + x.item[suffix]).tolist():
-                    met[pair // len(x.ids)].add(x.ids[pair % len(x.ids)])
-                n = shard.common(at, x._query, suffix, x.left[suffix])
-                by = np.lexsort((at, -n, doc))
-                top = by[np.append(True, doc[by[1:]] != doc[by[:-1]])]
-                top = top[n[top] > best[doc[top]]]
-                d = doc[top]
-                best[d], where[d], which[d] = n[top], at[top] - shard.heads[d], x.ids[x.item[suffix[top]]]
-            hit = np.add.reduceat((np.cumsum(cover[:-1]) > 0).astype(np.int64), shard.heads[:-1])
-            names = [sorted(m) for m in met]
+            found = _judged(part["text"], items, hit_share)
+            where = found["match_start"]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part["doc_id"].combine_chunks(),
-                    "n_words": n_words.astype(np.int64),
-                    "n_hit": hit,
-                    "n_items": np.array([len(m) for m in names], np.int64),
-                    "items_sha256": [hashlib.sha256(",".join(m).encode()).hexdigest() for m in names],
-                    "contaminated": (hit > 0) & (share * hit >= n_words),
-                    "longest_match": best,
+                    **{k: found[k] for k in ("n_words", "n_hit")},
+                    "n_items": np.array([len(m) for m in found["item_ids"]], np.int64),
+                    "items_sha256": [hashlib.sha256(",".join(m).encode()).hexdigest() for m in found["item_ids"]],
+                    **{k: found[k] for k in ("contaminated", "longest_match")},
                     "match_start": pa.array(where, pa.int64(), mask=where < 0),
-                    "match_item": pa.array(which, pa.string()),
-                    "item_ids": pa.array(names, pa.list_(pa.string())),
+                    "match_item": pa.array(found["match_item"], pa.string()),
+                    "item_ids": pa.array(found["item_ids"], pa.list_(pa.string())),
                 }
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, REPORT)
 
 
+def _judged(column, items: list[Items], hit_share: float) -> dict:
+    """Everything the report says of the rows of one shard."""
+    words, row = words_of(column)
+    rows = len(column)
+    n_words = np.bincount(row, minlength=rows).astype(np.int64)
+    shard = Suffixes(words, row, rows, max([1, *(x.depth for x in items)]))
+    cover = np.zeros(len(shard.text) + 1, np.int64)
+    met: list[set[str]] = [set() for _ in range(rows)]
+    best, where, which = np.zeros(rows, np.int64), np.full(rows, -1), np.full(rows, None, object)
+    for x in items:
+        _, suffix, at = x.search(shard)
+        if not len(at):
+            continue
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + x.window[suffix], -1)
+        doc = shard.row_of(at)
+        for pair in np.unique(doc * len(x.ids) + x.item[suffix]).tolist():
+            met[pair // len(x.ids)].add(x.ids[pair % len(x.ids)])
+        n = shard.common(at, x._query, suffix, x.left[suffix])
+        by = np.lexsort((at, -n, doc))
+        top = by[np.append(True, doc[by[1:]] != doc[by[:-1]])]
+        top = top[n[top] > best[doc[top]]]
+        d = doc[top]
+        best[d], where[d], which[d] = n[top], at[top] - shard.heads[d], x.ids[x.item[suffix[top]]]
+    hit = np.add.reduceat((np.cumsum(cover[:-1]) > 0).astype(np.int64), shard.heads[:-1])
+    dirty = (hit > 0) & (round(1 / hit_share) * hit >= n_words)
+    return {"n_words": n_words, "n_hit": hit, "contaminated": dirty, "longest_match": best, "match_start": where, "match_item": which, "item_ids": [sorted(m) for m in met]}
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The longest verbatim match of every benchmark suffix over all shards, of ``min_words`` words or more.
 
@@ -245,8 +248,16 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 5
     return found.groupBy("item_id", "suffix_start").agg(best.alias("b")).select("item_id", "suffix_start", "b.n_words", (-F.col("b.o")).alias("doc_id"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. Rows with a null id are judged by none and stay."""
-    report = contamination_report(docs.where(F.col(id_col).isNotNull()), benchmark, id_col=id_col, **options)
-    dirty = report.where("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, docs[id_col].cast("long") == dirty["__dirty"], "left_anti")
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hit_share: float = 0.05,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows that are not contaminated, with all their columns, in one pass without a shuffle."""
+    blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
+
+    def keep(batches):
+        items = [Items(*b.value) for b in blocks]
+        for part in slices(batches, text_col):
+            yield from part.filter(pa.array(~_judged(part[text_col], items, hit_share)["contaminated"])).to_batches()
+
+    return docs.mapInArrow(keep, docs.schema)
