@@ -1,20 +1,26 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
 A document's set holds its distinct word shingles. Documents with equal sets become one representative, so a group of
-copies of any size costs one row from there on. A signature has ``COORDINATES`` values; each joins ``FOLD`` minima, so
-two documents agree in one with the probability of their similarity to the power ``FOLD``. Representatives are posted
-under each (coordinate, value) of the signature's prefix. A pair with ``MATCHES`` equal coordinates of all must meet in
-that prefix, which is why the rest needs no posts (prefix filter). At similarity 0.8 a true pair has fewer than
-``MATCHES`` agreements with a probability under 1e-6, at 0.85 under 2e-9; these are the only links that can be missed.
+copies of any size costs one row from there on. A signature has ``COORDINATES`` minima. A pair is a candidate if at least
+``matches(percent)`` coordinates agree, the largest number that a pair at the threshold misses with a probability of at most
+``MISS`` (more similar pairs miss it far less often); these are the only links that can be lost.
+
+Values are ordered by how many representatives hold them, rarest first, over the whole corpus. A pair with enough equal
+coordinates must share one of the first (coordinates - matches + 1) of each side in that order (prefix filter), so a
+representative is posted there only. Values that one document holds alone fill the prefix first and need no post: common
+passages, whose minima very many documents share, come last and make no lists.
 
 Lists are merged without pairing all members (skip merging): the first round pairs each list's members with its pivot,
-the member that shares most posts with others. Later rounds pair only members that are still in different components,
-since a pair within one component cannot change the result. Pairs with enough equal coordinates are confirmed on their
-full sets, and components come from an iterative star contraction. Nothing here is capped.
+the member whose posts are shared most, and confirms pairs with enough equal coordinates on their full sets. After
+it only members in different components matter, since a pair within one component cannot change the result. They are
+compared on their full sets within tasks, chunk by chunk of a list, and only links leave the task: neither all
+members of a list nor all its pairs are ever gathered. Components come from a star contraction. Nothing is capped.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +29,19 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER, SPACED, materialize, mix, slices, span_hashes, utf8, word_bounds
 from corpusloom.llm.components import connected_components
 
-COORDINATES, FOLD, MATCHES = 32, 3, 4
-PREFIX = COORDINATES - MATCHES + 1
-_FACTORS = np.random.default_rng(20_240_607).integers(1, 1 << 63, COORDINATES * FOLD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COORDINATES, MISS, CHUNK = 64, 1e-6, 128
+_FACTORS = np.random.default_rng(20_240_607).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def matches(percent: int) -> int:
+    """Coordinates that must agree: fewer do with a probability of at most MISS at the threshold."""
+    p, below, t = percent / 100, 0.0, 0
+    while t < COORDINATES:
+        below += comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+        if below > MISS:
+            break
+        t += 1
+    return max(1, t)
 
 
 def shingle_hashes(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +80,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 set_a[full] = np.add.reduceat(hashes, heads)
                 set_b[full] = np.add.reduceat(mix(hashes), heads)
                 for k, factor in enumerate(_FACTORS):
-                    least = np.minimum.reduceat(hashes * factor, heads)
-                    c = k // FOLD
-                    values[:, c] = mix(values[:, c] * np.uint64(31) + least + np.uint64(c + 1))
+                    values[:, k] = mix(np.minimum.reduceat(hashes * factor, heads) + np.uint64(k + 1))
             ends = np.zeros(len(sizes) + 1, np.int32)
             ends[1:] = np.cumsum((sizes > 0) * COORDINATES)
             yield pa.RecordBatch.from_pydict(
@@ -96,12 +110,63 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: in
     """Pairs (a, b) with enough equal coordinates whose full sets are similar enough."""
     side = lambda df, column, x: df.select(F.col("doc_id").alias(x), F.col(column).alias(f"{column}_{x}"))
     agree = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.join(side(signed, "signature", "b"), "b").join(side(signed, "signature", "a"), "a").where(agree >= MATCHES).select("a", "b")
+    pairs = pairs.join(side(signed, "signature", "b"), "b").join(side(signed, "signature", "a"), "a").where(agree >= matches(percent)).select("a", "b")
     both = pairs.join(side(sets, "shingles", "b"), "b").join(side(sets, "shingles", "a"), "a")
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     return both.where(100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
 
 
+def _members(row) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    own = [np.array([m[c].as_py() for m in row], np.int64) for c in ("rep", "component")]
+    return *own, *([np.array(m[c].as_py(), np.int64) for m in row] for c in ("posts", "shingles"))
+
+
+def _incidence(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 matrices of both sides over the values that both have."""
+    every = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    shared = np.intersect1d(*every)
+    out = []
+    for side, flat in zip((left, right), every, strict=True):
+        matrix = np.zeros((len(side), len(shared)), np.float32)
+        if len(shared):
+            row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+            at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+            good = shared[at] == flat
+            matrix[row[good], at[good]] = 1
+        out.append(matrix)
+    return out[0], out[1]
+
+
+def _block_links(percent: int):
+    """Links between the members of two chunks of one list; only pairs whose smallest shared value is the list's."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                value = batch.column("value")[k].as_py()
+                ra, ca, pa_, sa = _members(batch.column("members")[k])
+                rb, cb, pb, sb = _members(batch.column("members_b")[k])
+                wanted = (ca[:, None] != cb[None, :]) & (ra[:, None] != rb[None, :])
+                low_a, low_b = _incidence([p[p < value] for p in pa_], [p[p < value] for p in pb])
+                wanted &= low_a @ low_b.T == 0
+                na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+                wanted &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+                rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+                if not len(rows):
+                    continue
+                common = np.zeros((len(rows), len(columns)), np.int64)
+                step = max(1, (1 << 23) // max(1, int(nb[columns].sum())))
+                for i in range(0, len(rows), step):
+                    x, y = _incidence([sa[r] for r in rows[i : i + step]], [sb[c] for c in columns])
+                    common[i : i + step] = np.rint(x @ y.T)
+                alike = 100 * common >= percent * (na[rows][:, None] + nb[columns][None, :] - common)
+                i, j = np.nonzero(alike & wanted[np.ix_(rows, columns)])
+                a, b = ra[rows[i]], rb[columns[j]]
+                yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -116,9 +181,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     real = signed.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = real.join(classes, ["set_a", "set_b"]).where("doc_id = rep").dropDuplicates(["set_a", "set_b"]).select("doc_id", "signature")
-    posts = reps.select(F.col("doc_id").alias("rep"), F.explode(F.slice("signature", 1, PREFIX)).alias("value"))
-    lists = posts.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    posts = materialize(posts.join(lists, "value"))
+    values = reps.select(F.col("doc_id").alias("rep"), F.explode("signature").alias("value"))
+    shared = values.join(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
+    rare = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("p"))  # COORDINATES at most
+    slots = F.size("p") - (matches(percent) - 1)  # of the prefix, after the values that no other document holds
+    posts = materialize(rare.where(slots > 0).select("rep", F.explode(F.slice("p", 1, slots)).alias("x")).select("rep", "x.value", "x.n"))
     weight = posts.groupBy("rep").agg(F.sum("n").alias("weight"))
     pivots = posts.join(weight, "rep").groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("o"))).alias("top")).select("value", (-F.col("top.o")).alias("pivot"))
     posted = weight.select(F.col("rep").alias("doc_id"))
@@ -128,16 +195,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     links = materialize(_confirmed(tested, signed_reps, sets, percent))
 
     # Members of one list in different components after the pivot round: the rest of the list's pairs that matter.
-    part = connected_components(links)
-    placed = posts.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("component"))
+    part = connected_components(links).withColumnRenamed("node", "rep")
+    placed = posts.join(part, "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("value", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("value").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    open_ = placed.join(largest.select("value", F.col("top.component").alias("main")), "value")
-    few = open_.where("component <> main").select("value", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    rest = few.join(open_.select("value", F.col("rep").alias("y"), F.col("component").alias("cy")), "value").where("cx <> cy")
-    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    links = links.union(_confirmed(rest, signed_reps, sets, percent))
+    lists = sizes.groupBy("value").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+    lists = lists.where("parts > 1 and members > 2").select("value", F.ceil(F.col("members") / CHUNK).alias("chunks"), F.col("top.component").alias("main"))
+    mine = posts.groupBy("rep").agg(F.array_sort(F.collect_list("value")).alias("posts"))  # COORDINATES at most
+    open_ = materialize(placed.join(lists, "value"))
+    facts = mine.join(open_.select("rep").distinct(), "rep", "left_semi").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    member = F.struct("rep", "component", "posts", "shingles")
+    chunks = open_.join(facts, "rep").groupBy("value", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk")).agg(F.collect_list(member).alias("members"), F.max(F.col("component") != F.col("main")).alias("open"))
+    right = chunks.select("value", F.col("chunk").alias("chunk_b"), F.col("members").alias("members_b"), F.col("open").alias("open_b"))
+    blocks = chunks.join(right, "value").where("chunk <= chunk_b and (open or open_b)").select("value", "members", "members_b")
+    links = links.union(blocks.mapInArrow(_block_links(percent), "a long, b long"))
 
     parts = connected_components(links.union(_several_texts(real, classes)))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
