@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER, SPACED, Lookup, materialize, mix, partitions, slices, span_hashes, utf8, word_bounds
 
 DEPTH = 5
-BLOCK_BYTES, FAN, GROUP, MOST_SHARDS = 10 << 20, 64, 256, 512
+BLOCK_BYTES, FAN, GROUP, MOST_SHARDS = 6 << 20, 64, 256, 512
 END = np.uint64(0x5EED_0F_E17D)  # key of the end mark among the words
 _PAD = b" " + b"\n" * DEPTH
 _WORDS, _GRAMS = 0, 1
@@ -87,8 +87,11 @@ class Block:
 
     def row_grams(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct grams of some rows, ascending, and how often each stands there."""
-        parts = [self.grams(a, b) for a, b in zip(self.first[rows], self.last[rows], strict=True)]
-        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        edge = np.zeros(len(self.stream) + 1, np.int8)
+        np.add.at(edge, self.first[rows], 1)
+        np.add.at(edge, self.last[rows], -1)
+        inside = np.cumsum(edge[DEPTH:-1], dtype=np.int8) > 0
+        return np.unique(self.grams(DEPTH, len(self.stream))[inside], return_counts=True)
 
 
 def _shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
@@ -305,7 +308,7 @@ def _scored(shards: int, total: int, distinct: int):
             n_words = np.bincount(block.word_row, minlength=block.rows)
             base = np.bincount(block.word_row, logs[:-1], minlength=block.rows) + logs[-1]
             known = np.bincount(block.word_row, seen[:-1] > 0, minlength=block.rows).astype(np.int64) + int(seen[-1] > 0)
-            grams = np.unique(np.concatenate([block.row_grams(np.arange(i, min(i + 2000, block.rows)))[0] for i in range(0, block.rows, 2000)]))
+            grams = block.row_grams(np.arange(block.rows))[0]
             order, bounds = _sharded(_GRAMS, grams, shards)
             value = np.empty(len(grams), np.float32)
             for s in np.flatnonzero(np.diff(bounds)):
