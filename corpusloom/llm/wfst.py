@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Lookup, slices, span_hashes, utf8
 
 SPACE = "▁"
-_SLICE = 6 << 20
+_SLICE, LATTICE_BYTES = 4 << 20, 1 << 19
 
 
 def _fields(raw: bytes):
@@ -226,11 +226,11 @@ class Encoder:
         token = np.concatenate([*arc_token, np.full(len(bare), self.unknown)]) if len(start) else start
         # Shortest path: nodes by their place in the unit, all units at once.
         goal = inner[start] + size if len(start) else start
-        by = np.lexsort((-size, goal))
+        by = np.argsort(goal.astype(np.uint16) if goal.max(initial=0) < 1 << 16 else goal, kind="stable")
         start, size, token, goal = start[by], size[by], token[by], goal[by]
         last = np.full(len(text) + 1, -1, np.int64)  # token of the best arc into the position behind each byte
         back = np.zeros(len(text) + 1, np.int64)
-        cost = np.full(len(text) + 1, np.inf)
+        cost = np.full(len(text) + 1 if t.unigram else 0, np.inf)
         bounds = np.searchsorted(goal, np.arange(1, int(goal.max(initial=0)) + 2))
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             s, z, k = start[lo:hi], size[lo:hi], token[lo:hi]
@@ -241,15 +241,15 @@ class Encoder:
                 weight = np.where(k == self.unknown, 10 - t.scores.min(), -t.scores[np.minimum(k, self.unknown - 1)])
                 total = np.where(opens, 0, cost[s - 1]) + weight
                 order = np.lexsort((total, stop))
-            else:
+                top = order[np.append(True, stop[order[1:]] != stop[order[:-1]])] if len(order) else order
+                top = top[np.isfinite(total[top])]
+                cost[stop[top]] = total[top]
+            else:  # at most one arc into a position has finite weight
                 fine = opens.copy()
                 check = np.flatnonzero(~opens & (before >= 0))
                 fine[check] = self._may_follow(before[check], k[check])
-                total = np.where(fine, 0.0, np.inf)
-                order = np.lexsort((total, stop))
-            top = order[np.append(True, stop[order[1:]] != stop[order[:-1]])] if len(order) else order
-            top = top[np.isfinite(total[top])]
-            last[stop[top]], back[stop[top]], cost[stop[top]] = k[top], z[top], total[top]
+                top = np.flatnonzero(fine)
+            last[stop[top]], back[stop[top]] = k[top], z[top]
         # Read the paths from their ends; unknown characters become their bytes.
         spot, owner, chain = base + sizes - 1, np.arange(len(heads)), []
         live = np.flatnonzero(sizes > 0)
@@ -273,6 +273,14 @@ class Encoder:
         out = np.where(bare[grown], np.where(byte >= 0, byte, t.unknown_id), tok[grown])
         return out, np.concatenate([[0], np.cumsum(np.bincount(own[grown], minlength=len(heads)))])
 
+    def _in_parts(self, data: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_units() over lattices of about LATTICE_BYTES, which bounds its memory."""
+        part = np.cumsum(ends - heads) // LATTICE_BYTES
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(heads)]])
+        got = [self.encode_units(data, heads[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        sizes = np.concatenate([np.diff(b) for _, b in got])
+        return np.concatenate([tok for tok, _ in got]).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all rows in a line, and the bounds of the rows in them."""
         t = self.t
@@ -305,7 +313,7 @@ class Encoder:
         heads = np.flatnonzero(opens)
         ends = np.append(heads[1:], len(data))
         _, one, place = np.unique(span_hashes(data, heads, ends), return_index=True, return_inverse=True)
-        tokens, bounds = self.encode_units(data, heads[one], ends[one])
+        tokens, bounds = self._in_parts(data, heads[one], ends[one])
         counts = np.diff(bounds)[place]
         total = np.concatenate([[0], np.cumsum(counts)])
         each = np.repeat(bounds[:-1][place] - total[:-1], counts) + np.arange(total[-1])
@@ -376,7 +384,7 @@ def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", text_col: str =
 
 
 def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, n_tokens, ids_sha256 (of the ids, comma-joined) and exact: whether decoding gives the text back."""
+    """doc_id, ids, n_tokens, ids_sha256 (of the ids as 32-bit little-endian integers) and exact: whether decoding gives the text back."""
     shared = _shared(docs.sparkSession, model)
     mark = SPACE.encode()
 
@@ -387,7 +395,7 @@ def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col:
             data, offsets = encoder.decode(tokens, bounds)
             before, at = utf8(part["text"])
             same = [data[a:b].tobytes() == before[c:d].tobytes().replace(mark, b" ") for a, b, c, d in zip(offsets[:-1], offsets[1:], at[:-1], at[1:], strict=True)]
-            digests = [hashlib.sha256(",".join(map(str, tokens[a:b].tolist())).encode()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            digests = [hashlib.sha256(tokens[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].combine_chunks(), "ids": _lists(tokens, bounds), "n_tokens": np.diff(bounds), "ids_sha256": digests, "exact": same})
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
