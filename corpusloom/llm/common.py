@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -37,6 +38,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """At most ``rows`` rows reach Python at once in what is run inside; the session's own bound holds again after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,6 +88,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
                 held, used = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    _powers.clear()  # workers live on after a task; what it no longer needs goes back
+    pa.default_memory_pool().release_unused()
 
 
 #: ASCII A-Z to a-z, other bytes unchanged.

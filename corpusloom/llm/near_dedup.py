@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, SPACED, materialize, mix, slices, span_hashes, utf8, word_bounds
+from corpusloom.llm.common import LOWER, SPACED, materialize, mix, slices, small_batches, span_hashes, utf8, word_bounds
 from corpusloom.llm.components import connected_components
 
-COORDINATES, MISS, CHUNK = 64, 1e-6, 128
+COORDINATES, MISS, CHUNK, _STRIP = 64, 1e-6, 64, 8192
 _FACTORS = np.random.default_rng(20_240_607).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -116,25 +116,38 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: in
     return both.where(100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
 
 
-def _members(row) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    own = [np.array([m[c].as_py() for m in row], np.int64) for c in ("rep", "component")]
-    return *own, *([np.array(m[c].as_py(), np.int64) for m in row] for c in ("posts", "shingles"))
-
-
-def _incidence(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 matrices of both sides over the values that both have."""
-    every = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
-    shared = np.intersect1d(*every)
-    out = []
-    for side, flat in zip((left, right), every, strict=True):
-        matrix = np.zeros((len(side), len(shared)), np.float32)
-        if len(shared):
-            row = np.repeat(np.arange(len(side)), [len(x) for x in side])
-            at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
-            good = shared[at] == flat
-            matrix[row[good], at[good]] = 1
-        out.append(matrix)
-    return out[0], out[1]
+def _members(column: pa.ListArray, k: int):
+    """Ids, components, and posts and sets (values and bounds) of the members in row k."""
+    at = column.offsets.to_numpy()
+    rows = column.values.slice(at[k], at[k + 1] - at[k])
+    lists = []
+    for name in ("posts", "shingles"):
+        x = rows.field(name)
+        bounds = x.offsets.to_numpy()
+        lists.append((x.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0]))
+    return rows.field("rep").to_numpy(), rows.field("component").to_numpy(), *lists
+
+
+def _shared_counts(left, right, below: int | None = None) -> np.ndarray:
+    """How many values each left member shares with each right one, in strips of the shared values."""
+    shared = np.intersect1d(left[0], right[0])
+    if below is not None:
+        shared = shared[shared < below]
+    out = np.zeros((len(left[1]) - 1, len(right[1]) - 1), np.float32)
+    places = []
+    for flat, bounds in (left, right):
+        at = np.searchsorted(shared, flat)
+        good = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == flat) if len(shared) else at[:0]
+        places.append((np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[good], at[good]))
+    for strip in range(0, len(shared), _STRIP):
+        both = []
+        for (row, at), n in zip(places, out.shape, strict=True):
+            matrix = np.zeros((n, min(_STRIP, len(shared) - strip)), np.float32)
+            inside = (at >= strip) & (at < strip + _STRIP)
+            matrix[row[inside], at[inside] - strip] = 1
+            both.append(matrix)
+        out += both[0] @ both[1].T
+    return np.rint(out).astype(np.int64)
 
 
 def _block_links(percent: int):
@@ -144,24 +157,17 @@ def _block_links(percent: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 value = batch.column("value")[k].as_py()
-                ra, ca, pa_, sa = _members(batch.column("members")[k])
-                rb, cb, pb, sb = _members(batch.column("members_b")[k])
-                wanted = (ca[:, None] != cb[None, :]) & (ra[:, None] != rb[None, :])
-                low_a, low_b = _incidence([p[p < value] for p in pa_], [p[p < value] for p in pb])
-                wanted &= low_a @ low_b.T == 0
-                na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
-                wanted &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
-                rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
-                if not len(rows):
+                ra, ca, posts_a, sets_a = _members(batch.column("members"), k)
+                rb, cb, posts_b, sets_b = _members(batch.column("members_b"), k)
+                na, nb = np.diff(sets_a[1])[:, None], np.diff(sets_b[1])[None, :]
+                wanted = (ca[:, None] != cb[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                if wanted.any():
+                    wanted &= _shared_counts(posts_a, posts_b, value) == 0
+                if not wanted.any():
                     continue
-                common = np.zeros((len(rows), len(columns)), np.int64)
-                step = max(1, (1 << 23) // max(1, int(nb[columns].sum())))
-                for i in range(0, len(rows), step):
-                    x, y = _incidence([sa[r] for r in rows[i : i + step]], [sb[c] for c in columns])
-                    common[i : i + step] = np.rint(x @ y.T)
-                alike = 100 * common >= percent * (na[rows][:, None] + nb[columns][None, :] - common)
-                i, j = np.nonzero(alike & wanted[np.ix_(rows, columns)])
-                a, b = ra[rows[i]], rb[columns[j]]
+                common = _shared_counts(sets_a, sets_b)
+                i, j = np.nonzero(wanted & (100 * common >= percent * (na + nb - common)))
+                a, b = ra[i], rb[j]
                 yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return run
@@ -207,7 +213,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     chunks = open_.join(facts, "rep").groupBy("value", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk")).agg(F.collect_list(member).alias("members"), F.max(F.col("component") != F.col("main")).alias("open"))
     right = chunks.select("value", F.col("chunk").alias("chunk_b"), F.col("members").alias("members_b"), F.col("open").alias("open_b"))
     blocks = chunks.join(right, "value").where("chunk <= chunk_b and (open or open_b)").select("value", "members", "members_b")
-    links = links.union(blocks.mapInArrow(_block_links(percent), "a long, b long"))
+    with small_batches(docs.sparkSession, 8):  # a row holds two chunks with their sets
+        links = links.union(materialize(blocks.mapInArrow(_block_links(percent), "a long, b long")))
 
     parts = connected_components(links.union(_several_texts(real, classes)))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))

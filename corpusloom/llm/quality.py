@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         m = shared.value
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             x = (pooled(part["text"], m.contexts, part.num_rows) - m.centre) / m.scale
             logit = np.clip(_forward(m.layers, np.clip(x, -12, 12)) / m.temperature, -40, 40)
             yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].combine_chunks(), "score": 1 / (1 + np.exp(-logit))})
@@ -175,7 +175,7 @@ def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col:
 
     def run(batches):
         m = shared.value
-        for part in slices(batches, text_col, 2 << 20):
+        for part in slices(batches, text_col, 1 << 20):
             x = (pooled(part[text_col], m.contexts, part.num_rows) - m.centre) / m.scale
             logit = np.clip(_forward(m.layers, np.clip(x, -12, 12)) / m.temperature, -40, 40)
             yield from part.filter(pa.array(1 / (1 + np.exp(-logit)) >= threshold)).to_batches()
