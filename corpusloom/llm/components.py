@@ -35,6 +35,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if tuple(now) == state or now["n"] == 0:
             break
         state = tuple(now)
-        edges = materialize(_small_star(_large_star(edges)))
+        edges = materialize(_small_star(_large_star(edges)), now["n"])
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

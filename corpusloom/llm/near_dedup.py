@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, shingle))
+    n = signed.count()
     real = signed.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = real.join(classes, ["set_a", "set_b"]).where("doc_id = rep").dropDuplicates(["set_a", "set_b"]).select("doc_id", "signature")
@@ -191,14 +192,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     shared = values.join(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
     rare = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("p"))  # COORDINATES at most
     slots = F.size("p") - (matches(percent) - 1)  # of the prefix, after the values that no other document holds
-    posts = materialize(rare.where(slots > 0).select("rep", F.explode(F.slice("p", 1, slots)).alias("x")).select("rep", "x.value", "x.n"))
+    posts = materialize(rare.where(slots > 0).select("rep", F.explode(F.slice("p", 1, slots)).alias("x")).select("rep", "x.value", "x.n"), n)
     weight = posts.groupBy("rep").agg(F.sum("n").alias("weight"))
     pivots = posts.join(weight, "rep").groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("o"))).alias("top")).select("value", (-F.col("top.o")).alias("pivot"))
     posted = weight.select(F.col("rep").alias("doc_id"))
-    signed_reps = materialize(reps.join(posted, "doc_id", "left_semi"))
+    signed_reps = materialize(reps.join(posted, "doc_id", "left_semi"), n)
     sets = materialize(shingle_sets(docs.join(posted, "doc_id", "left_semi").select("doc_id", "text"), shingle))
-    tested = materialize(posts.join(pivots, "value").where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct())
-    links = materialize(_confirmed(tested, signed_reps, sets, percent))
+    tested = materialize(posts.join(pivots, "value").where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct(), n)
+    links = materialize(_confirmed(tested, signed_reps, sets, percent), n)
 
     # Members of one list in different components after the pivot round: the rest of the list's pairs that matter.
     part = connected_components(links).withColumnRenamed("node", "rep")
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     lists = sizes.groupBy("value").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
     lists = lists.where("parts > 1 and members > 2").select("value", F.ceil(F.col("members") / CHUNK).alias("chunks"), F.col("top.component").alias("main"))
     mine = posts.groupBy("rep").agg(F.array_sort(F.collect_list("value")).alias("posts"))  # COORDINATES at most
-    open_ = materialize(placed.join(lists, "value"))
+    open_ = materialize(placed.join(lists, "value"), n)
     facts = mine.join(open_.select("rep").distinct(), "rep", "left_semi").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     member = F.struct("rep", "component", "posts", "shingles")
     chunks = open_.join(facts, "rep").groupBy("value", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk")).agg(F.collect_list(member).alias("members"), F.max(F.col("component") != F.col("main")).alias("open"))

@@ -118,37 +118,37 @@ def _near(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> Data
 
 def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_key, start, end, kind (its number) of candidates that trusted patterns reach."""
-    spark = docs.sparkSession
+    spark, n = docs.sparkSession, places.count()
     seeds = places.where("seeds is not null").select(F.explode(F.arrays_zip("base", "seeds")).alias("x"))
     seeds = seeds.select(F.col("x.base.kind").alias("kind"), F.col("x.seeds.value").alias("value"), F.explode("x.seeds.patterns").alias("pattern")).distinct()
     other = places.where("candidates is not null").select("doc_id", "text_key", F.explode("candidates").alias("x")).select("doc_id", "text_key", "x.*")
     other = materialize(other)
-    edges = materialize(other.select("value", F.explode("patterns").alias("pattern")).distinct())
-    known = materialize(seeds.withColumn("weight", F.lit(1.0)))
+    edges = materialize(other.select("value", F.explode("patterns").alias("pattern")).distinct(), n)
+    known = materialize(seeds.withColumn("weight", F.lit(1.0)), n)
     nothing = spark.createDataFrame([], "doc_id long, text_key long, start int, end int, kind int")
     if edges.isEmpty():
         return nothing
     # Patterns that could be trusted: enough seeds, or candidates beside enough seeds later on. Their places are counted once.
     hopeful = known.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}").select("pattern")
-    hopeful = materialize(hopeful.union(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}").select("pattern")).distinct())
+    hopeful = materialize(hopeful.union(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}").select("pattern")).distinct(), n)
     if hopeful.isEmpty():
         return nothing
     words = F.split(F.lower("text"), r"\s+")
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     places_of = _near(docs.select(F.explode(F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 2, F.lit(0))))).alias("pattern")), hopeful, "pattern", "left_semi")
-    common = materialize(places_of.groupBy("pattern").agg(F.count("*").alias("places")))
+    common = materialize(places_of.groupBy("pattern").agg(F.count("*").alias("places")), n)
     answers = None
     for _ in range(rounds):
         support = known.groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).where(f"n >= {MIN_SUPPORT}")
         trusted = support.join(common, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("weight") / F.greatest("places", "n")).alias("precision"))
-        trusted = materialize(trusted.where(f"precision >= {MIN_PRECISION}"))
+        trusted = materialize(trusted.where(f"precision >= {MIN_PRECISION}"), n)
         reached = _near(edges, trusted, "pattern").where(_fits(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.col("value")))
         reached = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("weight"))
         best = reached.groupBy("value").agg(F.max(F.struct("weight", (-F.col("kind")).alias("o"))).alias("b"))
-        answers = materialize(best.where(f"b.weight >= {MIN_SCORE}").select("value", (-F.col("b.o")).alias("kind"), F.col("b.weight").alias("weight")))
+        answers = materialize(best.where(f"b.weight >= {MIN_SCORE}").select("value", (-F.col("b.o")).alias("kind"), F.col("b.weight").alias("weight")), n)
         if answers.isEmpty():
             return nothing
-        known = materialize(seeds.withColumn("weight", F.lit(1.0)).unionByName(edges.join(answers, "value").select("kind", "value", "pattern", "weight")))
+        known = materialize(seeds.withColumn("weight", F.lit(1.0)).unionByName(edges.join(answers, "value").select("kind", "value", "pattern", "weight")), n)
     # A known value counts where a trusted pattern of its kind stands before it.
     held = _near(other.join(answers.select("value", "kind"), "value").withColumn("pattern", F.explode("patterns")), trusted.select("pattern", F.col("kind").alias("k")), "pattern")
     return held.where("kind = k").select("doc_id", "text_key", "start", "end", "kind").distinct()
