@@ -4,8 +4,8 @@ Every word falls in one of ``BUCKETS`` hash buckets and has a fixed random sign
 vector of a bucket is the sum of the index vectors seen around it; words are taken as written, and also by shape (runs
 of capitals, small letters, digits and the marks themselves). A document is the mean of the vectors of its words. The
 network is trained with numpy on the driver from at most ``FIT_ROWS`` labelled documents, chosen by hash, and its
-logits are divided by a temperature fitted on a fifth of them that the network does not see. Scoring reads every whole
-text once and shuffles nothing; the model is a broadcast of fixed size.
+logits are divided by a temperature fitted on a fifth of them that the network does not see. Fitting reads the corpus once
+and keeps the chosen rows as a written table. Scoring reads every whole text once and shuffles nothing; the model is a broadcast of fixed size.
 
 A null or empty text, or one without words, has the zero vector and the score the network gives that. Null labels and
 labels of unknown documents are left out; of several labels for one document the largest counts. Without any label all
@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACED, slices, span_hashes, utf8, word_bounds
+from corpusloom.llm.common import SPACED, materialize, slices, span_hashes, utf8, word_bounds
 
 FIT_ROWS, BUCKETS, SIZE, HIDDEN, REACH = 8192, 1 << 14, 32, 32, 2
+FIT_TASKS, BLOCKS = 8, 64
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 128
 _INDEX = np.random.default_rng(3).choice(np.array([-1, 0, 0, 0, 1], np.float32), (2, BUCKETS, SIZE))
@@ -66,7 +67,13 @@ def _context_sums(batches):
                     heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
                     if len(heads):
                         sums[kind, owner[heads]] += np.add.reduceat(_INDEX[kind, other] * times[:, None].astype(np.float32), heads)
-    yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"block": np.arange(BLOCKS, dtype=np.int32), "sums": pa.array([b.tobytes() for b in np.split(sums.reshape(-1), BLOCKS)], pa.binary())})
+
+
+def _total(part: pa.Table) -> pa.Table:
+    """One block of the sums over all tasks."""
+    total = np.sum([np.frombuffer(b, np.float32) for b in part["sums"].to_pylist()], axis=0, dtype=np.float32)
+    return pa.table({"block": part["block"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def pooled(column, contexts: np.ndarray, rows: int) -> np.ndarray:
@@ -122,10 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = labels.where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col("label").cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     fit = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # fit_rows rows at most
-    fit = fit.select("text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).alias("fold"))
-    contexts = np.zeros((2, BUCKETS, SIZE), np.float32)
-    for r in fit.select("text").coalesce(8).mapInArrow(_context_sums, "sums binary").collect():  # 8 rows of 4 MB at most
-        contexts += np.frombuffer(r["sums"], np.float32).reshape(contexts.shape)
+    fit = fit.select("id", "text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).alias("fold"))
+    fit = materialize(fit.repartition(FIT_TASKS, "id")).coalesce(FIT_TASKS)  # all tasks read the corpus once; few work on the chosen rows
+    summed = fit.select("text").mapInArrow(_context_sums, "block int, sums binary").groupBy("block").applyInArrow(_total, "block int, sums binary")
+    contexts = np.zeros((BLOCKS, 2 * BUCKETS * SIZE // BLOCKS), np.float32)
+    for r in summed.collect():  # 4 MB in all
+        contexts[r["block"]] = np.frombuffer(r["sums"], np.float32)
+    contexts = contexts.reshape(2, BUCKETS, SIZE)
     length = np.linalg.norm(contexts, axis=2, keepdims=True)
     contexts = contexts / np.where(length > 0, length, 1)
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
@@ -135,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             rows = pooled(part["text"], shared.value, part.num_rows)
             yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in rows], "label": part["label"].combine_chunks(), "fold": part["fold"].combine_chunks()})
 
-    got = fit.mapInArrow(pool, "x binary, label int, fold long").collect()
+    got = fit.select("text", "label", "fold").mapInArrow(pool, "x binary, label int, fold long").collect()
+    shared.destroy()
     width = 4 * SIZE + 2
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, width).astype(np.float64)
     y = np.array([float(r["label"] > 0) for r in got])
