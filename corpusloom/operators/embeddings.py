@@ -9,34 +9,55 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import unit
 
-MOST_ROWS = 20_000  # bound of the sampled side that is broadcast
+BLOCK_ROWS = 4096  # vectors of a block; a task holds two blocks and their products
+FEWEST_BLOCKS = 4
 
 
-def _block(rows: DataFrame, vector: str) -> np.ndarray:
-    """A bounded sample as unit rows; larger inputs are refused, so sample first."""
-    got = rows.select(unit(F.col(vector)).alias("v")).where("v is not null").limit(MOST_ROWS + 1).toPandas()
-    if len(got) > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} vectors; take a sample first")
-    return np.array(got["v"].tolist(), np.float64)
+def _units(rows: DataFrame, vector: str, *columns) -> DataFrame:
+    """``columns`` and v, the vector at length 1; null and zero vectors and those with null or non-finite components are left out."""
+    return rows.select(*columns, unit(F.col(vector)).alias("v")).where("v is not null").where(~F.exists("v", F.isnan))
 
 
-def _kernel_sum(rows: DataFrame, other, vector: str, sigma: float) -> tuple[float, int]:
-    def run(parts):
-        y = other.value
-        for pdf in parts:
-            x = np.array(pdf["v"].tolist(), np.float64)
-            far = np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T)
-            yield pd.DataFrame({"s": [float(np.exp(-far / (2 * sigma * sigma)).sum())], "n": [len(x)]})
+def _block_pairs(x: DataFrame, y: DataFrame, key: str):
+    """Cogroups of every block of x with every block of y. Rows are dealt to blocks by a hash of ``key``, so no block grows with the input."""
+    blocks = [max(FEWEST_BLOCKS, -(-side.count() // BLOCK_ROWS)) for side in (x, y)]
+
+    def dealt(side: DataFrame, own: int) -> DataFrame:
+        names = ("xb", "yb") if own == 0 else ("yb", "xb")
+        side = side.withColumn(names[0], F.pmod(F.xxhash64(key), F.lit(blocks[own])))
+        return side.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - own] - 1)).cast("array<long>")))
+
+    other = dealt(y, 1)
+    other = other.select("xb", "yb", *[F.col(c).alias(f"y_{c}") for c in y.columns])  # columns of its own, as x and y may be the same rows
+    return dealt(x, 0).groupBy("xb", "yb").cogroup(other.groupBy("xb", "yb"))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), np.float64)
+
 
-    got = rows.select(unit(F.col(vector)).alias("v")).where("v is not null").mapInPandas(run, "s double, n long").agg(F.sum("s"), F.sum("n")).first()
-    return got[0] or 0.0, got[1] or 0
+def _kernel_sum(x: DataFrame, y: DataFrame, sigma: float) -> float:
+    """Sum of the kernel over all pairs of the weighted vectors."""
 
+    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"s": []}, dtype=np.float64)
+        kernel = np.exp((np.minimum(1, _matrix(a["v"]) @ _matrix(b["y_v"]).T) - 1) / (sigma * sigma))
+        return pd.DataFrame({"s": [float(a["w"].to_numpy() @ kernel @ b["y_w"].to_numpy())]})
 
-def rbf_mmd(x: DataFrame, y: DataFrame, vector: str = "embedding", sigma: float = 1.0, biased: bool = True) -> float:
-    """Squared maximum mean discrepancy of two samples of unit vectors; each block of x meets a broadcast bounded y."""
-    context = x.sparkSession.sparkContext
-    bx, by = context.broadcast(_block(x, vector)), context.broadcast(_block(y, vector))
-    (xx, n), (yy, m), (xy, _) = _kernel_sum(x, bx, vector, sigma), _kernel_sum(y, by, vector, sigma), _kernel_sum(x, by, vector, sigma)
+    return _block_pairs(x, y, "v").applyInPandas(met, "s double").agg(F.sum("s")).first()[0] or 0.0
+
+
+def rbf_mmd(x: DataFrame, y: DataFrame, vector: str = "embedding", sigma: float = 1.0, biased: bool = True) -> float | None:
+    """Squared maximum mean discrepancy of two sets of unit vectors, over all pairs in blocks; equal vectors are one with a weight.
+
+    The work grows with the square of the sets, the memory of a task does not. None where a set has too few vectors.
+    """
+    wx, wy = (_units(side, vector).groupBy("v").agg(F.count("*").alias("w")) for side in (x, y))
+    n, m = (side.agg(F.sum("w")).first()[0] or 0 for side in (wx, wy))
+    if min(n, m) < (1 if biased else 2):
+        return None
+    xx, yy, xy = _kernel_sum(wx, wx, sigma), _kernel_sum(wy, wy, sigma), _kernel_sum(wx, wy, sigma)
     if biased:
         return xx / (n * n) + yy / (m * m) - 2 * xy / (n * m)
     return (xx - n) / (n * (n - 1)) + (yy - m) / (m * (m - 1)) - 2 * xy / (n * m)
@@ -62,21 +83,18 @@ def vendi(rows: DataFrame, vector: str = "embedding") -> tuple[float, float]:
 
 
 def nearest_cosines(rows: DataFrame, id_col: str, vector: str = "embedding") -> DataFrame:
-    """id and nearest: the largest cosine with another row of a bounded sample."""
-    got = rows.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v")).where("v is not null")
-    sample = got.limit(MOST_ROWS + 1).toPandas()
-    if len(sample) > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} vectors; take a sample first")
-    all_ = rows.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(), np.array(sample["v"].tolist(), np.float64)))
-
-    def run(parts):
-        ids, y = all_.value
-        for pdf in parts:
-            near = np.array(pdf["v"].tolist(), np.float64) @ y.T
-            near[pdf["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            yield pd.DataFrame({"id": pdf["id"], "nearest": near.max(axis=1)})
-
-    return got.mapInPandas(run, "id long, nearest double")
+    """id and nearest: the largest cosine with a row of another id, exact, over all pairs in blocks. Rows without such a row are left out."""
+
+    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "nearest": np.zeros(0)})
+        near = _matrix(a["v"]) @ _matrix(b["y_v"]).T
+        near[a["id"].to_numpy()[:, None] == b["y_id"].to_numpy()[None, :]] = -np.inf
+        best = near.max(axis=1)
+        return pd.DataFrame({"id": a["id"], "nearest": best})[np.isfinite(best)]
+
+    held = _units(rows, vector, F.col(id_col).cast("long").alias("id")).where("id is not null")
+    return _block_pairs(held, held, "id").applyInPandas(met, "id long, nearest double").groupBy("id").agg(F.max("nearest").alias("nearest"))
 
 
 def nearest_summary(nearest: DataFrame) -> DataFrame:

@@ -56,8 +56,10 @@ def repair_rate(rows: DataFrame) -> DataFrame:
     return joined.agg(n.alias("rewrites"), F.coalesce(good, F.lit(0)).alias("repaired"), F.round(F.when(n > 0, good / n), 6).alias("rate"))
 
 
-def unattempted(pairs: DataFrame, attempts: DataFrame, key: list[str], n: int) -> DataFrame:
-    return pairs.join(attempts.select(*key).distinct(), key, "left_anti").orderBy(*key).limit(n)
+def unattempted(pairs: DataFrame, attempts: DataFrame, key: list[str], n: int | None = None) -> DataFrame:
+    """The pairs without an attempt; the first ``n`` by key if so many only are asked for."""
+    left = pairs.join(attempts.select(*key).distinct(), key, "left_anti")
+    return left if n is None else left.orderBy(*key).limit(n)
 
 
 def stratified_schedule(pairs: DataFrame, seed: int) -> DataFrame:

@@ -143,23 +143,22 @@ def supervised_pairs(spark, sf_dir):
     return conversations.supervised_pairs(_t(spark, sf_dir, "conversations"))
 
 
-_UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE vec_id < 400"
+_UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE embedding IS NOT NULL"
 
 
 @query(f"""WITH u AS ({_UNIT}), x AS (SELECT v FROM u WHERE label < 5), y AS (SELECT v FROM u WHERE label >= 5),
 k AS (SELECT 'xx' AS s, avg(exp(-(2 - 2 * list_dot_product(a.v, b.v)) / 2)) AS m FROM x a, x b UNION ALL SELECT 'yy', avg(exp(-(2 - 2 * list_dot_product(a.v, b.v)) / 2)) FROM y a, y b
 UNION ALL SELECT 'xy', avg(exp(-(2 - 2 * list_dot_product(a.v, b.v)) / 2)) FROM x a, y b) SELECT round(sum(CASE s WHEN 'xy' THEN -2 * m ELSE m END), 6) AS mmd FROM k""")
 def embedding_mmd(spark, sf_dir):
-    """Two bounded samples: the first 400 vectors, by label."""
-    rows = _t(spark, sf_dir, "embeddings").where("vec_id < 400")
+    """All vectors of the labels below 5 against all others."""
+    rows = _t(spark, sf_dir, "embeddings")
     return spark.createDataFrame([(round(embeddings.rbf_mmd(rows.where("label < 5"), rows.where("label >= 5")), 6),)], "mmd double")
 
 
 @query(f"""WITH u AS ({_UNIT}), n AS (SELECT a.vec_id, max(list_dot_product(a.v, b.v)) AS nearest FROM u a, u b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id)
 SELECT count(*) AS n, round(avg(nearest), 6) AS mean, round(quantile_cont(nearest, 0.5), 6) AS p50, round(quantile_cont(nearest, 0.9), 6) AS p90, round(quantile_cont(nearest, 0.95), 6) AS p95, round(quantile_cont(nearest, 0.99), 6) AS p99 FROM n""")
 def embedding_nearest(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").where("vec_id < 400")
-    return embeddings.nearest_summary(embeddings.nearest_cosines(rows, "vec_id"))
+    return embeddings.nearest_summary(embeddings.nearest_cosines(_t(spark, sf_dir, "embeddings"), "vec_id"))
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE embedding IS NOT NULL),
@@ -327,10 +326,10 @@ def compatible_pairs(spark, sf_dir):
     return pairs.select("s_suppkey", "n_name", "r_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 20")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def unattempted(spark, sf_dir):
     customers = _t(spark, sf_dir, "customer").select("c_custkey")
-    return ledger.unattempted(customers, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"], 20)
+    return ledger.unattempted(customers, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""WITH t AS (SELECT c_nationkey AS edit, c_mktsegment AS category, c_custkey AS pair, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY md5('5:' || c_custkey::VARCHAR), c_custkey) AS turn FROM customer)

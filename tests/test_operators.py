@@ -66,6 +66,24 @@ def test_embeddings(spark):
     assert len(a) == len(b) and embeddings.quality_composite(0.0, None, 0.5) == pytest.approx((0.4 + 0.3 * 0.25) / 0.7)
 
 
+def test_embedding_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 3)
+    v = np.random.default_rng(5).normal(size=(30, 4))
+    v[10:20] = v[0]  # a third are copies
+    odd = [(90, None), (91, [0.0] * 4), (92, [1.0, None, 0.0, 0.0]), (93, [float("nan")] * 4), (94, [float("inf")] + [1.0] * 3)]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + odd, "id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T
+    np.fill_diagonal(near, -np.inf)
+    assert {r.id: r.nearest for r in embeddings.nearest_cosines(df, "id").collect()} == pytest.approx(dict(enumerate(near.max(axis=1))))
+    k = np.exp(u @ u.T - 1)
+    a, b = slice(0, 20), slice(20, 30)
+    want = k[a, a].mean() + k[b, b].mean() - 2 * k[a, b].mean()
+    assert embeddings.rbf_mmd(df.where("id < 20"), df.where("id >= 20")) == pytest.approx(want, abs=1e-9)
+    assert embeddings.rbf_mmd(df.where("id < 20"), df.where("id >= 90")) is None
+    assert embeddings.nearest_cosines(df.where("id = 1 or id > 89"), "id").count() == 0
+
+
 def test_evidence(spark):
     rows = [(1, 1, 0.0, 10.0, ["a"], "red car turns"), (1, 2, 12.0, 20.0, ["a"], "other"), (1, 3, 40.0, 50.0, ["a"], "far"), (1, 4, 51.0, 60.0, ["b"], "unlike words here"), (2, 5, 0.0, 1.0, [], "x")]
     df = spark.createDataFrame(rows, "key long, id long, start double, end double, entities array<string>, text string")
