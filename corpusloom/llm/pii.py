@@ -3,8 +3,9 @@
 Seeds are what four fixed patterns find (e-mail, IP address, payment card, phone number). The words before a seed are
 its lexical patterns: the last word, and the last two words. Identifier-like strings that no seed covers are
 candidates; they hang on patterns in the same way. So patterns and instances (distinct values) form a graph. In each round
-a pattern's precision for a kind is the weight of its known instances of that kind over all places in the corpus where
-its words stand before anything at all, and patterns with ``MIN_SUPPORT`` known instances and ``MIN_PRECISION`` are
+a pattern's precision for a kind is the share of places in the corpus, among all where its words stand before anything
+at all, at which a known instance of that kind follows, each by its weight; both sides count every place, so copies of a
+text change neither against the other. Patterns with ``MIN_SUPPORT`` distinct known instances and ``MIN_PRECISION`` are
 trusted. A candidate of fitting form becomes known if its trusted patterns together (noisy-or) reach ``MIN_SCORE``, and
 supports further patterns in the next of ``ROUNDS`` rounds. All documents enter; sums are pre-aggregated per task.
 
@@ -35,6 +36,8 @@ PATTERNS = {
 }
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 CANDIDATE = r"(?:(?<![A-Za-z0-9])|\G)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}+|[(+]?[0-9][0-9().\x20-]{5,}[0-9]|" + rf"{_LOCAL}++(?:@|\x20?[(\[]at[)\]]\x20?){_HOST}++(?:\.{_HOST}++)*+)"
+# A place inside a word where something may follow a cue without a space, with what stands before it.
+_GLUED = r"(?s)(?:(?<=[^\p{L}\p{N}\s])(?=[A-Za-z0-9._%+(-])|(?<=\p{L})(?=[0-9])|(?<=[\p{L}\p{N}])(?=\+[0-9]))(?<=(\A.{1,63}|.{64}))"
 _CANDIDATE_NEEDS = r"[0-9][0-9().\x20-]{5}|@|[(\[]at[)\]]|:[0-9A-Fa-f]{0,4}:"
 
 
@@ -90,7 +93,10 @@ def _base(text: Column) -> Column:
 
 def _contexts(text: Column, start: Column) -> Column:
     """The lexical patterns before a span: its last word, and its last two."""
-    before = F.lower(F.substr(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64))))
+    return _patterns(F.lower(F.substr(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))))
+
+
+def _patterns(before: Column) -> Column:
     words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
     one = F.element_at(words, -1)
     two = F.concat_ws(" ", F.slice(words, -2, 2))
@@ -120,10 +126,10 @@ def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFr
     """doc_id, text_key, start, end, kind (its number) of candidates that trusted patterns reach."""
     spark, n = docs.sparkSession, places.count()
     seeds = places.where("seeds is not null").select(F.explode(F.arrays_zip("base", "seeds")).alias("x"))
-    seeds = seeds.select(F.col("x.base.kind").alias("kind"), F.col("x.seeds.value").alias("value"), F.explode("x.seeds.patterns").alias("pattern")).distinct()
+    seeds = seeds.select(F.col("x.base.kind").alias("kind"), F.col("x.seeds.value").alias("value"), F.explode("x.seeds.patterns").alias("pattern")).groupBy("kind", "value", "pattern").agg(F.count("*").alias("times"))
     other = places.where("candidates is not null").select("doc_id", "text_key", F.explode("candidates").alias("x")).select("doc_id", "text_key", "x.*")
     other = materialize(other)
-    edges = materialize(other.select("value", F.explode("patterns").alias("pattern")).distinct(), n)
+    edges = materialize(other.select("value", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.count("*").alias("times")), n)
     known = materialize(seeds.withColumn("weight", F.lit(1.0)), n)
     nothing = spark.createDataFrame([], "doc_id long, text_key long, start int, end int, kind int")
     if edges.isEmpty():
@@ -135,12 +141,13 @@ def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFr
         return nothing
     words = F.split(F.lower("text"), r"\s+")
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    places_of = _near(docs.select(F.explode(F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 2, F.lit(0))))).alias("pattern")), hopeful, "pattern", "left_semi")
+    glued = F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_GLUED), F.lit(1)), _patterns))
+    places_of = _near(docs.select(F.explode(F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 2, F.lit(0))), glued)).alias("pattern")), hopeful, "pattern", "left_semi")
     common = materialize(places_of.groupBy("pattern").agg(F.count("*").alias("places")), n)
     answers = None
     for _ in range(rounds):
-        support = known.groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).where(f"n >= {MIN_SUPPORT}")
-        trusted = support.join(common, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("weight") / F.greatest("places", "n")).alias("precision"))
+        support = known.groupBy("pattern", "kind").agg(F.sum(F.col("weight") * F.col("times")).alias("weight"), F.sum("times").alias("known"), F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}")
+        trusted = support.join(common, "pattern", "left").select("pattern", "kind", F.least(F.lit(1.0), F.col("weight") / F.greatest("places", "known")).alias("precision"))
         trusted = materialize(trusted.where(f"precision >= {MIN_PRECISION}"), n)
         reached = _near(edges, trusted, "pattern").where(_fits(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.col("value")))
         reached = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("weight"))
@@ -148,7 +155,7 @@ def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFr
         answers = materialize(best.where(f"b.weight >= {MIN_SCORE}").select("value", (-F.col("b.o")).alias("kind"), F.col("b.weight").alias("weight")), n)
         if answers.isEmpty():
             return nothing
-        known = materialize(seeds.withColumn("weight", F.lit(1.0)).unionByName(edges.join(answers, "value").select("kind", "value", "pattern", "weight")), n)
+        known = materialize(seeds.withColumn("weight", F.lit(1.0)).unionByName(edges.join(answers, "value").select("kind", "value", "pattern", "times", "weight")), n)
     # A known value counts where a trusted pattern of its kind stands before it.
     held = _near(other.join(answers.select("value", "kind"), "value").withColumn("pattern", F.explode("patterns")), trusted.select("pattern", F.col("kind").alias("k")), "pattern")
     return held.where("kind = k").select("doc_id", "text_key", "start", "end", "kind").distinct()

@@ -197,6 +197,16 @@ def test_personal_data(spark):
     assert clean[52] == "<email> <card> x <ip> 1.2.3.999" and clean[60] is None and clean[51].endswith("of")
 
 
+def test_personal_data_in_copied_rows(spark):
+    for cue in ("phone: ", "phone:"):
+        rows = [f"call me, {cue}+1 (555) 555-{i:04d} please" for i in range(9)] + [f"{cue}555 123 4567 now"]
+        copies = spark.createDataFrame([(i, t) for i, t in enumerate(rows * 3)], SCHEMA)
+        assert {r.doc_id: r.spans for r in pii.spans_report(copies).collect()}[9] == f"phone:{len(cue)}:{len(cue) + 12}"
+    rows = [f"a phone:+1 (555) 555-{i:04d}" for i in range(4)] + [f"a phone:none{i}" for i in range(9)] + ["phone:555 123 4567 now"]
+    vague = {r.doc_id: r.spans for r in pii.spans_report(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).collect()}
+    assert vague[13] == "" and vague[0] == "phone:8:25"  # the glued cue precedes other things more often
+
+
 def test_nearest(spark):
     vectors = table(spark, SF, "embeddings")
     got = {}
