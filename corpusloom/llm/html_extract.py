@@ -2,8 +2,9 @@
 
 A page becomes blocks of text, each under its root-to-leaf path of block elements. Per path the mean text length and the
 mean number of punctuation marks of its blocks are taken, smoothed with the paths beside it (same parent), fused into one
-product, and paths above a share of the best are selected. The content is what lies under the element that holds
-most of the selected text. Paths through elements that are no article by name (navigation, forms, footers, adverts,
+product, and paths above a share of the best are selected. The content is what lies under the smallest elements that
+together hold all selected text: the descent ends at an article or main, and where text lies directly in an element; where
+it forks, every branch with selected text is followed. Headings directly in an element on the way are kept. Paths through elements that are no article by name (navigation, forms, footers, adverts,
 comments ...) have the ratio zero.
 
 Nulls and empty pages give an empty text and 0 characters. Character references are decoded, white space within a
@@ -37,7 +38,9 @@ MARKED = re.compile(
     re.I,
 )
 PUNCTUATION = re.compile(r"[^\w\s]")
-THRESHOLD, HOLDS = 0.1, 0.6
+PARTS = frozenset("tr tbody thead tfoot li".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+THRESHOLD = 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -120,6 +123,31 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     return out
 
 
+def _name(path: tuple[str, ...]) -> str:
+    return path[-1].split(".")[0] if path else ""
+
+
+def _roots(chosen: set[tuple[str, ...]]) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
+    """The smallest elements that together hold all chosen paths, and the elements above them."""
+    roots, passed, holders = set(), set(), set(chosen)
+    for path in chosen:
+        n = len(path) - 1
+        while n > 0 and _name(path[:n]) in PARTS:  # lists and tables stay whole
+            n -= 1
+        holders.add(path[: max(n, 0)])
+    for path in chosen:
+        for n in range(len(path) + 1):
+            root = path[:n]
+            if root in roots:
+                break
+            page = _name(root) in ("", "html", "body")
+            if _name(root) in ("article", "main") or not page and root in holders:
+                roots.add(root)
+                break
+            passed.add(root)
+    return roots, passed
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -142,18 +170,18 @@ def main_text(page: str | None) -> str:
         fused[path] = (length[path] / n + near_length / near) / 2 * (1 + (marks[path] / n + near_marks / near) / 2)
     least = THRESHOLD * max(fused.values())
     chosen = {p for p, f in fused.items() if f >= least}
-    total, root = sum(length[p] for p in chosen), ()
-    while True:  # down to the smallest element that holds most of the selected text
-        below = defaultdict(int)
-        for p in chosen:
-            if len(p) > len(root) + 1 and p[: len(root)] == root:
-                below[p[: len(root) + 1]] += length[p]
-        top = max(below, key=below.get, default=None)
-        if top is None or below[top] < HOLDS * total:
-            break
-        root = top
-    wide = len(root) <= 2 and any(x.split(".")[0] in ("html", "body") for x in root[-1:]) or not root
-    keep = [t for p, t, apart in found if not apart and p[: len(root)] == root and (not wide or p in chosen or p[:-1] == root or p[:-1] in chosen)]
+    roots, passed = _roots(chosen)
+    direct = {p[:-1] for p in chosen} & passed
+    deepest = max(map(len, roots), default=0)
+
+    def kept(p: tuple[str, ...]) -> bool:
+        if p in chosen or any(p[:n] in roots for n in range(min(len(p), deepest) + 1)):
+            return True
+        if p[:-1] in passed:  # a heading on the way; beside the text of a page without containers, any block
+            return _name(p[-1:]) in HEADINGS or p[:-1] in direct
+        return p[:-1] in chosen
+
+    keep = [t for p, t, apart in found if not apart and kept(p)]
     return "\n".join(keep)
 
 

@@ -178,6 +178,24 @@ def test_html():
     assert html_extract.main_text("<p>alone</p>") == "alone"
 
 
+def test_html_keeps_all_selected_text():
+    long = "Some words, and more of them, in one block of prose. " * 4
+    items = [f"Point {i}, with enough words, to be longer than the rest of it." for i in range(20)]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    rows = "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in items) + "</table>"
+    pages = {
+        f"<main><h1>T</h1><div class=body><p>{long}</p></div></main>": ["T", long],
+        f"<div class=post><h1>T</h1><div class=body><p>{long}</p></div></div>": ["T", long],
+        f"<article><h1>Title</h1><p>{long}</p>{listed}<p>{long}</p></article>": ["Title", long, *items, long],
+        f"<div class=text><p>{long}</p>{listed}<p>{long}</p></div>": [long, *items, long],
+        f"<div class=text><p>{long}</p>{rows}<p>{long}</p></div>": [long, *items, long],
+        f"<div class=all><div class=a><p>{long}</p><p>{long}</p></div><div class=b><p>{long}</p></div></div>": [long] * 3,
+    }
+    for page, parts in pages.items():
+        whole = f"<html><body><nav><a>m</a></nav>{page}<footer>end</footer></body></html>"
+        assert html_extract.main_text(whole) == "\n".join(x.strip() for x in parts), page[:60]
+
+
 def test_language(spark):
     docs, pages = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "pages")
     got = language_id.identify(pages, language_id.train(docs)).collect()
