@@ -4,8 +4,10 @@ A page becomes blocks of text, each under its root-to-leaf path of block element
 mean number of punctuation marks of its blocks are taken, smoothed with the paths beside it (same parent), fused into one
 product, and paths above a share of the best are selected. The content is what lies under the smallest elements that
 together hold all selected text: the descent ends at an article or main, and where text lies directly in an element; where
-it forks, every branch with selected text is followed. Headings directly in an element on the way are kept. Paths through elements that are no article by name (navigation, forms, footers, adverts,
-comments ...) have the ratio zero.
+it forks, every branch with selected text is followed. Headings directly in an element on the way are kept. Paths through
+elements that are no article by name (navigation, forms, footers, adverts, comments ...) have the ratio zero. The name of
+an element counts for nothing if it holds the main element, or more text than the articles outside such elements and with
+it an article or ``MOST`` of the page's text; and no name counts if no text were left.
 
 Nulls and empty pages give an empty text and 0 characters. Character references are decoded, white space within a
 block becomes one space, blocks are joined by a line feed. Nothing is cut. Pages are handled one by one in tasks;
@@ -37,10 +39,13 @@ MARKED = re.compile(
     r"recommend\w*|related|replies|reply|respond|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|tags|toolbar|widget|complementary|contentinfo|search|modal|overlay|alert)(?:$|[\s_-])",
     re.I,
 )
+# Names that say what a wrapper has or lacks; and what may stand beside a marked word in the id of an article's part.
+WRAPS = re.compile(r"(?<!\S)(?:side-by-side|(?:has|no|with|without)[_-]\S+)", re.I)
+GENERIC = re.compile(r"(?:\d+|s|list|section|area|box|posts?|articles?|links?|content|container|wrapper|wrap|widget|block|inner|form|items?|stories|news|top|bottom|left|right|bar|buttons?)$", re.I)
 PUNCTUATION = re.compile(r"[^\w\s]")
 PARTS = frozenset("tr tbody thead tfoot li".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-THRESHOLD = 0.1
+THRESHOLD, MOST = 0.1, 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -48,18 +53,28 @@ _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td
 _CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
 
 
+def _marked(name: str, value: str, inside: bool) -> bool:
+    """Whether a class, id or role marks its element; in an article an id must say nothing else (related-posts, not related-work)."""
+    value = WRAPS.sub(" ", value)
+    if not MARKED.search(value):
+        return False
+    return not (inside and name == "id") or all(MARKED.match(w) or GENERIC.match(w) for w in re.split(r"[\s_-]+", value) if w)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path, text, apart) of every block with text, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # element, its name in paths, whether it or one above is apart
-    out: list[tuple[tuple[str, ...], str, bool]] = []
+    # element, its name in paths, whether it or one above is apart by tag, the innermost element marked by name, whether in an article
+    stack: list[tuple[str, str, bool, int, bool]] = []
+    out: list[tuple[tuple[str, ...], str, bool, int, bool]] = []
     held: list[str] = []
+    above, articles, mains = [0], set(), set()  # marked elements are numbered from 1: the marked one above each, and what they hold
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(x[1] for x in stack if x[0] in BLOCK), text, bool(stack) and stack[-1][2]))
+                out.append((tuple(x[1] for x in stack if x[0] in BLOCK), text, *(stack[-1][2:] if stack else (False, 0, False))))
 
     def close(at: int) -> None:
         if any(x[0] in BLOCK for x in stack[at:]):
@@ -107,20 +122,47 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        marks, apart = "", (bool(stack) and stack[-1][2]) or tag in APART
+        hard, mark, inside = stack[-1][2:] if stack else (False, 0, False)
+        marks, hard, named = "", hard or tag in APART and tag != "form", tag == "form"
         for a in _ATTRIBUTE.finditer(m[3]):
             name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
             if name in ("class", "id", "role"):
                 marks += f".{value}" if name == "class" else ""
-                apart |= tag not in ("html", "body", "article", "main") and bool(MARKED.search(value))
+                named |= _marked(name, value, inside)
             elif name == "hidden" or value == "true":
-                apart = True
+                hard = True
         if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
-            apart = True
-        stack.append((tag, tag + marks, apart))
+            hard = True
+        if tag == "main" or tag == "article" and not named:
+            (mains if tag == "main" else articles).add(mark)
+        if named and tag not in ("html", "body", "article", "main"):
+            above.append(mark)
+            mark = len(above) - 1
+        stack.append((tag, tag + marks, hard, mark, inside or tag in ("article", "main")))
     held.append(page[at:])
     flush()
-    return out
+    return _resolved(out, above, articles, mains)
+
+
+def _resolved(found, above: list[int], articles: set[int], mains: set[int]) -> list[tuple[tuple[str, ...], str, bool]]:
+    """The blocks, apart or not, once it is known which marked elements hold the content."""
+    size, free = [0] * len(above), 0
+    for _, text, hard, mark, inside in found:
+        if not hard:
+            size[mark] += len(text)
+            free += len(text) * (inside and not mark)
+    holds_article, holds_main = [[i in held for i in range(len(above))] for held in (articles, mains)]
+    for i in range(len(above) - 1, 0, -1):  # an element comes after those above it
+        size[above[i]] += size[i]
+        holds_article[above[i]] |= holds_article[i]
+        holds_main[above[i]] |= holds_main[i]
+    off = [False] * len(above)
+    for i in range(1, len(above)):
+        content = holds_main[i] or size[i] > free and (holds_article[i] or size[i] >= MOST * size[0])
+        off[i] = off[above[i]] or not content
+    if all(hard or off[mark] for _, _, hard, mark, _ in found):
+        off = [False] * len(above)
+    return [(path, text, hard or off[mark]) for path, text, hard, mark, _ in found]
 
 
 def _name(path: tuple[str, ...]) -> str:

@@ -196,6 +196,22 @@ def test_html_keeps_all_selected_text():
         assert html_extract.main_text(whole) == "\n".join(x.strip() for x in parts), page[:60]
 
 
+def test_html_names_of_wrappers():
+    long = "Some words, and more of them, in one block of prose. " * 4
+    article = f"<article><h1>Title</h1><p>{long}</p></article>"
+    want = f"Title\n{long.strip()}"
+    noise = f"<div id=comments><article class=comment><p>{long * 3}</p></article></div><div class=sidebar><p>{long}</p></div>"
+    for name in ("has-sidebar", "no-sidebar", "side-by-side", "with-header", "page sidebar-left", "widget"):
+        assert html_extract.main_text(f"<body><div class='{name}'>{article}</div>{noise}</body>") == want, name
+        assert html_extract.main_text(f"<body><div class='{name}'><main>{article}</main></div>{noise}</body>") == want, name
+        assert html_extract.main_text(f"<body><div class='{name}'><div><p>{long}</p></div></div><nav>menu</nav></body>") == long.strip(), name
+    assert html_extract.main_text(f"<body>{article}{noise}</body>") == want
+    assert html_extract.main_text(f"<body><main><div class=with-sidebar>{article}</div></main>{noise}</body>") == want
+    assert html_extract.main_text(f"<body><form action=x>{article}</form></body>") == want
+    inner = f"<article><p>{long}</p><section id='related-work'><h2>Related work</h2><p>{long}</p></section><div id='related-posts'><p>{long}</p></div></article>"
+    assert html_extract.main_text(f"<body>{inner}</body>") == f"{long.strip()}\nRelated work\n{long.strip()}"
+
+
 def test_language(spark):
     docs, pages = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "pages")
     got = language_id.identify(pages, language_id.train(docs)).collect()
