@@ -1,11 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Every word falls in one of ``BUCKETS`` hash buckets and has a fixed random sign vector (its index vector). The context
-vector of a bucket is the sum of the index vectors seen around it; words are taken as written, and also by shape (runs
+vector of a bucket is the sum of the index vectors seen around it in all documents; words are taken as written, and also by shape (runs
 of capitals, small letters, digits and the marks themselves). A document is the mean of the vectors of its words. The
 network is trained with numpy on the driver from at most ``FIT_ROWS`` labelled documents, chosen by hash, and its
-logits are divided by a temperature fitted on a fifth of them that the network does not see. Fitting reads the corpus once
-and keeps the chosen rows as a written table. Scoring reads every whole text once and shuffles nothing; the model is a broadcast of fixed size.
+logits are divided by a temperature fitted on a fifth of them that the network does not see. Fitting reads the corpus twice,
+for the context sums of all documents and for the chosen rows, which are kept as a written table. Scoring reads every whole text once and shuffles nothing; the model is a broadcast of fixed size.
 
 A null or empty text, or one without words, has the zero vector and the score the network gives that. Null labels and
 labels of unknown documents are left out; of several labels for one document the largest counts. Without any label all
@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import SPACED, materialize, slices, span_hashes, utf8, word_bounds
 
 FIT_ROWS, BUCKETS, SIZE, HIDDEN, REACH = 8192, 1 << 14, 32, 32, 2
-FIT_TASKS, BLOCKS = 8, 64
+FIT_TASKS, BLOCKS, GROUP = 8, 64, 256
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 128
 _INDEX = np.random.default_rng(3).choice(np.array([-1, 0, 0, 0, 1], np.float32), (2, BUCKETS, SIZE))
@@ -67,13 +68,15 @@ def _context_sums(batches):
                     heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
                     if len(heads):
                         sums[kind, owner[heads]] += np.add.reduceat(_INDEX[kind, other] * times[:, None].astype(np.float32), heads)
-    yield pa.RecordBatch.from_pydict({"block": np.arange(BLOCKS, dtype=np.int32), "sums": pa.array([b.tobytes() for b in np.split(sums.reshape(-1), BLOCKS)], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"block": np.arange(BLOCKS, dtype=np.int32), "part": np.full(BLOCKS, TaskContext.get().partitionId() // GROUP, np.int32), "sums": pa.array([b.tobytes() for b in np.split(sums.reshape(-1), BLOCKS)], pa.binary())})
 
 
 def _total(part: pa.Table) -> pa.Table:
-    """One block of the sums over all tasks."""
-    total = np.sum([np.frombuffer(b, np.float32) for b in part["sums"].to_pylist()], axis=0, dtype=np.float32)
-    return pa.table({"block": part["block"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    """One block of the sums over all tasks, or over a group of them."""
+    total = np.zeros(2 * BUCKETS * SIZE // BLOCKS)
+    for sums in part["sums"]:
+        total += np.frombuffer(sums.as_buffer(), np.float32)
+    return pa.table({"block": part["block"][:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def pooled(column, contexts: np.ndarray, rows: int) -> np.ndarray:
@@ -131,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     fit = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # fit_rows rows at most
     fit = fit.select("id", "text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).alias("fold"))
     fit = materialize(fit.repartition(FIT_TASKS, "id")).coalesce(FIT_TASKS)  # all tasks read the corpus once; few work on the chosen rows
-    summed = fit.select("text").mapInArrow(_context_sums, "block int, sums binary").groupBy("block").applyInArrow(_total, "block int, sums binary")
+    summed = docs.select(F.col(text_col).alias("text")).mapInArrow(_context_sums, "block int, part int, sums binary")
+    for keys in (("block", "part"), ("block",)):  # no group holds more than the blocks of GROUP tasks, or of as many such groups as there are
+        summed = summed.groupBy(*keys).applyInArrow(_total, "block int, sums binary")
     contexts = np.zeros((BLOCKS, 2 * BUCKETS * SIZE // BLOCKS), np.float32)
     for r in summed.collect():  # 4 MB in all
         contexts[r["block"]] = np.frombuffer(r["sums"], np.float32)

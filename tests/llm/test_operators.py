@@ -6,6 +6,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,21 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs.limit(5), none).collect()} == {0.5}
 
 
+def test_quality_counts_contexts_in_all_documents(spark, docs):
+    rows = [r.text for r in docs.collect()]
+    sums = np.zeros((2, quality.BUCKETS, quality.SIZE))
+    for text in rows:
+        for kind, bucket in enumerate(quality._buckets(pa.array([text]))[:2]):
+            for i in range(len(bucket)):
+                for k in range(max(0, i - quality.REACH), min(len(bucket), i + quality.REACH + 1)):
+                    if k != i:
+                        sums[kind, bucket[i]] += quality._INDEX[kind, bucket[k]]
+    length = np.linalg.norm(sums, axis=2, keepdims=True)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("label"))
+    got = quality.train(docs, labels, fit_rows=20).contexts
+    assert np.allclose(got, sums / np.where(length > 0, length, 1), atol=1e-4)
+
+
 def test_html():
     page = "<html><head><title>t</title><script>a<b</script></head><body><header>top</header><nav><a>m</a></nav><div class='sidebar'>side, long text here. More, of it.</div><article><h1>Title</h1><p>First &amp; <b>bold</b>, text\n of it.<p>Second.<ul><li>point</ul><div class='ad'>buy, now</div></article><div id=comments>me too, yes.</div><footer>end</footer></body></html>"
     assert html_extract.main_text(page) == "Title\nFirst & bold, text of it.\nSecond.\npoint"
