@@ -6,7 +6,8 @@ they go with each language over all pages, and host priors are smoothed from hos
 are grouped sums of the pages' text-only posteriors, so they are learned without labels; a page's own share is taken
 out of its host's prior. All pages enter; sums are pre-aggregated per task, and hot hosts are split by the adaptive join.
 
-The trigram models are fitted on at most ``FIT_ROWS`` labelled texts, chosen by hash, in one fixed-size table.
+The trigram models are fitted on about ``FIT_ROWS`` labelled texts of each language at most, chosen by hash, in one
+fixed-size table a language; languages are counted over all labelled rows, and each has one text at least.
 
 A null page or address is missing evidence and changes nothing; a page without any has the prior of all pages. Rows with a
 null language or text are not learned from. With no labelled text there are no languages and every result is null.
@@ -53,9 +54,10 @@ def _cells(column) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    n = rows.count()
-    share = min(1.0, fit_rows / max(1, n))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1e6).select("text", "lang")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    bounds = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least"))
+    bounds = bounds.select("lang", F.greatest(F.col("least"), F.least(F.lit(1.0), F.lit(fit_rows) / F.col("n")) * float(1 << 40)).alias("bound"))
+    chosen = rows.join(F.broadcast(bounds), "lang").where(place <= F.col("bound")).select("text", "lang")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

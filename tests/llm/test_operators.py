@@ -237,6 +237,13 @@ def test_language(spark):
     assert language_id.identify(odd, language_id.train(docs.limit(0))).where("lang is null").count() == 3
 
 
+def test_language_rare(spark):
+    common = spark.range(3000).selectExpr("cast(id as string) AS doc_id", "'the one and the other' AS text", "'en' AS lang")
+    rare = spark.createDataFrame([(f"r{i}", "und der die das nicht", f"x{i}") for i in range(5)], "doc_id string, text string, lang string")
+    model = language_id.train(common.union(rare), fit_rows=10)
+    assert model.languages == ["en", *(f"x{i}" for i in range(5))]
+
+
 def test_personal_data(spark):
     rows = [(i, f"call me, phone: +1 (555) 555-{i:04d} please") for i in range(9)] + [(50, "phone: 555 123 4567 now"), (51, "the page 555 123 4567 of"), (52, "a@b.co 4111 1111 1111 1111 x 1.2.3.4 1.2.3.999")]
     got = {r.doc_id: r for r in pii.spans_report(spark.createDataFrame([*rows, *((100 + (i or 0), t) for i, t in ODD)], SCHEMA)).collect()}
