@@ -3,28 +3,35 @@
 Vectors are lengthened by one coordinate so that all have the largest norm; nearest by angle is then nearest by inner
 product. A bounded sample (``SAMPLE`` rows by hash, documented bound) is halved again and again until parts hold about
 ``LIST_ROWS`` rows of the whole table or ``MIN_PART`` sampled ones; the parts' means are the centroids. Every vector is
-then posted, in tasks, to its nearest centroid and to further ones whose distance is within ``CLOSURE`` of the nearest
+then posted, in tasks, to its nearest centroid and to a second one whose distance is within ``CLOSURE`` of the nearest
 (boundary replicas). Centroids are found through a neighbour graph in memory. A query reads the lists whose centroid
-distance is within ``PRUNE`` of its nearest, at most ``PROBES``.
+distance is within a ratio of its nearest. No number of lists is fixed: the ratio is the smallest under which sampled
+queries would find the share ``target`` of their true neighbours in the sample, where neighbours lie further off than in
+the whole table; ``target=1`` reads all lists, which is exact. So well parted vectors read few lists, and vectors
+without any structure as many as it takes.
 
 Equal vectors are one class, kept with its smallest ids, as many as an answer can hold; so a vector that a third of
-all rows share is posted once. Lists longer than ``SPLIT`` rows are cut into pieces that are searched separately.
+all rows share is posted once. Neighbouring lists are searched together as a bundle, and bundles of more than ``SPLIT``
+rows are cut into pieces that are searched separately.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import in_arrow, materialize
 
-SAMPLE, LIST_ROWS, MIN_PART = 16_384, 128, 8
-REPLICAS, CLOSURE = 4, 1.12
-PROBES, PRUNE = 128, 1.8
-SPLIT = 4_096
-DEGREE, BEAM = 16, 160
+SAMPLE, LIST_ROWS, MIN_PART = 32_768, 32, 8
+REPLICAS, CLOSURE = 2, 1.04
+TARGET, TRIED = 0.94, 512
+SPLIT, BUNDLE = 4_096, 16
+DEGREE, BEAM = 16, 48
 SALTS = 64
 
 
@@ -125,76 +132,146 @@ def _classes(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFr
     return ids.agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids")).groupBy("key", "v").agg(merged("ids").alias("ids"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest other rows of each query row, by inner product in double precision.
-
-    Rows whose vector is null, empty, all zero or holds null or non-finite parts take no part on either side, nor do
-    rows with a null id. All vectors have one length. Ties go to the smaller id. Repeated rows count once. With fewer
-    than k other rows all are returned; empty tables give no rows.
-    """
+@dataclass
+class Index:
+    """Posting lists over all vectors; search() reads them."""
+
+    classes: DataFrame  # class, v, ids: distinct vectors
+    lists: DataFrame  # list, bundle, piece, class, v
+    sizes: DataFrame  # list, bundle, rows, pieces: a row a centroid
+    centroids: Broadcast
+    norm: float
+    ratio: float  # lists up to this multiple of the nearest centroid's distance are read
+    most: int  # lists that a query may have within it
+    rows: int
+
+
+def _ratio(centroids: Centroids, points: np.ndarray, target: float, k: int) -> tuple[float, int]:
+    """The distance ratio under which sampled rows find ``target`` of their nearest sampled rows, and a bound of the lists within it."""
+    n = len(centroids.points)
+    if target >= 1 or n == 1 or len(points) <= k + 1:
+        return float("inf"), n
+    asked = np.random.default_rng(9).choice(len(points), min(TRIED, len(points)), replace=False)
+    home = np.empty((len(points), min(REPLICAS, n)), np.int64)
+    for at in range(0, len(points), 1024):
+        place, far = centroids.search(points[at : at + 1024], REPLICAS)
+        home[at : at + 1024] = np.where(far <= CLOSURE * far[:, :1] + 1e-7, place, place[:, :1])
+    need = []
+    for at in range(0, len(asked), 64):
+        own = asked[at : at + 64]
+        near = points[own] @ points.T
+        near[np.arange(len(own)), own] = -np.inf
+        best = np.argpartition(-near, k, axis=1)[:, :k]
+        far = centroids._distance(points[own] @ centroids.points.T)
+        reach = far[np.arange(len(own))[:, None, None], home[best]].min(axis=2)
+        need.append(reach / np.maximum(far.min(axis=1, keepdims=True), 1e-6))
+    ratio = max(1.0, float(np.quantile(np.concatenate(need), target))) + 1e-6
+    far = centroids._distance(points[asked] @ centroids.points.T)
+    return ratio, min(n, int(1.25 * (far <= ratio * far.min(axis=1, keepdims=True)).sum(axis=1).max()) + 8)
+
+
+def build_index(vectors: DataFrame, *, k: int = 20, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> Index | None:
+    """Post every usable vector; None if there is none. ``k``: the most answers that a query will want."""
     spark = vectors.sparkSession
-    asked = queries.select(F.col(id_col).cast("long").alias("id")).distinct()
     classes = _classes(vectors, k, id_col, vector_col)
     classes = materialize(classes.withColumn("class", F.element_at("ids", 1)).drop("key"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     facts = classes.agg(F.count("*").alias("n"), F.max(square).alias("m")).first()
     if not facts["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     norm = float(np.sqrt(facts["m"])) * (1 + 1e-9)
     share = min(1.0, 1.3 * SAMPLE / facts["n"] + 1e-4)
-    sample = classes.where((F.xxhash64("class", F.lit(11)) % 1_000_000 + 1_000_000) % 1_000_000 < share * 1e6).select("v").limit(SAMPLE)
-    points = _lengthened(np.array([r["v"] for r in sample.toLocalIterator()], np.float64), norm)
+    sample = classes.where(F.pmod(F.xxhash64("class", F.lit(11)), F.lit(1_000_000)) < share * 1e6).select("v").limit(SAMPLE)
+    points = _lengthened(_matrix(sample.toArrow()["v"]), norm)
     parts = max(1, min(facts["n"] // LIST_ROWS, len(points) // MIN_PART))
-    index = spark.sparkContext.broadcast(Centroids(np.array(_halved(points, parts, np.random.default_rng(5)))))  # at most SAMPLE / MIN_PART rows
+    found = Centroids(np.array(_halved(points, parts, np.random.default_rng(5))))
+    ratio, most = _ratio(found, points, target, k)
+    shared = spark.sparkContext.broadcast(found)  # at most SAMPLE / MIN_PART rows
 
     def post(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                place, far = index.value.search(_lengthened(_matrix(part.column("v")), norm), REPLICAS)
+                place, far = shared.value.search(_lengthened(_matrix(part.column("v")), norm), REPLICAS)
                 keep = far <= CLOSURE * far[:, :1] + 1e-7
-                own = np.repeat(np.arange(part.num_rows), keep.sum(axis=1))
-                yield pa.RecordBatch.from_pydict({"list": place[keep], "class": part.column("class").take(pa.array(own)), "v": part.column("v").take(pa.array(own))})
+                own = pa.array(np.repeat(np.arange(part.num_rows), keep.sum(axis=1)))
+                yield pa.RecordBatch.from_pydict({"list": place[keep], "class": part.column("class").take(own), "v": part.column("v").take(own)})
+
+    posted = materialize(in_arrow(classes.select("class", "v"), post, "list long, class long, v array<double>"))
+    bundle = F.floor(F.col("list") / BUNDLE).alias("bundle")
+    counts = posted.groupBy("list").agg(F.count("*").alias("rows")).select("list", bundle, "rows")
+    sizes = materialize(counts.withColumn("pieces", F.ceil(F.sum("rows").over(Window.partitionBy("bundle")) / SPLIT)), 1)
+    members = posted.join(F.broadcast(sizes.drop("rows")), "list").withColumn("piece", F.pmod(F.xxhash64("class"), F.col("pieces")))
+    return Index(classes, members.select("list", "bundle", "piece", "class", "v"), sizes, shared, norm, ratio, most, facts["n"])
+
+
+def _probes(index: Index, asking: DataFrame) -> DataFrame:
+    """(query, v, lists): the lists that each query class (class, v) reads."""
+    centroids, norm, ratio, most = index.centroids, index.norm, index.ratio, index.most
 
     def probe(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                place, far = index.value.search(_plain(_matrix(part.column("v")), norm), PROBES)
-                keep = far <= PRUNE * far[:, :1] + 1e-7
-                own = np.repeat(np.arange(part.num_rows), keep.sum(axis=1))
-                yield pa.RecordBatch.from_pydict({"list": place[keep], "query": part.column("class").take(pa.array(own)), "v": part.column("v").take(pa.array(own))})
-
-    posted = materialize(classes.select("class", "v").mapInArrow(post, "list long, class long, v array<double>"))
-    pieces = posted.groupBy("list").agg(F.ceil(F.count("*") / SPLIT).alias("pieces"))
-    members = posted.join(F.broadcast(pieces), "list").withColumn("piece", F.pmod(F.xxhash64("class"), F.col("pieces")))  # a row a centroid
-    wanted = materialize(_query_classes(vectors, asked, classes, id_col, vector_col))
-    asking = classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "v")
-    probes = asking.mapInArrow(probe, "list long, query long, v array<double>").join(F.broadcast(pieces), "list")
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                place, far = centroids.value.search(_plain(_matrix(part.column("v")), norm), most)
+                keep = far <= ratio * far[:, :1] + 1e-7
+                cuts = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"query": part.column("class"), "v": part.column("v"), "lists": pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[keep]))})
+
+    return in_arrow(asking, probe, "query long, v array<double>, lists array<long>")
+
+
+def work(index: Index, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """Products that the queries take, replicas included, as a share of comparing each with all distinct vectors."""
+    wanted = _query_classes(queries, index.classes, id_col, vector_col).select("class").distinct()
+    asking = index.classes.join(wanted, "class", "left_semi").select("class", "v")
+    read = _probes(index, asking).select(F.explode("lists").alias("list")).join(F.broadcast(index.sizes), "list").agg(F.sum("rows")).first()[0]
+    return (read or 0) / max(1, asking.count() * index.rows)
+
+
+def search(index: Index, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest other rows of each query row, as far as its lists hold them."""
+    wanted = materialize(_query_classes(queries, index.classes, id_col, vector_col))
+    asking = index.classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "v")
+    pieces = index.sizes.select("bundle", "pieces").distinct()
+    probes = _probes(index, asking).select("query", "v", F.explode("lists").alias("list")).withColumn("bundle", F.floor(F.col("list") / BUNDLE))
+    probes = probes.groupBy("query", "bundle").agg(F.collect_list("list").alias("lists"))  # BUNDLE at most
+    probes = probes.join(asking.withColumnRenamed("class", "query"), "query").join(F.broadcast(pieces), "bundle")
     probes = probes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
 
     def scan(keys, have, ask):
+        none = pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not have.num_rows or not ask.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        base, ids = _matrix(have["v"]), have["class"].to_numpy()
-        named, out = ask["query"].to_numpy(), []
-        for at in range(0, ask.num_rows, 256):
-            score = _matrix(ask["v"].slice(at, 256)) @ base.T
-            if score.shape[1] > k + 1:
-                edge = -np.partition(-score, k, axis=1)[:, k : k + 1]
-                q, c = np.nonzero(score >= edge)  # all that tie with the last
-            else:
-                q, c = np.nonzero(np.ones_like(score, bool))
-            out.append((named[at : at + 256][q], ids[c], score[q, c]))
-        q, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"query": q, "class": c, "score": s})
-
-    by = lambda df: df.groupBy("list", "piece")
-    found = by(members.select("list", "piece", "class", "v")).cogroup(by(probes.select("list", "piece", "query", "v"))).applyInArrow(scan, "query long, class long, score double")
+            return none
+        base, ids, place = _matrix(have["v"]), have["class"].to_numpy(), have["list"].to_numpy()
+        lists = ask["lists"].combine_chunks()
+        named, vectors, wants = ask["query"].to_numpy(), _matrix(ask["v"]), np.repeat(np.arange(ask.num_rows), np.diff(lists.offsets.to_numpy()))
+        flat, q, c, s = lists.flatten().to_numpy(), [], [], []
+        for one in np.unique(place):
+            rows, members = wants[flat == one], np.flatnonzero(place == one)
+            if len(rows):
+                q.append(np.repeat(rows, len(members)))
+                c.append(np.tile(members, len(rows)))
+                s.append((vectors[rows] @ base[members].T).ravel())
+        if not q:
+            return none
+        q, c, s = (np.concatenate(x) for x in (q, c, s))
+        order = np.lexsort((ids[c], -s, q))
+        q, c, s = q[order], c[order], s[order]
+        again = np.append(False, (q[1:] == q[:-1]) & (c[1:] == c[:-1]))
+        same = np.append(False, (q[1:] == q[:-1]) & (ids[c][1:] == ids[c][:-1]))  # replicas stand side by side
+        q, c, s = q[~(again | same)], c[~(again | same)], s[~(again | same)]
+        first = np.append(0, np.flatnonzero(q[1:] != q[:-1]) + 1)
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        q, c, s = q[rank <= k], c[rank <= k], s[rank <= k]
+        return pa.table({"query": named[q], "class": ids[c], "score": s})
+
+    by = lambda df: df.groupBy("bundle", "piece")
+    found = by(index.lists).cogroup(by(probes.select("bundle", "piece", "query", "v", "lists"))).applyInArrow(scan, "query long, class long, score double")
     found = found.groupBy("query", "class").agg(F.max("score").alias("score"))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     found = found.withColumn("r", F.row_number().over(top)).where(f"r <= {k + 1}").drop("r")
-    each = found.join(classes.select("class", "ids"), "class").withColumn("vec_id", F.explode("ids"))
+    each = found.join(index.classes.select("class", "ids"), "class").withColumn("vec_id", F.explode("ids"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1)
     lists = each.groupBy("query").agg(best.alias("best")).select(F.col("query").alias("class"), "best")
     answers = wanted.join(lists, "class").withColumn("best", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("id")), 1, k))
@@ -202,9 +279,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str
     return answers.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def _query_classes(vectors: DataFrame, asked: DataFrame, classes: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest other rows of each query row, by inner product in double precision.
+
+    Query rows are rows of ``vectors``. Rows whose vector is null, empty, all zero or holds null or non-finite parts take
+    no part on either side, nor do rows with a null id. All vectors have one length. Ties go to the smaller id. Repeated
+    rows count once. With fewer than k other rows all are returned; empty tables give no rows. Only the id and vector
+    columns are read, so other columns can have any name.
+    """
+    index = build_index(vectors, k=k, target=target, id_col=id_col, vector_col=vector_col)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(index, queries, k=k, id_col=id_col, vector_col=vector_col)
+
+
+def _query_classes(queries: DataFrame, classes: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, class) of every query row with a usable vector."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).join(asked, "id", "left_semi").distinct()
+    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null").distinct()
     return rows.join(classes.select("class", "v"), "v").select("id", "class")
 
 

@@ -6,6 +6,7 @@ bytes, so the numpy temporaries of a task stay bounded however many rows Arrow d
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = 500
 FILE_ROWS = 10_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,19 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with the session's Arrow batches held to ``BATCH_ROWS`` rows from here on.
+
+    A batch lies whole in the JVM and in the Python worker, and rows can be long texts; slices() joins small batches
+    again. The setting is read when the plan runs, which may be long after this call, so it is lowered for good.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,6 +113,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
         yield pa.Table.from_batches(held)
     _powers.clear()  # workers live on after a task; what it no longer needs goes back
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 #: ASCII A-Z to a-z, other bytes unchanged.
