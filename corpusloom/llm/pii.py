@@ -1,17 +1,23 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are what four fixed patterns find (e-mail, IP address, payment card, phone number). The words before a seed are
-its lexical patterns: the last word, and the last two words. Identifier-like strings that no seed covers are
-candidates; they hang on patterns in the same way. So patterns and instances (distinct values) form a graph. In each round
-a pattern's precision for a kind is the share of places in the corpus, among all where its words stand before anything
-at all, at which a known instance of that kind follows, each by its weight; both sides count every place, so copies of a
-text change neither against the other. Patterns with ``MIN_SUPPORT`` distinct known instances and ``MIN_PRECISION`` are
-trusted. A candidate of fitting form becomes known if its trusted patterns together (noisy-or) reach ``MIN_SCORE``, and
-supports further patterns in the next of ``ROUNDS`` rounds. All documents enter; sums are pre-aggregated per task.
+Seeds are what four fixed patterns find (e-mail, IP address, payment card, phone number). The words beside a seed are
+its lexical patterns: the last one, two and three before it, and the first one and two after it. Identifier-like strings
+that no seed covers are candidates; they hang on patterns in the same way. So patterns and instances (distinct values)
+form a graph. In each round a pattern's precision for a kind is the share of places in the corpus, among all where its
+words stand beside anything at all, at which a known instance of that kind stands there, each by its weight; both sides
+count every place, so copies of a text change neither against the other. A place with an unknown string of fitting form
+is no proof against a pattern and counts half. Patterns with ``MIN_SUPPORT`` distinct known
+instances and ``MIN_PRECISION`` are trusted. A candidate of fitting form becomes known if its trusted patterns together
+(noisy-or, each kind apart, only the best pattern of each side, as longer patterns repeat shorter ones) reach
+``MIN_SCORE``, and supports further patterns in the next of ``ROUNDS`` rounds. All documents enter; sums are
+pre-aggregated per task.
+
+Places are counted by words: only a word that is the word next to the span in some pattern that could be trusted leaves
+its task, with the two words before it and the one after it.
 
 Null and empty texts have no spans. Rows with the same id are told apart by their text; repeated rows get equal
 results. Positions count code points, ends are exclusive. Very long runs of digits or letters are matched without
-backtracking. Columns besides id and text are not read, but redact() keeps them.
+backtracking. Columns besides id and text are not read, but redact() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from corpusloom.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_SCORE = 3, 3, 0.6, 0.75
-BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 8 << 20
+BEFORE, AFTER = 3, 2  # words of the longest patterns
 
 # Possessive forms of the contract's patterns. A run that fails at its start fails at all later starts, so a search may
 # begin only where a run begins or the last match ended.
@@ -91,16 +98,37 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*[_seeds_of(text, number, kind) for number, kind in enumerate(KINDS)]))
 
 
-def _contexts(text: Column, start: Column) -> Column:
-    """The lexical patterns before a span: its last word, and its last two."""
-    return _patterns(F.lower(F.substr(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))))
+def _contexts(text: Column, start: Column, end: Column) -> Column:
+    """The lexical patterns beside a span: its last words before it, and its first words after it."""
+    before = F.lower(F.substr(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64))))
+    after = F.lower(F.substr(text, end + 1, F.lit(64)))
+    # the last of 64 characters may cut a word; a word of more is no cue
+    return F.concat(_before(before), _after(F.when(F.length(after) == 64, F.regexp_replace(after, r"\S+$", "")).otherwise(after)))
 
 
-def _patterns(before: Column) -> Column:
-    words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
-    one = F.element_at(words, -1)
-    two = F.concat_ws(" ", F.slice(words, -2, 2))
-    return F.when(F.size(words) >= 2, F.array(one, two)).when(F.size(words) == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _runs(words: Column, side: str, most: int) -> Column:
+    """Patterns of 1 to ``most`` words at the end (side <) or at the start (side >) of ``words``."""
+    size = F.size(words)
+    run = lambda n: F.slice(words, size - n + 1, n) if side == "<" else F.slice(words, F.lit(1), n)
+    wide = F.transform(F.sequence(F.lit(1), F.least(F.greatest(size, F.lit(1)), F.lit(most))), lambda n: F.concat(F.lit(side), F.array_join(run(n), " ")))
+    return F.when(size > 0, wide).otherwise(F.array().cast("array<string>"))
+
+
+def _before(text: Column) -> Column:
+    return _bound(_words(text), lambda w: _runs(w, "<", BEFORE))
+
+
+def _after(text: Column) -> Column:
+    return _bound(_words(text), lambda w: _runs(w, ">", AFTER))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,17 +141,42 @@ def _places(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text_key", "text", _base(text).alias("base"))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     rows = rows.withColumn("more", F.filter(_found(text, CANDIDATE, _CANDIDATE_NEEDS), free))
-    seen = lambda c: F.transform(c, lambda x: F.struct(x["start"], x["end"], F.lower(x["value"]).alias("value"), _contexts(text, x["start"]).alias("patterns")))
+    seen = lambda c: F.transform(c, lambda x: F.struct(x["start"], x["end"], F.lower(x["value"]).alias("value"), _contexts(text, x["start"], x["end"]).alias("patterns")))
     return rows.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, seen("base")).alias("seeds"), F.when(F.size("more") > 0, seen("more")).alias("candidates"))
 
 
-def _near(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join with a materialised table, sent to all tasks only if it is small."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
-def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, text_key, start, end, kind (its number) of candidates that trusted patterns reach."""
+def _near(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a materialised table of strings, sent to all tasks only if its text is small."""
+    size = small.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 32 for c in small.columns), F.lit(0)))).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
+
+
+def _counted(docs: DataFrame, hopeful: DataFrame, n: int) -> DataFrame:
+    """How often the words of each hopeful pattern stand anywhere in the texts: (pattern, places)."""
+    # A wide pattern has fewer places than the one word at its span, which is hopeful whenever the wide one is.
+    # So words go by alone; only those beside a span in some hopeful pattern take their neighbours along.
+    line = hopeful.select(F.substring("pattern", 1, 1).alias("side"), F.split(F.expr("substring(pattern, 2)"), " ").alias("w"))
+    heads = line.select(F.when(F.col("side") == "<", F.element_at("w", -1)).otherwise(F.col("w")[0]).alias("word")).distinct()
+    words = _words(F.lower("text"))
+    none = F.array(F.lit(None).cast("string"))
+    around = _bound(words, lambda w: F.arrays_zip(w.alias("word"), F.concat(none, none, w).alias("b2"), F.concat(none, w).alias("b1"), F.slice(F.concat(w, none), 2, F.greatest(F.size(w), F.lit(1))).alias("a1")))
+    seen = docs.select(F.inline(around).alias("word", "b2", "b1", "a1")).where("word is not null")
+    seen = _near(seen, materialize(heads, n), "word", "left_semi")
+    joined = lambda *c: F.concat_ws(" ", *c)
+    whole = lambda c, *parts: F.when(F.col(c).isNotNull(), F.concat(*parts))
+    patterns = F.array(
+        F.concat(F.lit("<"), "word"), whole("b1", F.lit("<"), joined("b1", "word")), whole("b2", F.lit("<"), joined("b2", "b1", "word")),
+        F.concat(F.lit(">"), "word"), whole("a1", F.lit(">"), joined("word", "a1")),
+    )
+    glued = F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_GLUED), F.lit(1)), _before))
+    places = seen.select(F.explode(patterns).alias("pattern")).where("pattern is not null")
+    places = _near(places, hopeful, "pattern", "left_semi").unionByName(_near(docs.select(F.explode(glued).alias("pattern")), hopeful, "pattern", "left_semi"))
+    return materialize(places.groupBy("pattern").agg(F.count("*").alias("places")), n)
+
+
+def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(found, trusted): doc_id, text_key, start, end, kind (its number) of candidates that trusted patterns reach; and
+    the patterns of the last round with kind, precision and support (distinct known instances)."""
     spark, n = docs.sparkSession, places.count()
     seeds = places.where("seeds is not null").select(F.explode(F.arrays_zip("base", "seeds")).alias("x"))
     seeds = seeds.select(F.col("x.base.kind").alias("kind"), F.col("x.seeds.value").alias("value"), F.explode("x.seeds.patterns").alias("pattern")).groupBy("kind", "value", "pattern").agg(F.count("*").alias("times"))
@@ -131,41 +184,54 @@ def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFr
     other = materialize(other)
     edges = materialize(other.select("value", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.count("*").alias("times")), n)
     known = materialize(seeds.withColumn("weight", F.lit(1.0)), n)
-    nothing = spark.createDataFrame([], "doc_id long, text_key long, start int, end int, kind int")
+    nothing = spark.createDataFrame([], "doc_id long, text_key long, start int, end int, kind int"), spark.createDataFrame([], "pattern string, kind int, precision double, support long")
     if edges.isEmpty():
         return nothing
-    # Patterns that could be trusted: enough seeds, or candidates beside enough seeds later on. Their places are counted once.
-    hopeful = known.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}").select("pattern")
-    hopeful = materialize(hopeful.union(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}").select("pattern")).distinct(), n)
+    # Patterns that could be trusted: enough seeds, or candidates beside enough seeds later on; and beside a candidate, or
+    # they can teach nothing. Their places are counted once.
+    enough = lambda df, *by: df.groupBy(*by).agg(F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}").select("pattern")
+    hopeful = enough(known, "pattern", "kind").union(enough(edges, "pattern")).distinct()
+    hopeful = materialize(hopeful.join(edges.select("pattern").distinct(), "pattern", "left_semi"), n)
     if hopeful.isEmpty():
         return nothing
-    words = F.split(F.lower("text"), r"\s+")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    glued = F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_GLUED), F.lit(1)), _patterns))
-    places_of = _near(docs.select(F.explode(F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 2, F.lit(0))), glued)).alias("pattern")), hopeful, "pattern", "left_semi")
-    common = materialize(places_of.groupBy("pattern").agg(F.count("*").alias("places")), n)
+    common = _counted(docs, hopeful, n)
+    names = F.array(*map(F.lit, KINDS))
+    fitting = edges.join(hopeful, "pattern", "left_semi").withColumn("kind", F.explode(F.array(*map(F.lit, range(len(KINDS)))))).where(_fits(F.element_at(names, F.col("kind") + 1), F.col("value")))
+    fitting = materialize(fitting.groupBy("pattern", "kind").agg(F.sum("times").alias("fitting")), n)
+    known = known.withColumn("settled", F.lit(0).cast("long"))
     answers = None
     for _ in range(rounds):
-        support = known.groupBy("pattern", "kind").agg(F.sum(F.col("weight") * F.col("times")).alias("weight"), F.sum("times").alias("known"), F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}")
-        trusted = support.join(common, "pattern", "left").select("pattern", "kind", F.least(F.lit(1.0), F.col("weight") / F.greatest("places", "known")).alias("precision"))
+        support = known.groupBy("pattern", "kind").agg(F.sum(F.col("weight") * F.col("times")).alias("weight"), F.sum("times").alias("known"), F.sum("settled").alias("settled"), F.count_distinct("value").alias("support")).where(f"support >= {MIN_SUPPORT}")
+        open_ = F.greatest(F.lit(0), F.coalesce("fitting", F.lit(0)) - F.col("settled"))
+        trusted = support.join(common, "pattern").join(fitting, ["pattern", "kind"], "left")
+        trusted = trusted.select("pattern", "kind", "support", F.least(F.lit(1.0), F.col("weight") / F.greatest(F.col("places") - open_ / 2, "known")).alias("precision"))
         trusted = materialize(trusted.where(f"precision >= {MIN_PRECISION}"), n)
-        reached = _near(edges, trusted, "pattern").where(_fits(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.col("value")))
+        reached = _near(edges, trusted, "pattern").where(_fits(F.element_at(names, F.col("kind") + 1), F.col("value")))
+        reached = reached.groupBy("value", "kind", F.substring("pattern", 1, 1).alias("side")).agg(F.max("precision").alias("precision"))
         reached = reached.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("weight"))
         best = reached.groupBy("value").agg(F.max(F.struct("weight", (-F.col("kind")).alias("o"))).alias("b"))
         answers = materialize(best.where(f"b.weight >= {MIN_SCORE}").select("value", (-F.col("b.o")).alias("kind"), F.col("b.weight").alias("weight")), n)
         if answers.isEmpty():
-            return nothing
-        known = materialize(seeds.withColumn("weight", F.lit(1.0)).unionByName(edges.join(answers, "value").select("kind", "value", "pattern", "times", "weight")), n)
-    # A known value counts where a trusted pattern of its kind stands before it.
+            return nothing[0], trusted.select("pattern", "kind", "precision", "support")
+        first = seeds.withColumn("weight", F.lit(1.0)).withColumn("settled", F.lit(0).cast("long"))
+        known = materialize(first.unionByName(edges.join(answers, "value").select("kind", "value", "pattern", "times", "weight", F.col("times").alias("settled"))), n)
+    # A known value counts where a trusted pattern of its kind stands beside it.
     held = _near(other.join(answers.select("value", "kind"), "value").withColumn("pattern", F.explode("patterns")), trusted.select("pattern", F.col("kind").alias("k")), "pattern")
-    return held.where("kind = k").select("doc_id", "text_key", "start", "end", "kind").distinct()
+    return held.where("kind = k").select("doc_id", "text_key", "start", "end", "kind").distinct(), trusted.select("pattern", "kind", "precision", "support")
+
+
+def learned_patterns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """pattern (< stands before a span, > after it), kind, precision and support of what the last round trusts."""
+    rows = _rows(docs, id_col, text_col)
+    trusted = discover(rows, materialize(_places(rows)))[1]
+    return trusted.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, base and spans of every row: array<struct<start, kind, end, value>>, kind as number in KINDS."""
     rows = _rows(docs, id_col, text_col)
     places = materialize(_places(rows))
-    more = discover(rows, places).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "kind", "end", F.lit("").alias("value"))).alias("found"))
+    more = discover(rows, places)[0].groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "kind", "end", F.lit("").alias("value"))).alias("found"))
     same = (F.col("p.text_key") == F.col("m.text_key")) & F.col("p.doc_id").eqNullSafe(F.col("m.doc_id"))
     joined = places.alias("p").join(more.alias("m"), same, "left")
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
@@ -189,16 +255,16 @@ def spans_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with each span of personal data replaced by its kind in angle brackets; overlapping spans by one."""
     found = find(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
-    text, names = F.col(text_col), F.array(*map(F.lit, KINDS))
-    same = (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    rows = docs.join(found, same, "left")
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans").dropDuplicates(["id", "key"])
+    text, names = F.col("old"), F.array(*map(F.lit, KINDS))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("old"))
+    rows = rows.join(found, (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id")), "left")
 
     def step(state, x):
         fresh = x["start"] >= state["at"]
         piece = F.concat(F.substr(text, state["at"] + 1, x["start"] - state["at"]), F.lit("<"), F.element_at(names, x["kind"] + 1), F.lit(">"))
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text) - s["at"])))
-    columns = [F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text) - s["at"])))
+    columns = [F.when(F.col("spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return rows.select(*columns)
