@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import in_arrow, slices
 
 # Names of HTML elements, and words in class, id and role that mark what is no article.
 RAW = frozenset("script style noscript template textarea select svg math iframe object canvas title".split())
@@ -47,7 +47,8 @@ PARTS = frozenset("tr tbody thead tfoot li".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 THRESHOLD, MOST = 0.1, 0.8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A section or quote that nothing closes takes the rest of the page: no later search can then run over it again.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
@@ -61,11 +62,31 @@ def _marked(name: str, value: str, inside: bool) -> bool:
     return not (inside and name == "id") or all(MARKED.match(w) or GENERIC.match(w) for w in re.split(r"[\s_-]+", value) if w)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
+class Paths:
+    """Root-to-leaf paths as numbers: each has a parent with a smaller number, and the name of its last element; 0 is the page."""
+
+    def __init__(self):
+        self.parent, self.name, self._known = [0], [""], {}
+
+    def below(self, path: int, name: str) -> int:
+        key = (path, name)
+        if key not in self._known:
+            self._known[key] = len(self.parent)
+            self.parent.append(path)
+            self.name.append(name)
+        return self._known[key]
+
+    def tag(self, path: int) -> str:
+        return self.name[path].split(".")[0]
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str, bool]]]:
     """(path, text, apart) of every block with text, in page order."""
-    # element, its name in paths, whether it or one above is apart by tag, the innermost element marked by name, whether in an article
-    stack: list[tuple[str, str, bool, int, bool]] = []
-    out: list[tuple[tuple[str, ...], str, bool, int, bool]] = []
+    paths = Paths()
+    # element, its path, whether it or one above is apart by tag, the innermost element marked by name, whether in an article
+    stack: list[tuple[str, int, bool, int, bool]] = []
+    out: list[tuple[int, str, bool, int, bool]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     above, articles, mains = [0], set(), set()  # marked elements are numbered from 1: the marked one above each, and what they hold
 
@@ -74,13 +95,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(x[1] for x in stack if x[0] in BLOCK), text, *(stack[-1][2:] if stack else (False, 0, False))))
+                out.append((stack[-1][1] if stack else 0, text, *(stack[-1][2:] if stack else (False, 0, False))))
 
     def close(at: int) -> None:
         if any(x[0] in BLOCK for x in stack[at:]):
             flush()
+        opened.subtract(x[0] for x in stack[at:])
         del stack[at:]
 
+    def closing(tag: str, at: int) -> int:
+        """Where a raw element ends. Without an end tag scripts and styles take the rest of the page, others only their tag."""
+        if tag not in unclosed:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end:
+                return end.end()
+            unclosed.add(tag)
+        return len(page) if tag in ("script", "style") else at
+
+    unclosed: set[str] = set()
     at = 0
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
@@ -90,7 +122,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                 if stack[i][0] == tag:
                     close(i)
                     break
@@ -99,8 +131,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = closing(tag, at)
             continue
         if tag in VOID:
             held.append(" ")
@@ -131,20 +162,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
                 named |= _marked(name, value, inside)
             elif name == "hidden" or value == "true":
                 hard = True
-        if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
+        if tag == "header" and not inside:
             hard = True
         if tag == "main" or tag == "article" and not named:
             (mains if tag == "main" else articles).add(mark)
         if named and tag not in ("html", "body", "article", "main"):
             above.append(mark)
             mark = len(above) - 1
-        stack.append((tag, tag + marks, hard, mark, inside or tag in ("article", "main")))
+        path = stack[-1][1] if stack else 0
+        stack.append((tag, paths.below(path, tag + marks) if tag in BLOCK else path, hard, mark, inside or tag in ("article", "main")))
+        opened[tag] += 1
     held.append(page[at:])
     flush()
-    return _resolved(out, above, articles, mains)
+    return paths, _resolved(out, above, articles, mains)
 
 
-def _resolved(found, above: list[int], articles: set[int], mains: set[int]) -> list[tuple[tuple[str, ...], str, bool]]:
+def _resolved(found, above: list[int], articles: set[int], mains: set[int]) -> list[tuple[int, str, bool]]:
     """The blocks, apart or not, once it is known which marked elements hold the content."""
     size, free = [0] * len(above), 0
     for _, text, hard, mark, inside in found:
@@ -165,33 +198,30 @@ def _resolved(found, above: list[int], articles: set[int], mains: set[int]) -> l
     return [(path, text, hard or off[mark]) for path, text, hard, mark, _ in found]
 
 
-def _name(path: tuple[str, ...]) -> str:
-    return path[-1].split(".")[0] if path else ""
-
-
-def _roots(chosen: set[tuple[str, ...]]) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
-    """The smallest elements that together hold all chosen paths, and the elements above them."""
-    roots, passed, holders = set(), set(), set(chosen)
-    for path in chosen:
-        n = len(path) - 1
-        while n > 0 and _name(path[:n]) in PARTS:  # lists and tables stay whole
-            n -= 1
-        holders.add(path[: max(n, 0)])
-    for path in chosen:
-        for n in range(len(path) + 1):
-            root = path[:n]
-            if root in roots:
-                break
-            page = _name(root) in ("", "html", "body")
-            if _name(root) in ("article", "main") or not page and root in holders:
-                roots.add(root)
-                break
-            passed.add(root)
-    return roots, passed
+def _roots(paths: Paths, chosen: set[int]) -> tuple[list[bool], set[int]]:
+    """For every path whether it lies under the smallest elements that together hold all chosen paths; and the elements above those."""
+    parent, tags = paths.parent, [paths.tag(p) for p in range(len(paths.parent))]
+    holder = [0] * len(parent)  # of each path the element it lies in; lists and tables stay whole
+    for p in range(1, len(parent)):
+        holder[p] = holder[parent[p]] if tags[parent[p]] in PARTS else parent[p]
+    holders = chosen | {holder[p] for p in chosen}
+    needed = {0}
+    for p in chosen:
+        while p not in needed:
+            needed.add(p)
+            p = parent[p]
+    under, passed = [False] * len(parent), set()
+    for p in range(len(parent)):  # a path comes after its parent
+        page = tags[p] in ("", "html", "body")
+        root = p in needed and (tags[p] in ("article", "main") or not page and p in holders)
+        under[p] = root or under[parent[p]]
+        if p in needed and not under[p]:
+            passed.add(p)
+    return under, passed
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    paths, found = blocks(page or "")
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, apart in found:
         if not apart:
@@ -200,31 +230,30 @@ def main_text(page: str | None) -> str:
             count[path] += 1
     if not count:
         return ""
+    parent = paths.parent
     beside = defaultdict(lambda: [0, 0, 0])
     for path, n in count.items():
-        sums = beside[path[:-1]]
+        sums = beside[parent[path]]
         sums[0] += length[path]
         sums[1] += marks[path]
         sums[2] += n
     fused = {}
     for path, n in count.items():
-        near_length, near_marks, near = beside[path[:-1]]
+        near_length, near_marks, near = beside[parent[path]]
         fused[path] = (length[path] / n + near_length / near) / 2 * (1 + (marks[path] / n + near_marks / near) / 2)
     least = THRESHOLD * max(fused.values())
     chosen = {p for p, f in fused.items() if f >= least}
-    roots, passed = _roots(chosen)
-    direct = {p[:-1] for p in chosen} & passed
-    deepest = max(map(len, roots), default=0)
+    under, passed = _roots(paths, chosen)
+    direct = {parent[p] for p in chosen} & passed
 
-    def kept(p: tuple[str, ...]) -> bool:
-        if p in chosen or any(p[:n] in roots for n in range(min(len(p), deepest) + 1)):
+    def kept(p: int) -> bool:
+        if p in chosen or under[p]:
             return True
-        if p[:-1] in passed:  # a heading on the way; beside the text of a page without containers, any block
-            return _name(p[-1:]) in HEADINGS or p[:-1] in direct
-        return p[:-1] in chosen
+        if parent[p] in passed:  # a heading on the way; beside the text of a page without containers, any block
+            return paths.tag(p) in HEADINGS or parent[p] in direct
+        return parent[p] in chosen
 
-    keep = [t for p, t, apart in found if not apart and kept(p)]
-    return "\n".join(keep)
+    return "\n".join(t for p, t, apart in found if not apart and kept(p))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -236,4 +265,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_pydict({"page_id": part["page_id"].combine_chunks(), "url": part["url"].combine_chunks(), "text": texts, "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(chosen, run, "page_id long, url string, text string, n_chars long")
