@@ -21,15 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, materialize, mix, slices, utf8
+from corpusloom.llm.common import LOWER, in_arrow, materialize, mix, slices, utf8
 
 FIT_ROWS, CELLS = 8192, 1 << 16
 TRUST = 60.0  # trigrams of one text stand for at most so many independent ones
 HOST_WEIGHT, DOMAIN_WEIGHT, EVIDENCE_WEIGHT = 4.0, 8.0, 2.0
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
+GROUP = 256
+_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<[^>]*(?:>|\Z)")  # what nothing closes takes the rest
 
 
 @dataclass
@@ -51,6 +53,14 @@ def _cells(column) -> tuple[np.ndarray, np.ndarray]:
     return (mix(gram[good]) & np.uint64(CELLS - 1)).astype(np.int64), row[good]
 
 
+def _total(part: pa.Table) -> pa.Table:
+    """Counts of one language over tasks, or over groups of them."""
+    total = np.zeros(CELLS)
+    for counts in part["counts"]:
+        total += np.frombuffer(counts.as_buffer(), np.float32)
+    return pa.table({"lang": part["lang"][:1], "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
@@ -66,10 +76,13 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
             langs = np.array(part["lang"].to_pylist(), object)
             for lang in set(langs.tolist()):
                 sums[lang] = sums.get(lang, np.zeros(CELLS, np.int64)) + np.bincount(cell[langs[row] == lang], minlength=CELLS)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "part": pa.array([TaskContext.get().partitionId() // GROUP] * len(sums), pa.int32()), "counts": pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())})
 
     total: dict[str, np.ndarray] = {}
-    for r in chosen.coalesce(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():  # languages times 8 rows of CELLS counts
+    summed = in_arrow(chosen, count, "lang string, part int, counts binary")
+    for keys in (("lang", "part"), ("lang",)):  # no group holds more than the counts of GROUP tasks, or of as many such groups as there are
+        summed = summed.groupBy(*keys).applyInArrow(_total, "lang string, counts binary")
+    for r in summed.toLocalIterator():  # a row of CELLS counts a language
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], np.float32).astype(np.float64)
     languages = sorted(total)
     counts = np.array([total[x] for x in languages]).reshape(len(languages), CELLS) + 0.05
@@ -100,7 +113,7 @@ def identify(pages: DataFrame, model: Model, *, id_col: str = "page_id", url_col
     host = F.nullif(lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
     declared = F.nullif(lower(F.regexp_extract(F.col(html_col), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), declared.alias("declared"), F.col(html_col).alias("html"))
-    rows = rows.mapInArrow(likelihoods, "page_id long, url string, host string, declared string, logs array<double>")
+    rows = in_arrow(rows, likelihoods, "page_id long, url string, host string, declared string, logs array<double>")
     if not k:
         empty = F.lit(None)
         return rows.select("page_id", "url", empty.cast("string").alias("lang"), empty.cast("double").alias("probability"), empty.cast("string").alias("text_lang"), empty.cast("double").alias("text_probability"), "declared")
