@@ -15,13 +15,14 @@ columns are read, so other columns can have any name.
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LETTERS, LOWER, slices, span_hashes, utf8, word_bounds
+from corpusloom.llm.common import LETTERS, LOWER, in_arrow, slices, span_hashes, utf8, word_bounds
 
 BLOCK_BYTES = 8 << 20
 REPORT = (
@@ -189,11 +190,12 @@ def contamination_report(
                 }
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, REPORT)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scan, REPORT)
 
 
 def _judged(column, items: list[Items], hit_share: float) -> dict:
     """Everything the report says of the rows of one shard."""
+    share = Fraction(str(hit_share))
     words, row = words_of(column)
     rows = len(column)
     n_words = np.bincount(row, minlength=rows).astype(np.int64)
@@ -211,13 +213,13 @@ def _judged(column, items: list[Items], hit_share: float) -> dict:
         for pair in np.unique(doc * len(x.ids) + x.item[suffix]).tolist():
             met[pair // len(x.ids)].add(x.ids[pair % len(x.ids)])
         n = shard.common(at, x._query, suffix, x.left[suffix])
-        by = np.lexsort((at, -n, doc))
+        by = np.lexsort((x.item[suffix], at, -n, doc))  # ties: the earliest place, then the item read first
         top = by[np.append(True, doc[by[1:]] != doc[by[:-1]])]
         top = top[n[top] > best[doc[top]]]
         d = doc[top]
         best[d], where[d], which[d] = n[top], at[top] - shard.heads[d], x.ids[x.item[suffix[top]]]
     hit = np.add.reduceat((np.cumsum(cover[:-1]) > 0).astype(np.int64), shard.heads[:-1])
-    dirty = (hit > 0) & (round(1 / hit_share) * hit >= n_words)
+    dirty = (hit > 0) & (share.denominator * hit >= share.numerator * n_words)
     return {"n_words": n_words, "n_hit": hit, "contaminated": dirty, "longest_match": best, "match_start": where, "match_item": which, "item_ids": [sorted(m) for m in met]}
 
 
@@ -243,7 +245,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 5
                 yield pa.RecordBatch.from_pydict({"item_id": pa.array(x.ids[x.item[suffix]], pa.string()), "suffix_start": start, "n_words": n, "doc_id": pa.array(ids[shard.row_of(at)], pa.int64())})
 
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = found.mapInArrow(scan, "item_id string, suffix_start long, n_words long, doc_id long")
+    found = in_arrow(found, scan, "item_id string, suffix_start long, n_words long, doc_id long")
     best = F.max(F.struct("n_words", (-F.col("doc_id")).alias("o")))
     return found.groupBy("item_id", "suffix_start").agg(best.alias("b")).select("item_id", "suffix_start", "b.n_words", (-F.col("b.o")).alias("doc_id"))
 
@@ -260,4 +262,4 @@ def decontaminate(
         for part in slices(batches, text_col):
             yield from part.filter(pa.array(~_judged(part[text_col], items, hit_share)["contaminated"])).to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_arrow(docs, keep, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, SPACED, Lookup, materialize, mix, partitions, slices, span_hashes, utf8, word_bounds
+from corpusloom.llm.common import LOWER, SPACED, in_arrow, Lookup, materialize, mix, partitions, slices, span_hashes, utf8, word_bounds
 
 DEPTH = 5
 BLOCK_BYTES, FAN, GROUP, MOST_SHARDS = 6 << 20, 64, 256, 512
@@ -335,7 +335,7 @@ def score(docs: DataFrame, *, held_out_col: str, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     shards = max(1, min(MOST_SHARDS, partitions(spark)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(held_out_col), F.lit(True)).alias("held"))
-    asked = materialize(rows.mapInArrow(_requests(shards), _STATS + ", rows binary"))
+    asked = materialize(in_arrow(rows, _requests(shards), _STATS + ", rows binary"))
     blocks = asked.where("kind = -1").count()
     stats = asked.where("kind >= 0").select("kind", "shard", "block", "n", "keys", "counts")
     groups = max(1, -(-blocks // FAN))
@@ -345,9 +345,9 @@ def score(docs: DataFrame, *, held_out_col: str, id_col: str = "doc_id", text_co
             break
         groups = -(-groups // FAN)
     model = materialize(stats)
-    sizes = model.where(f"kind = {_WORDS}").mapInArrow(_sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    sizes = in_arrow(model.where(f"kind = {_WORDS}"), _sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     total, distinct = int(sizes[0] or 0), int(sizes[1] or 0)
-    top = model.where(f"kind = {_GRAMS}").mapInArrow(_top_rows, "node long, zeros double, ones double, below double")
+    top = in_arrow(model.where(f"kind = {_GRAMS}"), _top_rows, "node long, zeros double, ones double, below double")
     top = _top(top.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).collect())  # 256 bytes times 255 nodes
     table = spark.sparkContext.broadcast(top)
     parts = max(1, -(-blocks // GROUP))

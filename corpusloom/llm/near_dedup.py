@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, SPACED, materialize, mix, slices, small_batches, span_hashes, utf8, word_bounds
+from corpusloom.llm.common import LOWER, SPACED, in_arrow, materialize, mix, slices, small_batches, span_hashes, utf8, word_bounds
 from corpusloom.llm.components import connected_components
 
 COORDINATES, MISS, CHUNK, _STRIP = 64, 1e-6, 64, 8192
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>")
+    return in_arrow(docs, sign, "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -103,7 +103,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].combine_chunks(), "shingles": sets})
 
-    return docs.mapInArrow(hashed, "doc_id long, shingles array<long>")
+    return in_arrow(docs, hashed, "doc_id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     right = chunks.select("value", F.col("chunk").alias("chunk_b"), F.col("members").alias("members_b"), F.col("open").alias("open_b"))
     blocks = chunks.join(right, "value").where("chunk <= chunk_b and (open or open_b)").select("value", "members", "members_b")
     with small_batches(docs.sparkSession, 8):  # a row holds two chunks with their sets
-        links = links.union(materialize(blocks.mapInArrow(_block_links(percent), "a long, b long")))
+        links = links.union(materialize(in_arrow(blocks, _block_links(percent), "a long, b long")))
 
     parts = connected_components(links.union(_several_texts(real, classes)))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
@@ -233,6 +233,7 @@ def _several_texts(real: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, with all its columns; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """One document of each group, with all its columns, whatever their names; rows with a null id stay."""
+    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select("doc_id").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")

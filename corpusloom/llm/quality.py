@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACED, materialize, slices, span_hashes, utf8, word_bounds
+from corpusloom.llm.common import SPACED, in_arrow, materialize, slices, span_hashes, utf8, word_bounds
 
 FIT_ROWS, BUCKETS, SIZE, HIDDEN, REACH = 8192, 1 << 14, 32, 32, 2
 FIT_TASKS, BLOCKS, GROUP = 8, 64, 256
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     fit = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # fit_rows rows at most
     fit = fit.select("id", "text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).alias("fold"))
     fit = materialize(fit.repartition(FIT_TASKS, "id")).coalesce(FIT_TASKS)  # all tasks read the corpus once; few work on the chosen rows
-    summed = docs.select(F.col(text_col).alias("text")).mapInArrow(_context_sums, "block int, part int, sums binary")
+    summed = in_arrow(docs.select(F.col(text_col).alias("text")), _context_sums, "block int, part int, sums binary")
     for keys in (("block", "part"), ("block",)):  # no group holds more than the blocks of GROUP tasks, or of as many such groups as there are
         summed = summed.groupBy(*keys).applyInArrow(_total, "block int, sums binary")
     contexts = np.zeros((BLOCKS, 2 * BUCKETS * SIZE // BLOCKS), np.float32)
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             rows = pooled(part["text"], shared.value, part.num_rows)
             yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in rows], "label": part["label"].combine_chunks(), "fold": part["fold"].combine_chunks()})
 
-    got = fit.select("text", "label", "fold").mapInArrow(pool, "x binary, label int, fold long").collect()
+    got = in_arrow(fit.select("text", "label", "fold"), pool, "x binary, label int, fold long").collect()
     shared.destroy()
     width = 4 * SIZE + 2
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, width).astype(np.float64)
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             logit = np.clip(_forward(m.layers, np.clip(x, -12, 12)) / m.temperature, -40, 40)
             yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].combine_chunks(), "score": 1 / (1 + np.exp(-logit))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,4 +196,4 @@ def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col:
             logit = np.clip(_forward(m.layers, np.clip(x, -12, 12)) / m.temperature, -40, 40)
             yield from part.filter(pa.array(1 / (1 + np.exp(-logit)) >= threshold)).to_batches()
 
-    return docs.mapInArrow(run, fields)
+    return in_arrow(docs, run, fields)

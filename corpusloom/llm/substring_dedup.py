@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACED, materialize, slices, span_hashes, utf8, word_bounds
+from corpusloom.llm.common import SPACED, in_arrow, materialize, slices, span_hashes, utf8, word_bounds
 from corpusloom.llm.decontaminate import Suffixes
 
 WINDOW, GRAM, HOT, SHARD_WORDS = 50, 6, 2_000, 400_000
@@ -228,7 +228,7 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, id_col: str = "
     """doc_id, text_key (a hash of the text) and intervals (word positions s to e) of every row that repeats a smaller document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    segments = materialize(rows.mapInArrow(_segments(window), "anchor long, content long, doc_id long, text_key long, start int, n int"))
+    segments = materialize(in_arrow(rows, _segments(window), "anchor long, content long, doc_id long, text_key long, start int, n int"))
     place = F.struct("doc_id", "text_key", "start", "n")
     contents = segments.groupBy("anchor", "content").agg(F.min(place).alias("at"), F.max("doc_id").alias("last"))
     contents = contents.select("anchor", "content", "at.*", "last")
@@ -239,14 +239,14 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, id_col: str = "
     kinds = open_.select("anchor", "kinds").distinct()
     texts = rows.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text", "wanted")
     # Rows may repeat, so a content may be fetched more than once; one is enough.
-    fetched = texts.mapInArrow(_fetched(window), "anchor long, content long, doc_id long, words binary").dropDuplicates(["anchor", "content"])
+    fetched = in_arrow(texts, _fetched(window), "anchor long, content long, doc_id long, words binary").dropDuplicates(["anchor", "content"])
     fetched = materialize(fetched.join(kinds, "anchor"))
     size = fetched.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     shards = max(1, int(size // SHARD_WORDS))
     cold = fetched.where(f"kinds <= {HOT}").select("anchor", "content", "doc_id", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     found = cold.groupBy("shard").applyInArrow(_indexed(window), _RUNS)
     hot = fetched.where(f"kinds > {HOT}").select("anchor", "content", "doc_id", "words")
-    each = hot.mapInArrow(_window_hashes(window), "anchor long, content long, doc_id long, at int, hash long")
+    each = in_arrow(hot, _window_hashes(window), "anchor long, content long, doc_id long, at int, hash long")
     least = each.groupBy("hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").select("hash", "least")
     again = each.join(least, "hash").where("least < doc_id").groupBy("anchor", "content").agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + window).cast("int").alias("e"))).alias("runs"))
     runs = found.union(again.select("anchor", "content", "runs"))
@@ -296,7 +296,7 @@ def repeated_report(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _joined(rows, window, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return in_arrow(_joined(rows, window, "doc_id", "text"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,4 +311,4 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
             at = part.schema.get_field_index(text_col)
             yield from part.set_column(at, text_col, pa.array(new, part.schema.field(text_col).type)).drop_columns(["__cuts"]).to_batches()
 
-    return _joined(docs, window, id_col, text_col).select(*docs.columns, "__cuts").mapInArrow(run, fields)
+    return in_arrow(_joined(docs, window, id_col, text_col).select(*docs.columns, "__cuts"), run, fields)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Lookup, slices, span_hashes, utf8
+from corpusloom.llm.common import in_arrow, Lookup, slices, span_hashes, utf8
 
 SPACE = "▁"
 _SLICE, LATTICE_BYTES = 4 << 20, 1 << 19
@@ -360,7 +360,7 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text", ids_col: str
             out = part.select([f.name for f in kept]).append_column(ids_col, _lists(*encoder.encode(part[text_col])))
             yield from out.to_batches()
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return in_arrow(docs, run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -380,7 +380,7 @@ def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", text_col: str =
             texts = pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
             yield from pa.Table.from_batches([batch]).select([f.name for f in kept]).append_column(text_col, texts).to_batches()
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    return in_arrow(rows, run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,4 +399,4 @@ def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].combine_chunks(), "ids": _lists(tokens, bounds), "n_tokens": np.diff(bounds), "ids_sha256": digests, "exact": same})
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, exact boolean")
+    return in_arrow(chosen, run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, exact boolean")
