@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 # Letters that are tokens by themselves (CJK ideographs, kana, hangul).
 SINGLE = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"
-MOTION = "walk run jump move turn rotate throw catch push pull lift drop slide roll swing climb fall spin pour open close".split()
+# Stems that tell of motion.
+MOTION = "walk run move travel enter exit leave approach cross drive ride climb descend turn return arrive depart follow trajectory".split()
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
 def collapsed(text: Column) -> Column:
@@ -51,19 +57,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def benchmark_answer(text: Column) -> Column:
-    """Final answers without box, dollar signs, thousands commas and last full stop; blank ones are null."""
-    x = F.trim(text)
-    x = F.regexp_replace(x, r"^\\boxed\{(.*)\}$", "$1")
-    x = F.trim(F.regexp_replace(x, r"^\$+|\$+$", ""))
-    x = F.regexp_replace(x, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
-    return F.nullif(F.trim(F.regexp_replace(x, r"\.$", "")), F.lit(""))
+    """Final answers without box, dollar signs around them, commas and one last full stop; blank ones are null."""
+    x = stripped(F.regexp_replace(stripped(text), r"(?s)\A\\boxed\{(.*)\}\z", "$1"))
+    x = F.replace(stripped(F.regexp_replace(x, r"\A\$+|\$+\z", "")), F.lit(","), F.lit(""))
+    return F.nullif(stripped(F.regexp_replace(x, r"\.\z", "")), F.lit(""))
 
 
 def answer_letter(text: Column) -> Column:
-    """A to D: after an explicit marker, else leading, else the last one that stands alone; null if there is none."""
-    up = F.upper(F.coalesce(text, F.lit("")))
+    """A to D: right after an explicit marker, else leading with a mark behind it, else the last one that stands alone; null if there is none."""
+    up = F.upper(stripped(F.coalesce(text, F.lit(""))))
     found = lambda p: F.nullif(F.regexp_extract(up, p, 1), F.lit(""))
-    return F.coalesce(found(r"ANSWER(?:\s+IS)?\s*[:：]?\s*\(?([A-D])\b"), found(r"^\s*\(?([A-D])(?:[).:\s]|$)"), found(r"(?s)^.*\b([A-D])\b"))
+    word = r"[\p{L}\p{N}_]"
+    marked = found(rf"(?:ANSWER|OPTION|CHOICE|FINAL)\s*[:：]?\s*[*`#\[]?\s*([ABCD])(?!{word})")
+    return F.coalesce(marked, found(r"\A[*`#\[]?\s*([ABCD])[.)：:]"), found(rf"(?s)\A(?:.*[^\p{{L}}\p{{N}}_])?([ABCD])(?!{word})"))
 
 
 def bounded(text: Column, size: int, marker: str = " ... ") -> Column:
@@ -84,7 +90,7 @@ def without_query(url: Column) -> Column:
 
 
 def has_motion(text: Column) -> Column:
-    return text.rlike(rf"(?i)\b(?:{'|'.join(MOTION)})\w*\b")
+    return text.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(MOTION)})")
 
 
 def clipped(value: Column) -> Column:

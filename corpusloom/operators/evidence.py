@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_tokens
+from corpusloom.functions.text import content_tokens, stripped
 
-# Label sets of the gates.
-BUCKETS = ("frontier", "hard", "easy")
+# Fixed value: the mark before a part of a caption.
+TIMESTAMP = r"\[(\d+):([0-5]\d)-(\d+):([0-5]\d)\]"
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,11 +55,12 @@ def selected_evidence(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def fused_events(evidence: DataFrame, max_gap: float = 5.0, max_event: float = 180.0, similarity: float = 0.32) -> DataFrame:
-    """Evidence (key, id, start, end, entities, text) fused in time order into events.
+    """Evidence (key, id, segment, start, end, entities, text) fused in time order into events.
 
     A unit joins the open event if the whole stays within ``max_event``, the gap is at most ``max_gap``, and they share an
-    entity, overlap, or have texts whose content words are alike. What may join depends on the event so far, so a key is
-    folded in order by one task; keys are single recordings and bounded.
+    entity, have texts whose content words are alike, or overlap and the event has the unit's segment. What may join
+    depends on the event so far, so units are folded in order; but no event crosses a gap of more than ``max_gap``, so
+    a key is first cut there, and a task folds one stretch without such gaps.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,25 +70,67 @@ def fused_events(evidence: DataFrame, max_gap: float = 5.0, max_event: float = 1
             if open_ is not None:
                 gap, both = r.start - open_["end"], open_["words"] | words
                 alike = len(open_["words"] & words) / len(both) if open_["words"] and words else 0.0
-                near = bool(open_["entities"] & entities) or alike >= similarity or gap < 0
+                near = bool(open_["entities"] & entities) or alike >= similarity or gap <= 0 and r.segment in open_["segments"]
                 if max(r.end, open_["end"]) - open_["start"] <= max_event and gap <= max_gap and near:
-                    open_.update(end=max(open_["end"], r.end), entities=open_["entities"] | entities, words=both)
+                    open_.update(end=max(open_["end"], r.end), entities=open_["entities"] | entities, words=both, segments=open_["segments"] | {r.segment})
                     open_["ids"].append(r.id)
                     continue
                 out.append(open_)
-            open_ = {"key": r.key, "start": r.start, "end": r.end, "entities": entities, "words": words, "ids": [r.id]}
+            open_ = {"key": r.key, "start": r.start, "end": r.end, "entities": entities, "words": words, "segments": {r.segment}, "ids": [r.id]}
         out += [open_] if open_ else []
-        return pd.DataFrame([{"key": e["key"], "event": i, "start": e["start"], "end": e["end"], "ids": e["ids"], "entities": sorted(e["entities"])} for i, e in enumerate(out)])
+        return pd.DataFrame([{"key": e["key"], "start": e["start"], "end": e["end"], "ids": e["ids"], "entities": sorted(e["entities"])} for e in out])
 
-    rows = evidence.select("key", "id", "start", "end", "entities", content_tokens(F.col("text")).alias("words"))
-    return rows.groupBy("key").applyInPandas(fold, "key long, event int, start double, end double, ids array<long>, entities array<string>")
+    rows = evidence.select("key", "id", F.coalesce("segment", F.lit(-1)).cast("long").alias("segment"), "start", "end", "entities", content_tokens(F.col("text")).alias("words"))
+    line = Window.partitionBy("key").orderBy("start", "end", "id")
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("cut", F.coalesce((F.col("start") - before > max_gap).cast("long"), F.lit(0)))
+    rows = rows.withColumn("stretch", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("cut")
+    found = rows.groupBy("key", "stretch").applyInPandas(fold, "key long, start double, end double, ids array<long>, entities array<string>")
+    return found.withColumn("event", F.row_number().over(Window.partitionBy("key").orderBy("start", "end", "ids")) - 1)
 
 
 def caption_spans(captions: DataFrame) -> DataFrame:
-    """(key, start_sec, description) from texts with [mm:ss] marks; a description ends at the next mark."""
-    rows = captions.select("key", F.explode(F.regexp_extract_all("caption", F.lit(r"(?s)\[\d+:\d+[^\]]*\][^\[]*"), F.lit(0))).alias("s"))
-    number = lambda g: F.regexp_extract("s", r"^\[(\d+):(\d+)", g).cast("int")
-    return rows.select("key", (number(1) * 60 + number(2)).cast("double").alias("start_sec"), F.trim(F.regexp_replace("s", r"^\[[^\]]*\]", "")).alias("description"))
+    """(key, start_sec, end_sec, description, quality) of captions (key, start_sec, duration_sec, caption).
+
+    A part begins at its mark [mm:ss-mm:ss] and ends at the next; marked times count from the caption's start and are
+    clipped to its duration. Text before the first mark is a part over the whole caption. Empty parts and those that
+    would end before their start are left out.
+    """
+    part = F.posexplode(F.split("caption", f"(?={TIMESTAMP})")).alias("at", "part")
+    rows = captions.where(F.col("caption").isNotNull()).select("key", "start_sec", "duration_sec", part)
+    marked = F.col("part").rlike(f"\\A{TIMESTAMP}")
+    time = lambda m: F.least("duration_sec", (F.regexp_extract("part", f"\\A{TIMESTAMP}", m).cast("long") * 60 + F.regexp_extract("part", f"\\A{TIMESTAMP}", m + 1).cast("long")).cast("double"))
+    rows = rows.select(
+        "key", "at", "start_sec", F.when(marked, time(1)).otherwise(F.lit(0.0)).alias("a"), F.when(marked, time(3)).otherwise(F.col("duration_sec")).alias("b"),
+        stripped(F.regexp_replace("part", f"\\A{TIMESTAMP}", "")).alias("description"), F.when(marked, "anchored").otherwise("unanchored_prefix").alias("quality"),
+    )
+    return rows.where("description <> '' and b >= a").select("key", (F.col("start_sec") + F.col("a")).alias("start_sec"), (F.col("start_sec") + F.col("b")).alias("end_sec"), "description", "quality")
+
+
+def atomic_evidence(events: DataFrame, spans: DataFrame) -> DataFrame:
+    """Events (key, start_sec, end_sec, description) and caption spans in one line of time, with their number within the key."""
+    both = events.select("key", "start_sec", "end_sec", "description", F.lit("observed_event").alias("kind")).unionByName(spans.select("key", "start_sec", "end_sec", "description", F.lit("caption_span").alias("kind")))
+    by = Window.partitionBy("key").orderBy("start_sec", "end_sec", "kind", "description")
+    return both.where("end_sec >= start_sec").withColumn("number", F.row_number().over(by))
+
+
+def entity_tracks(updates: DataFrame) -> DataFrame:
+    """(key, entity, observation, start_sec, end_sec) of updates (key, entity, base, duration, start_sec, end_sec).
+
+    Intervals count from the base of their segment and are clipped to it; without an interval the whole segment counts.
+    Blank entities and intervals that end before they start are left out; observations are numbered in order of time.
+    """
+    start = F.greatest(F.lit(0.0), F.coalesce("start_sec", F.lit(0.0)))
+    end = F.least("duration", F.coalesce("end_sec", "duration"))
+    rows = updates.where("entity <> ''").select("key", "entity", (F.col("base") + start).alias("start_sec"), (F.col("base") + end).alias("end_sec")).where("end_sec >= start_sec")
+    return rows.withColumn("observation", F.row_number().over(Window.partitionBy("key", "entity").orderBy("start_sec", "end_sec")))
+
+
+def ranked_candidates(candidates: DataFrame, most: int) -> DataFrame:
+    """The ``most`` candidates (task, id, evidence, complexity, span) of each task, each set of evidence once, most complex first, then longest, then by id."""
+    order = [F.desc("complexity"), F.desc("span"), F.asc("id")]
+    first = candidates.groupBy("task", "evidence").agg(F.min_by(F.struct("id", "complexity", "span"), F.struct(-F.col("complexity"), -F.col("span"), "id")).alias("r")).select("task", "evidence", "r.*")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy(*order))).where(F.col("rank") <= most)
 
 
 def complexity(min_hops: Column, units: Column, span: Column) -> Column:

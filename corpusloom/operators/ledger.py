@@ -6,11 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coverage_slices(rows: DataFrame, axes: list[str], good: Column, calls: Column, target: int) -> DataFrame:
-    """Per slice of the axes: rows, good ones, calls, and the gap to the target."""
+def coverage_slices(rows: DataFrame, axes: list[str], good: Column, calls: Column, target: int, tagged: Column | None = None) -> DataFrame:
+    """Per slice of the axes: rows, good ones, calls, repeats of failure, and how many rows the slice lacks of the target.
+
+    ``tagged`` tells whether a row has failure tags; failures without any are no repeats.
+    """
+    named = [F.coalesce(F.col(a).cast("string"), F.lit("∅")).alias(a) for a in axes]
+    failed = ~good & (F.lit(False) if tagged is None else F.coalesce(tagged, F.lit(False)))
+    flat = rows.select(*named, good.cast("long").alias("g"), calls.alias("c"), failed.cast("long").alias("f"))
+    least = lambda x: F.greatest(F.lit(0), x).cast("long")
+    return flat.groupBy(*axes).agg(F.count("*").alias("n"), F.sum("g").alias("good"), F.sum("c").alias("calls"), least(F.sum("f") - 1).alias("repeated_failure"), least(F.lit(target) - F.count("*")).alias("gap"))
+
+
+def ranked_gaps(slices: DataFrame, axes: list[str]) -> DataFrame:
+    """Slices by gap, widest first; ties by their axes."""
+    return slices.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gap"), *axes)))  # a row a slice
+
+
+def failure_tags(rows: DataFrame, axes: list[str], good: Column, tags: Column) -> DataFrame:
+    """How often each tag stands at failures of each slice."""
     named = [F.coalesce(F.col(a).cast("string"), F.lit("∅")).alias(a) for a in axes]
-    flat = rows.select(*named, good.cast("long").alias("g"), calls.alias("c"))
-    return flat.groupBy(*axes).agg(F.count("*").alias("n"), F.sum("g").alias("good"), F.sum("c").alias("calls"), F.greatest(F.lit(0), F.lit(target) - F.sum("g")).cast("long").alias("gap"))
+    return rows.where(~good).select(*named, F.explode(tags).alias("tag")).groupBy(*axes, "tag").agg(F.count("*").alias("n"))
+
+
+def rewrite_roots(rows: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
+    """(id, root): the first row of each chain of rewrites, by doubling the steps of all chains at once.
+
+    A parent that is no row ends its chain, as its root. A chain that runs into a circle takes the smallest id of it.
+    """
+    up = rows.select(F.col(id_col).alias("id"), F.coalesce(parent_col, id_col).alias("root"), F.least(F.col(id_col), F.coalesce(parent_col, id_col)).alias("least"))
+    ids = rows.select(F.col(id_col).alias("root"))
+    ends = rows.where(F.col(parent_col).isNull() | (F.col(parent_col) == F.col(id_col))).select(F.col(id_col).alias("root")).union(rows.select(F.col(parent_col).alias("root")).join(ids, "root", "left_anti")).distinct()
+    steps = 1
+    while True:
+        above = up.select(F.col("id").alias("a"), F.col("root").alias("r"), F.col("least").alias("l"))
+        up = up.join(above, up["root"] == above["a"], "left").select("id", F.coalesce("r", "root").alias("root"), F.least("least", F.coalesce("l", "least")).alias("least"))
+        up = up.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else up.persist()
+        steps *= 2
+        open_ = up.join(ends, "root", "left_anti")
+        if steps >= open_.count():  # none, or all that is left points into a circle and has gone round it
+            break
+    named = up.select(F.col("id").alias("root"), F.col("least").alias("first"))
+    circles = open_.join(named, "root").select("id", "first")
+    return up.join(circles, "id", "left").select("id", F.coalesce("first", "root").alias("root"))
+
+
+def rewrite_targets(rows: DataFrame, roots: DataFrame, structural: list[str]) -> DataFrame:
+    """The latest failure (id, good, tags, at) of each root without a good row; failures without tags or with a structural one don't count."""
+    placed = rows.join(roots, "id")
+    solved = placed.where("good").select("root").distinct()
+    open_ = placed.where(~F.col("good") & (F.size("tags") > 0) & ~F.arrays_overlap("tags", F.array(*map(F.lit, structural)))).join(solved, "root", "left_anti")
+    return open_.groupBy("root").agg(F.max_by(F.struct("id", "at"), F.struct("at", -F.col("id"))).alias("r")).select("root", "r.*")
 
 
 def axis_entropy(rows: DataFrame, axis: str) -> DataFrame:
@@ -82,14 +128,21 @@ def threshold_filter(rows: DataFrame, score: str, least: float) -> DataFrame:
     return rows.where(F.col(score).isNull() | (F.col(score) >= least))
 
 
-def rubric_decision(axes: dict[str, float], mean_least: float, environment: Column, scores: Column) -> Column:
-    """Failures in order, empty if good: the environment must be true, each axis reach its minimum, and the mean its own."""
-    checks = [F.when(~F.coalesce(environment, F.lit(False)), "environment")]
-    checks += [F.when(F.coalesce(scores[a] < m, F.lit(True)), f"axis:{a}") for a, m in axes.items()]
-    there = F.filter(F.array(*[scores[a] for a in axes]), lambda x: x.isNotNull())
-    mean = F.aggregate(there, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(there), F.lit(0))
-    checks.append(F.when(F.coalesce(mean < mean_least, F.lit(True)), "mean"))
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+def rubric_decision(axes: dict[str, tuple[float, float]], average_least: float, environment: Column, scores: Column) -> Column:
+    """struct(good, average, failures). ``axes``: minimum and weight of each; ``scores``: a map of what was given.
+
+    Unless the environment is true nothing else counts. Missing axes and those below their minimum are failures; the
+    weighted average over the axes at hand is looked at only if there are none.
+    """
+    checks = [F.when(scores[a].isNull(), f"missing_axis:{a}").when(scores[a] < least, f"below_minimum:{a}") for a, (least, _) in axes.items()]
+    of_axes = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    total = sum((F.when(scores[a].isNotNull(), F.lit(float(w))).otherwise(0.0) for a, (_, w) in axes.items()), F.lit(0.0))
+    average = sum((F.coalesce(scores[a], F.lit(0.0)) * float(w) for a, (_, w) in axes.items()), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
+    none = F.array().cast("array<string>")
+    failures = F.when(F.size(of_axes) > 0, of_axes).when(average < average_least, F.array(F.lit("below_minimum_average"))).otherwise(none)
+    valid = F.coalesce(environment, F.lit(False))
+    failures = F.when(valid, failures).otherwise(F.array(F.lit("environment_invalid")))
+    return F.struct((valid & (F.size(failures) == 0) & (total > 0)).alias("good"), F.when(valid, average).alias("average"), failures.alias("failures"))
 
 
 def incumbents(rounds: DataFrame, group: list[str], strict: bool = True) -> DataFrame:

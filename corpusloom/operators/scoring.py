@@ -47,11 +47,35 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def majority_votes(samples: DataFrame) -> DataFrame:
-    """Per question (question, sample, answer, good): the commonest answer, first seen on ties, pass@n and avg@n."""
-    votes = samples.groupBy("question", "answer").agg(F.count("*").alias("n"), F.min("sample").alias("first"), F.max("good").alias("good"))
+    """Per question (question, sample, answer, good): the commonest answer, first seen on ties, pass@n, avg@n and the share of samples with an answer.
+
+    Null and blank answers don't vote; without any vote the majority is null and not good.
+    """
+    said = F.trim(F.col("answer")) != ""
+    votes = samples.where(said).groupBy("question", "answer").agg(F.count("*").alias("n"), F.min("sample").alias("first"), F.max("good").alias("good"))
     best = votes.groupBy("question").agg(F.min_by(F.struct("answer", "good"), F.struct(-F.col("n"), "first", "answer")).alias("b"))
-    whole = samples.groupBy("question").agg(F.count("*").alias("samples"), F.max("good").alias("pass_n"), F.round(F.avg(F.col("good").cast("double")), 6).alias("avg_n"))
-    return whole.join(best, "question").select("question", "samples", "pass_n", "avg_n", F.col("b.answer").alias("majority"), F.col("b.good").alias("majority_good"))
+    whole = samples.groupBy("question").agg(F.count("*").alias("samples"), F.max("good").alias("pass_n"), F.round(F.avg(F.col("good").cast("double")), 6).alias("avg_n"), F.round(F.avg(F.coalesce(said, F.lit(False)).cast("double")), 6).alias("format_rate"))
+    return whole.join(best, "question", "left").select("question", "samples", "pass_n", "avg_n", "format_rate", F.col("b.answer").alias("majority"), F.coalesce("b.good", F.lit(False)).alias("majority_good"))
+
+
+def sampled_summary(samples: DataFrame, metric: str, max_tokens: int) -> DataFrame:
+    """One row for samples (question, sample from 0, parsed, good, finish_reason, tokens): score by ``metric`` and the failures by kind.
+
+    accuracy looks at the first sample of each question, pass at whether any is good (a failure is judged by the first
+    sample), avg at all samples. A failure is runaway if it was cut off or didn't stop, else unparsed, else wrong.
+    """
+    if metric not in ("accuracy", "pass", "avg"):
+        raise ValueError(f"unsupported metric {metric!r}")
+    reason = F.coalesce("finish_reason", F.lit(""))
+    cut = (reason == "length") | F.coalesce(F.col("tokens") >= max_tokens - 1, F.lit(False))
+    kind = F.when(cut | ~reason.isin("", "stop"), "runaway").when(F.coalesce(F.trim("parsed") == "", F.lit(True)), "parse_failure").otherwise("wrong_answer")
+    rows = samples.select("question", "sample", F.coalesce("good", F.lit(False)).alias("good"), kind.alias("kind"))
+    if metric != "avg":
+        good = F.max("good") if metric == "pass" else F.max_by("good", -F.col("sample"))
+        rows = rows.groupBy("question").agg(good.alias("good"), F.max_by("kind", -F.col("sample")).alias("kind"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    figures = [count(~F.col("good") & (F.col("kind") == k)).alias(f"{k}_count") for k in ("wrong_answer", "parse_failure", "runaway")]
+    return rows.agg(F.round(F.avg(F.col("good").cast("double")), 6).alias("score"), count(F.col("good")).alias("correct_count"), F.count("*").alias("total_count"), *figures)
 
 
 def score_deltas(history: DataFrame) -> DataFrame:

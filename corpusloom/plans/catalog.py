@@ -29,10 +29,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from corpusloom.plans import judging  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from corpusloom.plans import judging  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -214,7 +218,7 @@ def selected_evidence(spark, sf_dir):
 @query()
 def fused_events(spark, sf_dir):
     u = _units(spark, sf_dir).join(_t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type"), "id")
-    return evidence.fused_events(u.select("key", "id", "start", "end", F.array("event_type").alias("entities"), F.col("event_type").alias("text")), max_gap=3600, max_event=86_400)
+    return evidence.fused_events(u.select("key", "id", "start", "end", F.lit(0).alias("segment"), F.array("event_type").alias("entities"), F.col("event_type").alias("text")), max_gap=3600, max_event=86_400)
 
 
 _ANSWERS = "SELECT l_linestatus AS benchmark, l_orderkey AS question_id, nullif(l_returnflag, 'N') AS predicted, 'R' AS correct, CASE WHEN l_quantity > 45 THEN 'length' ELSE 'stop' END AS finish_reason FROM lineitem"
@@ -252,11 +256,11 @@ def grouped_accuracy(spark, sf_dir):
     return scoring.grouped_accuracy(rows, ["st", "pr"], F.col("o_totalprice") > 100000)
 
 
-@query("""WITH s AS (SELECT l_orderkey AS question, l_linenumber::BIGINT * 1000000 + l_partkey AS sample, l_returnflag AS answer, l_returnflag = 'R' AS good FROM lineitem), v AS (SELECT question, answer, count(*) AS n, min(sample) AS f FROM s GROUP BY 1, 2)
-SELECT q.*, m.answer AS majority, m.answer = 'R' AS majority_good FROM (SELECT question, count(*) AS samples, bool_or(good) AS pass_n, round(avg(good::INT), 6) AS avg_n FROM s GROUP BY 1) q
-JOIN (SELECT question, arg_min(answer, (-n, f, answer)) AS answer FROM v GROUP BY 1) m USING (question)""")
+@query("""WITH s AS (SELECT l_orderkey AS question, l_linenumber::BIGINT * 1000000 + l_partkey AS sample, nullif(l_returnflag, 'N') AS answer, l_returnflag = 'R' AS good FROM lineitem), v AS (SELECT question, answer, count(*) AS n, min(sample) AS f FROM s WHERE answer IS NOT NULL GROUP BY 1, 2)
+SELECT q.*, m.answer AS majority, coalesce(m.answer = 'R', false) AS majority_good FROM (SELECT question, count(*) AS samples, bool_or(good) AS pass_n, round(avg(good::INT), 6) AS avg_n, round(count(answer) / count(*), 6) AS format_rate FROM s GROUP BY 1) q
+LEFT JOIN (SELECT question, arg_min(answer, (-n, f, answer)) AS answer FROM v GROUP BY 1) m USING (question)""")
 def majority_votes(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question"), (F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")).alias("sample"), F.col("l_returnflag").alias("answer"), (F.col("l_returnflag") == "R").alias("good"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question"), (F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")).alias("sample"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("answer"), (F.col("l_returnflag") == "R").alias("good"))
     return scoring.majority_votes(rows)
 
 
@@ -272,9 +276,10 @@ def latest_event(spark, sf_dir):
     return scoring.latest(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT coalesce(event_type, '∅') AS event_type, count(*) AS n, sum((value > 5)::BIGINT)::BIGINT AS good, sum((props->>'k')::BIGINT)::BIGINT AS calls, greatest(0, 600 - sum((value > 5)::BIGINT))::BIGINT AS gap FROM events GROUP BY 1")
+@query("SELECT coalesce(event_type, '∅') AS event_type, count(*) AS n, sum((value > 5)::BIGINT)::BIGINT AS good, sum((props->>'k')::BIGINT)::BIGINT AS calls, greatest(0, sum((value <= 5 AND (props->>'k')::BIGINT > 3)::BIGINT) - 1)::BIGINT AS repeated_failure, greatest(0, 2100 - count(*))::BIGINT AS gap FROM events GROUP BY 1")
 def coverage_slices(spark, sf_dir):
-    return ledger.coverage_slices(_t(spark, sf_dir, "events"), ["event_type"], F.col("value") > 5, F.get_json_object("props", "$.k").cast("long"), 600)
+    k = F.get_json_object("props", "$.k").cast("long")
+    return ledger.coverage_slices(_t(spark, sf_dir, "events"), ["event_type"], F.col("value") > 5, k, 2100, k > 3)
 
 
 @query("WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1) SELECT 'event_type' AS axis, count(*) AS classes, round((ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*)), 6) AS entropy FROM c")
@@ -326,10 +331,10 @@ def compatible_pairs(spark, sf_dir):
     return pairs.select("s_suppkey", "n_name", "r_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
 def unattempted(spark, sf_dir):
     customers = _t(spark, sf_dir, "customer").select("c_custkey")
-    return ledger.unattempted(customers, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return ledger.unattempted(customers, _t(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""WITH t AS (SELECT c_nationkey AS edit, c_mktsegment AS category, c_custkey AS pair, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY md5('5:' || c_custkey::VARCHAR), c_custkey) AS turn FROM customer)

@@ -41,7 +41,7 @@ class Operator:
     settings: dict = field(default_factory=dict)
 
     def identity(self, before: str) -> str:
-        state = [before, self.name, self.version, sorted(self.reads), sorted(self.adds), self.settings]
+        state = [before, self.name, self.version, sorted(self.reads), sorted(self.adds), sorted(self.drops), self.settings]
         return hashlib.sha256(json.dumps(state, sort_keys=True, default=str).encode()).hexdigest()
 
 

@@ -20,7 +20,7 @@ def test_benchmark_answer(spark, text, want):
     assert one(spark, X.benchmark_answer(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("Answer: (b) because", "B"), ("c) yes", "C"), ("it may be A or D", "D"), ("none", None), ("", None), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("Answer: (b) because", "B"), ("c) yes", "C"), ("it may be A or D", "D"), ("none", None), ("", None), (None, None), ("A man runs, so B", "B"), ("Option C, not A", "C"), ("The final choice is D", "D"), ("C.", "C"), ("no option", None)])
 def test_answer_letter(spark, text, want):
     assert one(spark, X.answer_letter(F.col("t")), t=text) == want
 
@@ -33,6 +33,7 @@ def test_text_functions(spark):
     assert one(spark, X.folded_answer(F.col("t")), t="  Straße  X ") == "strasse x"
     assert one(spark, X.bounded(F.col("t"), 10), t="abcdefghijklmnop") == "a ... mnop"
     assert one(spark, X.has_motion(F.col("t")), t="She walked") is True
+    assert one(spark, X.has_motion(F.col("t")), t="He throws") is False
 
 
 def test_scores(spark):
@@ -85,12 +86,13 @@ def test_embedding_blocks(spark, monkeypatch):
 
 
 def test_evidence(spark):
-    rows = [(1, 1, 0.0, 10.0, ["a"], "red car turns"), (1, 2, 12.0, 20.0, ["a"], "other"), (1, 3, 40.0, 50.0, ["a"], "far"), (1, 4, 51.0, 60.0, ["b"], "unlike words here"), (2, 5, 0.0, 1.0, [], "x")]
-    df = spark.createDataFrame(rows, "key long, id long, start double, end double, entities array<string>, text string")
-    got = {tuple(r.ids) for r in evidence.fused_events(df).collect()}
-    assert got == {(1, 2), (3,), (4,), (5,)}
-    captions = spark.createDataFrame([(1, "[00:05-00:09] A man. [01:00] Next")], "key long, caption string")
-    assert [tuple(r)[1:] for r in evidence.caption_spans(captions).collect()] == [(5.0, "A man."), (60.0, "Next")]
+    rows = [(1, 1, 0, 0.0, 10.0, ["a"], "red car turns"), (1, 2, 0, 12.0, 20.0, ["a"], "other"), (1, 3, 0, 40.0, 50.0, ["a"], "far"), (1, 4, 0, 51.0, 60.0, ["b"], "unlike words here"), (2, 5, 0, 0.0, 1.0, [], "x")]
+    rows += [(3, 6, 0, 0.0, 10.0, [], "aaa"), (3, 7, 0, 10.0, 12.0, [], "bbb"), (3, 8, 1, 11.0, 13.0, [], "ccc")]
+    df = spark.createDataFrame(rows, "key long, id long, segment int, start double, end double, entities array<string>, text string")
+    got = {(r.event, *r.ids) for r in evidence.fused_events(df).collect()}
+    assert got == {(0, 1, 2), (1, 3), (2, 4), (0, 5), (0, 6, 7), (1, 8)}  # units overlap only within a segment
+    captions = spark.createDataFrame([(1, 60.0, 30.0, "[00:05-00:09] A man. [01:00] Next"), (2, 0.0, 30.0, None)], "key long, start_sec double, duration_sec double, caption string")
+    assert [tuple(r)[1:] for r in evidence.caption_spans(captions).collect()] == [(65.0, 69.0, "A man. [01:00] Next", "anchored")]
     items = [("q", ["a", "b", "c", "d"], "A", ["e"], "r"), ("q", ["a", "b"], "a", ["e"], "r"), (" ", None, None, None, None), ("q", ["a", "a", "c", "d"], "a", ["e"], "r"), ("q", ["a", "b", "c", "d"], "a", [], "r")]
     df = spark.createDataFrame(items, "q string, c array<string>, a string, e array<string>, r string")
     want = [None, "choices_not_four", "missing_question", "answer_not_unique_choice", "missing_evidence"]
@@ -98,9 +100,11 @@ def test_evidence(spark):
 
 
 def test_rubric_and_selection(spark):
-    df = spark.createDataFrame([(True, {"if": 4.0, "vc": 3.0}), (None, {"if": 5.0}), (True, {"if": 4.0, "vc": 2.0})], "ok boolean, s map<string,double>")
-    got = [r.x for r in df.select(ledger.rubric_decision({"if": 4, "vc": 3}, 3.5, F.col("ok"), F.col("s")).alias("x")).collect()]
-    assert got == [[], ["environment", "axis:vc"], ["axis:vc", "mean"]]
+    df = spark.createDataFrame([(True, {"if": 4.0, "vc": 3.0}), (None, {"if": 5.0}), (True, {"if": 4.0, "vc": 2.0}), (True, {"if": 4.0}), (True, {"if": 4.0, "vc": 3.0})], "ok boolean, s map<string,double>")
+    got = [tuple(r.x) for r in df.select(ledger.rubric_decision({"if": (4, 1), "vc": (3, 1)}, 3.5, F.col("ok"), F.col("s")).alias("x")).collect()]
+    assert got == [(True, 3.5, []), (False, None, ["environment_invalid"]), (False, 3.0, ["below_minimum:vc"]), (False, 4.0, ["missing_axis:vc"]), (True, 3.5, [])]
+    chain = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9), (5, 6), (6, 7), (7, 6), (8, None)], "id long, parent long")
+    assert {r.id: r.root for r in ledger.rewrite_roots(chain).collect()} == {1: 1, 2: 1, 3: 1, 4: 9, 5: 6, 6: 6, 7: 6, 8: 8}  # 6 and 7 run in a circle
     assert best([(False, 0.9), (True, 0.5), (True, 0.5)]) == 1 and best([(True, 0.5), (True, 0.5)], strict=False) == 1
     assert review_score({"a": 0.5}, {"a": 1, "b": 1}, 0.5) == 0.5 and review_score({"a": 0.5}, {"a": 1}, 0.5, "penalty") == 0.25
 
