@@ -4,11 +4,11 @@ Vectors are lengthened by one coordinate so that all have the largest norm; near
 product. A bounded sample (``SAMPLE`` rows by hash, documented bound) is halved again and again until parts hold about
 ``LIST_ROWS`` rows of the whole table or ``MIN_PART`` sampled ones; the parts' means are the centroids. Every vector is
 then posted, in tasks, to its nearest centroid and to a second one whose distance is within ``CLOSURE`` of the nearest
-(boundary replicas). Centroids are found through a neighbour graph in memory. A query reads the lists whose centroid
-distance is within a ratio of its nearest. No number of lists is fixed: the ratio is the smallest under which sampled
-queries would find the share ``target`` of their true neighbours in the sample, where neighbours lie further off than in
-the whole table; ``target=1`` reads all lists, which is exact. So well parted vectors read few lists, and vectors
-without any structure as many as it takes.
+(boundary replicas). Centroids are found through a neighbour graph in memory. A query reads its nearest lists as long as
+their centroid distance is within a ratio of the nearest one's. Neither the number nor the ratio is fixed: both are fitted
+on sampled queries, the number so that it holds the share ``target`` of their true neighbours in the sample, where
+neighbours lie further off than in the whole table, the ratio so that it cuts ``CUT`` of these at most; ``target=1`` reads
+all lists, which is exact. So well parted vectors read few lists, and vectors without any structure as many as it takes.
 
 Equal vectors are one class, kept with its smallest ids, as many as an answer can hold; so a vector that a third of
 all rows share is posted once. Neighbouring lists are searched together as a bundle, and bundles of more than ``SPLIT``
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from corpusloom.llm.common import in_arrow, materialize
 
 SAMPLE, LIST_ROWS, MIN_PART = 32_768, 32, 8
 REPLICAS, CLOSURE = 2, 1.04
-TARGET, TRIED = 0.94, 512
+TARGET, CUT, TRIED = 0.94, 0.005, 512
 SPLIT, BUNDLE = 4_096, 16
 DEGREE, BEAM = 16, 48
 SALTS = 64
@@ -142,32 +143,34 @@ class Index:
     centroids: Broadcast
     norm: float
     ratio: float  # lists up to this multiple of the nearest centroid's distance are read
-    most: int  # lists that a query may have within it
+    most: int  # lists that a query reads at most
     rows: int
 
 
-def _ratio(centroids: Centroids, points: np.ndarray, target: float, k: int) -> tuple[float, int]:
-    """The distance ratio under which sampled rows find ``target`` of their nearest sampled rows, and a bound of the lists within it."""
+def _reach(centroids: Centroids, points: np.ndarray, target: float, k: int) -> tuple[float, int]:
+    """(ratio, lists): up to which ratio of the nearest distance, and up to how many lists, sampled rows must read to find ``target`` of their nearest sampled rows."""
     n = len(centroids.points)
     if target >= 1 or n == 1 or len(points) <= k + 1:
         return float("inf"), n
     asked = np.random.default_rng(9).choice(len(points), min(TRIED, len(points)), replace=False)
-    home = np.empty((len(points), min(REPLICAS, n)), np.int64)
-    for at in range(0, len(points), 1024):
-        place, far = centroids.search(points[at : at + 1024], REPLICAS)
-        home[at : at + 1024] = np.where(far <= CLOSURE * far[:, :1] + 1e-7, place, place[:, :1])
-    need = []
+    best, ratios, ranks = [], [], []
     for at in range(0, len(asked), 64):
         own = asked[at : at + 64]
         near = points[own] @ points.T
         near[np.arange(len(own)), own] = -np.inf
-        best = np.argpartition(-near, k, axis=1)[:, :k]
-        far = centroids._distance(points[own] @ centroids.points.T)
-        reach = far[np.arange(len(own))[:, None, None], home[best]].min(axis=2)
-        need.append(reach / np.maximum(far.min(axis=1, keepdims=True), 1e-6))
-    ratio = max(1.0, float(np.quantile(np.concatenate(need), target))) + 1e-6
-    far = centroids._distance(points[asked] @ centroids.points.T)
-    return ratio, min(n, int(1.25 * (far <= ratio * far.min(axis=1, keepdims=True)).sum(axis=1).max()) + 8)
+        best.append(np.argpartition(-near, k, axis=1)[:, :k])
+    best = np.concatenate(best)
+    rows, back = np.unique(best, return_inverse=True)
+    place, far = centroids.search(points[rows], REPLICAS)
+    home = np.where(far <= CLOSURE * far[:, :1] + 1e-7, place, place[:, :1])[back.reshape(best.shape)]
+    for at in range(0, len(asked), 64):
+        far = centroids._distance(points[asked[at : at + 64]] @ centroids.points.T)
+        lines = np.arange(len(far))[:, None, None]
+        rank = np.empty(far.shape, np.int64)
+        np.put_along_axis(rank, np.argsort(far, axis=1), np.arange(n)[None, :], axis=1)
+        ranks.append(rank[lines, home[at : at + 64]].min(axis=2))
+        ratios.append(far[lines, home[at : at + 64]].min(axis=2) / np.maximum(far.min(axis=1, keepdims=True), 1e-6))
+    return max(1.0, float(np.quantile(np.concatenate(ratios), 1 - CUT))) + 1e-6, min(n, int(np.quantile(np.concatenate(ranks), target)) + 2)
 
 
 def build_index(vectors: DataFrame, *, k: int = 20, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> Index | None:
@@ -185,7 +188,7 @@ def build_index(vectors: DataFrame, *, k: int = 20, target: float = TARGET, id_c
     points = _lengthened(_matrix(sample.toArrow()["v"]), norm)
     parts = max(1, min(facts["n"] // LIST_ROWS, len(points) // MIN_PART))
     found = Centroids(np.array(_halved(points, parts, np.random.default_rng(5))))
-    ratio, most = _ratio(found, points, target, k)
+    ratio, most = _reach(found, points, target, k)
     shared = spark.sparkContext.broadcast(found)  # at most SAMPLE / MIN_PART rows
 
     def post(batches):
@@ -206,7 +209,7 @@ def build_index(vectors: DataFrame, *, k: int = 20, target: float = TARGET, id_c
 
 
 def _probes(index: Index, asking: DataFrame) -> DataFrame:
-    """(query, v, lists): the lists that each query class (class, v) reads."""
+    """(query, v, bundle, lists): the lists that each query class (class, v) reads, by bundle."""
     centroids, norm, ratio, most = index.centroids, index.norm, index.ratio, index.most
 
     def probe(batches):
@@ -214,11 +217,16 @@ def _probes(index: Index, asking: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 place, far = centroids.value.search(_plain(_matrix(part.column("v")), norm), most)
-                keep = far <= ratio * far[:, :1] + 1e-7
-                cuts = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"query": part.column("class"), "v": part.column("v"), "lists": pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[keep]))})
+                own, at_ = np.nonzero(far <= ratio * far[:, :1] + 1e-7)
+                lists = place[own, at_]
+                order = np.lexsort((lists, own))
+                own, lists = own[order], lists[order]
+                heads = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (lists[1:] // BUNDLE != lists[:-1] // BUNDLE))) if len(own) else own
+                row = pa.array(own[heads])
+                cuts = pa.array(np.append(heads, len(own)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"query": part.column("class").take(row), "v": part.column("v").take(row), "bundle": lists[heads] // BUNDLE, "lists": pa.ListArray.from_arrays(cuts, pa.array(lists))})
 
-    return in_arrow(asking, probe, "query long, v array<double>, lists array<long>")
+    return in_arrow(asking, probe, "query long, v array<double>, bundle long, lists array<long>")
 
 
 def work(index: Index, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
@@ -234,37 +242,31 @@ def search(index: Index, queries: DataFrame, *, k: int = 20, id_col: str = "vec_
     wanted = materialize(_query_classes(queries, index.classes, id_col, vector_col))
     asking = index.classes.join(wanted.select("class").distinct(), "class", "left_semi").select("class", "v")
     pieces = index.sizes.select("bundle", "pieces").distinct()
-    probes = _probes(index, asking).select("query", "v", F.explode("lists").alias("list")).withColumn("bundle", F.floor(F.col("list") / BUNDLE))
-    probes = probes.groupBy("query", "bundle").agg(F.collect_list("list").alias("lists"))  # BUNDLE at most
-    probes = probes.join(asking.withColumnRenamed("class", "query"), "query").join(F.broadcast(pieces), "bundle")
+    probes = _probes(index, asking).join(F.broadcast(pieces), "bundle")
     probes = probes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
 
     def scan(keys, have, ask):
-        none = pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not have.num_rows or not ask.num_rows:
-            return none
-        base, ids, place = _matrix(have["v"]), have["class"].to_numpy(), have["list"].to_numpy()
-        lists = ask["lists"].combine_chunks()
-        named, vectors, wants = ask["query"].to_numpy(), _matrix(ask["v"]), np.repeat(np.arange(ask.num_rows), np.diff(lists.offsets.to_numpy()))
-        flat, q, c, s = lists.flatten().to_numpy(), [], [], []
-        for one in np.unique(place):
-            rows, members = wants[flat == one], np.flatnonzero(place == one)
-            if len(rows):
-                q.append(np.repeat(rows, len(members)))
-                c.append(np.tile(members, len(rows)))
-                s.append((vectors[rows] @ base[members].T).ravel())
-        if not q:
-            return none
-        q, c, s = (np.concatenate(x) for x in (q, c, s))
-        order = np.lexsort((ids[c], -s, q))
-        q, c, s = q[order], c[order], s[order]
-        again = np.append(False, (q[1:] == q[:-1]) & (c[1:] == c[:-1]))
-        same = np.append(False, (q[1:] == q[:-1]) & (ids[c][1:] == ids[c][:-1]))  # replicas stand side by side
-        q, c, s = q[~(again | same)], c[~(again | same)], s[~(again | same)]
-        first = np.append(0, np.flatnonzero(q[1:] != q[:-1]) + 1)
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        q, c, s = q[rank <= k], c[rank <= k], s[rank <= k]
-        return pa.table({"query": named[q], "class": ids[c], "score": s})
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        base, ids, place = (_matrix(have["v"]), have["class"].to_numpy(), have["list"].to_numpy() % BUNDLE) if have.num_rows else (None, out[0][0], None)
+        named = ask["query"].to_numpy()
+        for at in range(0, ask.num_rows if have.num_rows else 0, 256):
+            part = ask.slice(at, 256)
+            lists = part["lists"].combine_chunks()
+            reads = np.zeros((part.num_rows, BUNDLE), bool)
+            reads[np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy() % BUNDLE] = True
+            score = np.where(reads[:, place], _matrix(part["v"]) @ base.T, -np.inf)
+            most = REPLICAS * (k + 1)  # of one vector there are REPLICAS at most
+            edge = -np.partition(-score, most - 1, axis=1)[:, most - 1 : most] if score.shape[1] > most else -np.inf
+            q, c = np.nonzero((score >= edge) & (score > -np.inf))  # with all that tie with the last
+            s = score[q, c]
+            order = np.lexsort((ids[c], -s, q))
+            q, c, s = q[order], ids[c[order]], s[order]
+            fresh = np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1]))[: len(q)]
+            q, c, s = q[fresh], c[fresh], s[fresh]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) <= k
+            out.append((named[at : at + 256][q[keep]], c[keep], s[keep]))
+        q, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query": q, "class": c, "score": s})
 
     by = lambda df: df.groupBy("bundle", "piece")
     found = by(index.lists).cogroup(by(probes.select("bundle", "piece", "query", "v", "lists"))).applyInArrow(scan, "query long, class long, score double")
