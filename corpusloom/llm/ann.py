@@ -31,7 +31,7 @@ from corpusloom.llm.common import in_arrow, materialize
 SAMPLE, LIST_ROWS, MIN_PART = 32_768, 32, 8
 REPLICAS, CLOSURE = 2, 1.04
 TARGET, CUT, TRIED = 0.94, 0.005, 512
-SPLIT, BUNDLE = 4_096, 16
+SPLIT, BUNDLE = 16_384, 128
 DEGREE, BEAM = 16, 48
 SALTS = 64
 
@@ -161,8 +161,11 @@ def _reach(centroids: Centroids, points: np.ndarray, target: float, k: int) -> t
         best.append(np.argpartition(-near, k, axis=1)[:, :k])
     best = np.concatenate(best)
     rows, back = np.unique(best, return_inverse=True)
-    place, far = centroids.search(points[rows], REPLICAS)
-    home = np.where(far <= CLOSURE * far[:, :1] + 1e-7, place, place[:, :1])[back.reshape(best.shape)]
+    home = []
+    for at in range(0, len(rows), 512):
+        place, far = centroids.search(points[rows[at : at + 512]], REPLICAS)
+        home.append(np.where(far <= CLOSURE * far[:, :1] + 1e-7, place, place[:, :1]))
+    home = np.concatenate(home)[back.reshape(best.shape)]
     for at in range(0, len(asked), 64):
         far = centroids._distance(points[asked[at : at + 64]] @ centroids.points.T)
         lines = np.arange(len(far))[:, None, None]
@@ -247,24 +250,34 @@ def search(index: Index, queries: DataFrame, *, k: int = 20, id_col: str = "vec_
 
     def scan(keys, have, ask):
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        base, ids, place = (_matrix(have["v"]), have["class"].to_numpy(), have["list"].to_numpy() % BUNDLE) if have.num_rows else (None, out[0][0], None)
+        base, ids, place = (_matrix(have["v"]), have["class"].to_numpy(), have["list"].to_numpy() % BUNDLE) if have.num_rows else (None, out[0][0], out[0][0])
+        members = [np.flatnonzero(place == one) for one in range(BUNDLE)]
         named = ask["query"].to_numpy()
-        for at in range(0, ask.num_rows if have.num_rows else 0, 256):
-            part = ask.slice(at, 256)
-            lists = part["lists"].combine_chunks()
-            reads = np.zeros((part.num_rows, BUNDLE), bool)
-            reads[np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy() % BUNDLE] = True
-            score = np.where(reads[:, place], _matrix(part["v"]) @ base.T, -np.inf)
-            most = REPLICAS * (k + 1)  # of one vector there are REPLICAS at most
-            edge = -np.partition(-score, most - 1, axis=1)[:, most - 1 : most] if score.shape[1] > most else -np.inf
-            q, c = np.nonzero((score >= edge) & (score > -np.inf))  # with all that tie with the last
-            s = score[q, c]
-            order = np.lexsort((ids[c], -s, q))
-            q, c, s = q[order], ids[c[order]], s[order]
-            fresh = np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1]))[: len(q)]
+        for at in range(0, ask.num_rows if have.num_rows else 0, 512):
+            part = ask.slice(at, 512)
+            lists, vectors = part["lists"].combine_chunks(), _matrix(part["v"])
+            wants, flat = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy() % BUNDLE
+            least, seen = np.full(part.num_rows, -np.inf), []
+            for one in np.unique(flat):  # products of the lists that are read, no others
+                rows, own = wants[flat == one], members[one]
+                if len(own):
+                    score = vectors[rows] @ base[own].T
+                    if len(own) > k + 1:  # one list holds k + 1 vectors that are no worse
+                        least[rows] = np.maximum(least[rows], -np.partition(-score, k, axis=1)[:, k])
+                    seen.append((rows, own, score))
+            some = []
+            for rows, own, score in seen:
+                i, j = np.nonzero(score >= least[rows][:, None])  # with all that tie with the last
+                some.append((rows[i], ids[own[j]], score[i, j]))
+            if not some:
+                continue
+            q, c, s = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.lexsort((c, -s, q))
+            q, c, s = q[order], c[order], s[order]
+            fresh = np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1]))[: len(q)]  # replicas stand side by side
             q, c, s = q[fresh], c[fresh], s[fresh]
             keep = np.arange(len(q)) - np.searchsorted(q, q) <= k
-            out.append((named[at : at + 256][q[keep]], c[keep], s[keep]))
+            out.append((named[at : at + 512][q[keep]], c[keep], s[keep]))
         q, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query": q, "class": c, "score": s})
 
