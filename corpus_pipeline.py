@@ -47,7 +47,7 @@ STAGES = [
     ("SentencePiece encoding", tokenized),
 ]
 
-#: The first stage is a trained network, which SQL can't express; the tests hold the stages against plain versions.
+#: The first stage is a trained network, which SQL can't express; the tests hold the stages' operators against plain versions.
 ORACLE_SQL = None
 
 
