@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusloom.functions.text import collapsed
 
@@ -57,7 +58,7 @@ def handoff_problem(question: Column, answer: Column, cited: Column, allowed: Co
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters by longest common blocks, which no built-in function gives."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
