@@ -44,6 +44,7 @@ WRAPS = re.compile(r"(?<!\S)(?:side-by-side|(?:has|no|with|without)[_-]\S+)", re
 GENERIC = re.compile(r"(?:\d+|s|list|section|area|box|posts?|articles?|links?|content|container|wrapper|wrap|widget|block|inner|form|items?|stories|news|top|bottom|left|right|bar|buttons?)$", re.I)
 PUNCTUATION = re.compile(r"[^\w\s]")
 PARTS = frozenset("tr tbody thead tfoot li".split())
+LISTS = frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 THRESHOLD, MOST = 0.1, 0.8
 
@@ -251,7 +252,11 @@ def main_text(page: str | None) -> str:
             return True
         if parent[p] in passed:  # a heading on the way; beside the text of a page without containers, any block
             return paths.tag(p) in HEADINGS or parent[p] in direct
-        return parent[p] in chosen
+        if parent[p] in chosen:
+            return True
+        while paths.tag(parent[p]) in LISTS or paths.tag(parent[p]) in PARTS:
+            p = parent[p]
+        return paths.tag(p) in LISTS and parent[p] in direct
 
     return "\n".join(t for p, t, apart in found if not apart and kept(p))
 
