@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontaminate, html_extract, language_id, lm_score, near_dedup, pii, quality, substring_dedup, wfst
+from corpusloom.llm import ann, decontaminate, html_extract, language_id, lm_score, near_dedup, oracles, pii, quality, substring_dedup, wfst
 from corpusloom.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": oracles.DECONTAMINATE, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_duplicates": oracles.NEAR_DUPLICATES}
