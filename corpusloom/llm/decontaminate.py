@@ -3,7 +3,8 @@
 Every slice of the corpus is one shard: its words are put in suffix order, and every suffix of every benchmark item is
 searched in it by bisection. The search gives the longest verbatim match of each suffix, and the range of the order
 that holds all places of a window. The corpus is read once and not shuffled. The benchmark reaches the tasks in blocks
-of at most ``BLOCK_BYTES`` of text, each its own broadcast, so neither driver nor task holds more than a block of it.
+of at most ``BLOCK_BYTES`` of text, each its own broadcast: the driver gathers one block at a time. A task keeps the text of
+all blocks, but the words and suffixes of one block at a time, made anew for every slice if there are several.
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. They are compared by 64-bit hashes.
 
@@ -118,7 +119,6 @@ class Items:
         ends = np.cumsum(counts)
         self.left = ends[self.item] - np.arange(len(self.words))  # words from each suffix to the end of its item
         self.window = np.minimum(window, counts[self.item])
-        self.depth = int(counts.max(initial=0))
 
     def search(self, shard: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Longest match of every suffix, and all (suffix, place) pairs where a whole window matches."""
@@ -144,21 +144,44 @@ class Items:
         return longest, whole[each], shard.order[low[each] + inner]
 
 
-def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> list:
-    """The benchmark as broadcasts of at most ``block_bytes`` of text (or one longer item)."""
-    context = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    out, ids, texts, used = [], [], [], 0
+class Benchmark:
+    """Blocks of items as broadcasts, and the words of the longest item; a task indexes one block at a time."""
+
+    def __init__(self, blocks: list, depth: int):
+        self.blocks, self.depth, self._only = blocks, depth, None
+
+    def indexes(self):
+        if len(self.blocks) == 1:
+            self._only = self._only or Items(*self.blocks[0].value)
+            yield self._only
+        else:
+            for block in self.blocks:
+                yield Items(*block.value)
+
+
+def _benchmark(items: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> Benchmark:
+    """The items in blocks of at most ``block_bytes`` of text (or one longer item)."""
+    context = items.sparkSession.sparkContext
+    rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    blocks, depth, ids, texts = [], 1, [], []
+
+    def close():
+        nonlocal depth
+        column = pa.array(texts, pa.large_string())
+        depth = max(depth, int(np.bincount(words_of(column)[1]).max(initial=0)))
+        blocks.append(context.broadcast((list(ids), column, window)))
+
+    used = 0
     for i, t in rows.toLocalIterator():
         ids.append(i)
         texts.append(t)
         used += len(t)
         if used >= block_bytes:
-            out.append(context.broadcast((ids, pa.array(texts, pa.large_string()), window)))
+            close()
             ids, texts, used = [], [], 0
     if ids:
-        out.append(context.broadcast((ids, pa.array(texts, pa.large_string()), window)))
-    return out
+        close()
+    return Benchmark(blocks, depth)
 
 
 def contamination_report(
@@ -170,10 +193,9 @@ def contamination_report(
     A window is ``window`` consecutive words of an item, or the whole of a shorter one. A document is contaminated if
     it has hit words and they are at least ``hit_share`` of its words.
     """
-    blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
+    items = _benchmark(benchmark, window, item_col, item_text_col, block_bytes)
 
     def scan(batches):
-        items = [Items(*b.value) for b in blocks]
         for part in slices(batches, "text"):
             found = _judged(part["text"], items, hit_share)
             where = found["match_start"]
@@ -193,17 +215,17 @@ def contamination_report(
     return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scan, REPORT)
 
 
-def _judged(column, items: list[Items], hit_share: float) -> dict:
+def _judged(column, items: Benchmark, hit_share: float) -> dict:
     """Everything the report says of the rows of one shard."""
     share = Fraction(str(hit_share))
     words, row = words_of(column)
     rows = len(column)
     n_words = np.bincount(row, minlength=rows).astype(np.int64)
-    shard = Suffixes(words, row, rows, max([1, *(x.depth for x in items)]))
+    shard = Suffixes(words, row, rows, items.depth)
     cover = np.zeros(len(shard.text) + 1, np.int64)
     met: list[set[str]] = [set() for _ in range(rows)]
     best, where, which = np.zeros(rows, np.int64), np.full(rows, -1), np.full(rows, None, object)
-    for x in items:
+    for x in items.indexes():
         _, suffix, at = x.search(shard)
         if not len(at):
             continue
@@ -228,16 +250,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 5
 
     Columns: item_id string, suffix_start (word in the item), n_words, doc_id. Ties go to the smallest doc_id.
     """
-    blocks = _blocks(benchmark, min_words, item_col, item_text_col, block_bytes)
+    items = _benchmark(benchmark, min_words, item_col, item_text_col, block_bytes)
 
     def scan(batches):
-        items = [Items(*b.value) for b in blocks]
-        depth = max([1, *(x.depth for x in items)])
         for part in slices(batches, "text"):
             words, row = words_of(part["text"])
-            shard = Suffixes(words, row, part.num_rows, depth)
+            shard = Suffixes(words, row, part.num_rows, items.depth)
             ids = part["doc_id"].to_numpy()
-            for x in items:
+            for x in items.indexes():
                 _, suffix, at = x.search(shard)
                 n = shard.common(at, x._query, suffix, x.left[suffix]) if len(at) else at
                 first = np.concatenate([[0], np.flatnonzero(np.diff(x.item)) + 1])
@@ -255,10 +275,9 @@ def decontaminate(
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows that are not contaminated, with all their columns, in one pass without a shuffle."""
-    blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
+    items = _benchmark(benchmark, window, item_col, item_text_col, block_bytes)
 
     def keep(batches):
-        items = [Items(*b.value) for b in blocks]
         for part in slices(batches, text_col):
             yield from part.filter(pa.array(~_judged(part[text_col], items, hit_share)["contaminated"])).to_batches()
 
