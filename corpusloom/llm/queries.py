@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontaminate, html_extract, language_id, lm_score, near_dedup, oracles, pii, quality, substring_dedup, wfst
+from corpusloom.llm import ann, decontaminate, fill_in_middle, html_extract, language_id, line_dedup, lm_score, near_dedup, oracles, pii, quality, substring_dedup, wfst
 from corpusloom.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -63,6 +63,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,9 +80,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  part of this subpackage, although it lies at the top
 
-    ops = (op1_decontaminate, op2_quality, op3_substring_dedup, op4_lm_score, op5_sentencepiece, op6_near_duplicates, op7_html_extract, op8_language_id, op9_pii, op10_nearest, pipeline)
-    return {f.__name__: f for f in ops}
+    ops = (op1_decontaminate, op2_quality, op3_substring_dedup, op4_lm_score, op5_sentencepiece, op6_near_duplicates, op7_html_extract, op8_language_id, op9_pii, op10_nearest)
+    new = (op11_line_dedup, op12_fill_in_middle)
+    return {f.__name__: f for f in (*ops, *new, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracles.DECONTAMINATE, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {
+        "op1_decontaminate": oracles.DECONTAMINATE,
+        "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op6_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op11_line_dedup": oracles.LINE_DEDUP,
+        "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    }
