@@ -51,3 +51,18 @@ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contain
 cut AS (SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS p, coalesce(array_to_string(u[low + 1:high], ''), '') AS m, coalesce(array_to_string(u[high + 1:], ''), '') AS s FROM formed)
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM cut"""
+
+_ORDERS = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS p, count(*) AS f FROM pieces, unnest(range(1, len(w) - {k - 2})) t(i) GROUP BY 1, 3 HAVING count(*) >= 30" for k in (1, 2, 3, 4))
+_CUTS = " UNION ALL ".join(f"SELECT *, {j} AS j, array_to_string(w[:{j}], ' ') AS head, array_to_string(w[{j + 1}:], ' ') AS tail FROM phrases WHERE k > {j}" for j in (1, 2, 3))
+_INNER = " UNION ALL ".join(f"SELECT lang, f, array_to_string(w[{i}:{i + m - 1}], ' ') AS p FROM phrases WHERE k > {m} AND k >= {i + m - 1}" for m in (2, 3) for i in (1, 2, 3))
+COLLOCATIONS = rf"""WITH pieces AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w
+FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS MATERIALIZED ({_ORDERS}),
+phrases AS MATERIALIZED (SELECT *, string_split(p, ' ') AS w FROM grams WHERE k > 1),
+cuts AS MATERIALIZED ({_CUTS}),
+scored AS (SELECT c.lang, c.p, c.f, j, x.f AS l, y.f AS r, (2000000 * c.f::HUGEINT // (x.f + y.f))::BIGINT AS score FROM cuts c JOIN grams x ON x.lang = c.lang AND x.p = head JOIN grams y ON y.lang = c.lang AND y.p = tail),
+best AS (SELECT DISTINCT ON (lang, p) * FROM scored ORDER BY lang, p, score, j),
+covered AS (SELECT DISTINCT g.lang, g.p FROM grams g JOIN ({_INNER}) i ON g.lang = i.lang AND g.p = i.p WHERE 100 * i.f >= 80 * g.f),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, encode(p)) AS rank FROM best ANTI JOIN covered USING (lang, p))
+SELECT lang, rank, p AS phrase, f AS a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""

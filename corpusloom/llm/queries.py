@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontaminate, fill_in_middle, html_extract, language_id, line_dedup, lm_score, near_dedup, oracles, pii, quality, substring_dedup, wfst
+from corpusloom.llm import ann, collocations, decontaminate, fill_in_middle, html_extract, language_id, line_dedup, lm_score, near_dedup, oracles, pii, quality, substring_dedup, wfst
 from corpusloom.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -71,6 +71,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  part of this subpackage, although it lies at the top
 
     ops = (op1_decontaminate, op2_quality, op3_substring_dedup, op4_lm_score, op5_sentencepiece, op6_near_duplicates, op7_html_extract, op8_language_id, op9_pii, op10_nearest)
-    new = (op11_line_dedup, op12_fill_in_middle)
+    new = (op11_line_dedup, op12_fill_in_middle, op13_collocations)
     return {f.__name__: f for f in (*ops, *new, pipeline)}
 
 
@@ -92,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_duplicates": oracles.NEAR_DUPLICATES,
         "op11_line_dedup": oracles.LINE_DEDUP,
         "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
+        "op13_collocations": oracles.COLLOCATIONS,
     }
