@@ -9,8 +9,9 @@ language. A phrase has 2 to ``LONGEST`` words inside a piece and ``least`` occur
    hot word is one row of a task.
 2. Counts. Candidates come in blocks of about ``block`` keys, whatever their number. A block gets a minimal perfect hash with
    its keys stored by slot. Tasks look up their phrases, check the stored key, and count slots with bincount into one array;
-   the arrays are summed as a tree over segments of slots, ``WIDTH`` at a time. So memory is bounded by the block, and a
-   block costs one scan: work grows as corpus times blocks where candidates outgrow one block.
+   the arrays are summed as a tree over segments of slots, ``WIDTH`` at a time. The text of a phrase comes from the first
+   partition that had it in the scans before. So memory is bounded by the block, and a block costs one scan: work grows as
+   corpus times blocks where candidates outgrow one block.
 3. Cuts. Each candidate looks its parts up in the perfect hash of their block and reads their counts by slot.
 
 Odd rows: a null language is ``und``; null and empty texts have no words; ids are not read; repeated rows count each time;
@@ -32,7 +33,7 @@ from corpusloom.llm.common import LOWER, in_arrow, materialize, mix, slices, spa
 
 LEAST, LONGEST, TOP, COVER_PERCENT = 30, 4, 2000, 80
 BLOCK, MOST_BITS, SEGMENT, WIDTH, HELD = 1 << 22, 28, 4096, 32, 1 << 21
-UNKNOWN = "und"
+UNKNOWN, NONE, ANY = "und", -1, -2
 _FACTORS = np.random.default_rng(71_993).integers(1, 1 << 63, 2 * LONGEST + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LEVELS = np.arange(1, 129, dtype=np.uint64) * _FACTORS[0]
 _WORD, _SPLIT = np.ones(256, bool), np.zeros(256, bool)
@@ -151,12 +152,15 @@ class PerfectHash:
 
 
 def _sums(docs: DataFrame, orders: tuple[int, ...], parts, least: int) -> DataFrame:
-    """Keys of phrases of these orders with at least ``least`` occurrences; all their pairs (words, for pairs) stand in the bit table ``parts``."""
+    """(key, part) of phrases of these orders with at least ``least`` occurrences; all their pairs (words, for pairs) stand in the bit table ``parts``.
+
+    part: the first partition of the scan that has the phrase.
+    """
     part_order = min(2, min(orders) - 1)
 
     def emit(held):
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n.astype(np.int64)})
+        return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n.astype(np.int64), "part": np.full(len(keys), TaskContext.get().partitionId(), np.int32)})
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -178,16 +182,17 @@ def _sums(docs: DataFrame, orders: tuple[int, ...], parts, least: int) -> DataFr
         if size:
             yield emit(held)
 
-    return in_arrow(docs, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    sums = in_arrow(docs, run, "key long, n long, part int").groupBy("key").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
+    return sums.where(F.col("n") >= least).select("key", "part")
 
 
 def candidate_keys(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key) of all words and phrases that can have ``least`` occurrences."""
+    """(key, part) of all words (part -1) and phrases that can have ``least`` occurrences."""
     spark = docs.sparkSession
     words = materialize(_sums(docs, (1,), None, least))
     pairs = materialize(_sums(docs, (2,), spark.sparkContext.broadcast(BitTable.of(words)), least))
     longer = materialize(_sums(docs, tuple(range(3, LONGEST + 1)), spark.sparkContext.broadcast(BitTable.of(pairs)), least))
-    return words.union(pairs).union(longer)
+    return words.withColumn("part", F.lit(-1)).union(pairs).union(longer)
 
 
 def _in_block(blocks: int, block: int):
@@ -197,19 +202,22 @@ def _in_block(blocks: int, block: int):
 def _slots(keys: DataFrame, hashed) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"slot": hashed.value(batch["key"].to_numpy().view(np.uint64)), "key": batch["key"]})
+            yield pa.RecordBatch.from_pydict({"slot": hashed.value(batch["key"].to_numpy().view(np.uint64)), "key": batch["key"], "part": batch["part"]})
+
+    return keys.mapInArrow(run, "slot long, key long, part int")
 
-    return keys.mapInArrow(run, "slot long, key long")
 
+def _counted(docs: DataFrame, hashed, owners) -> DataFrame:
+    """Of one block: rows (segment, part, counts), (slot, lang, phrase) and (lang, counts of one number, all words).
 
-def _counted(docs: DataFrame, hashed) -> DataFrame:
-    """Of one block: rows (segment, part, counts), (slot, lang, phrase) and (lang, counts of one number, all words)."""
+    A phrase is given by the partition that owns its slot, or by all that have it where the owner is ANY.
+    """
     schema = "segment int, part int, counts array<long>, slot int, lang string, phrase string"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        find = hashed.value
+        find, part_id = hashed.value, TaskContext.get().partitionId()
         counts = np.zeros(-(-max(1, len(find.stored)) // SEGMENT) * SEGMENT, np.int64)
-        seen, totals = np.zeros(len(counts), bool), {}
+        seen, totals = (owners.value != part_id) & (owners.value != ANY), {}
         for part in slices(batches, "text"):
             words = Words(part["text"], part["lang"])
             for lang, n in zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)), strict=False):
@@ -234,7 +242,7 @@ def _counted(docs: DataFrame, hashed) -> DataFrame:
         for k in range(0, len(used), 64):
             some = used[k : k + 64]
             packed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SEGMENT), pa.array(counts.reshape(-1, SEGMENT)[some].ravel()))
-            yield _rows(len(some), segment=pa.array(some, pa.int32()), part=pa.array([TaskContext.get().partitionId()] * len(some), pa.int32()), counts=packed)
+            yield _rows(len(some), segment=pa.array(some, pa.int32()), part=pa.array([part_id] * len(some), pa.int32()), counts=packed)
 
     def _rows(n: int, **columns) -> pa.RecordBatch:
         kinds = (("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.list_(pa.int64())), ("slot", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()))
@@ -286,6 +294,10 @@ def _with_parts(rows: DataFrame, hashed, counts, block: int) -> DataFrame:
     return in_arrow(rows, run, rows.schema)
 
 
+def _phrases(rows: DataFrame) -> DataFrame:
+    return rows.where("phrase is not null").groupBy(F.col("slot").cast("long").alias("slot")).agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases by their lowest-scoring cut."""
     spark = docs.sparkSession
@@ -295,17 +307,24 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int
     send = spark.sparkContext.broadcast
     tables, found, totals = [], [], None
     for b in range(blocks):
-        hashed = PerfectHash(np.unique(keys.where(_in_block(blocks, b)).toArrow()["key"].to_numpy().view(np.uint64)))
+        mine = keys.where(_in_block(blocks, b)).toArrow()
+        hashed = PerfectHash(np.unique(mine["key"].to_numpy().view(np.uint64)))
+        owners = np.full(len(hashed.stored), NONE, np.int32)
+        owners[hashed(mine["key"].to_numpy().view(np.uint64))] = mine["part"].to_numpy()
         hashed = send(hashed)
-        rows = materialize(_counted(docs, hashed))
+        rows = materialize(_counted(docs, hashed, send(owners)))
         if b == 0:
             totals = rows.where("phrase is null and segment is null").groupBy("lang").agg(F.sum(F.col("counts")[0]).alias("n"))
-        stored = _slots(keys.where(_in_block(blocks, b)), hashed)
         summed = tree_sum(rows.where("segment is not null").select("segment", "part", "counts"))
         counts = summed.select("segment", F.posexplode("counts")).select((F.col("segment").cast("long") * SEGMENT + F.col("pos")).alias("slot"), F.col("col").alias("a")).where("a > 0")
-        tables.append(materialize(stored.join(counts, "slot")))
-        phrases = rows.where("phrase is not null").groupBy(F.col("slot").cast("long").alias("slot")).agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
-        found.append(phrases.join(tables[-1], "slot").where(F.col("a") >= least).select((F.lit(b << 32) + F.col("slot")).alias("slot"), "lang", "phrase", "a"))
+        tables.append(materialize(_slots(keys.where(_in_block(blocks, b)), hashed).join(counts, "slot")))
+        phrases = _phrases(rows)
+        wanted = tables[-1].where((F.col("part") != NONE) & (F.col("a") >= least))
+        lost = wanted.join(phrases, "slot", "left_anti").select("slot").toArrow()["slot"].to_numpy()
+        if len(lost):  # the second scan was cut otherwise than the first, so owners did not meet their phrases
+            owners[:], owners[lost] = NONE, ANY
+            phrases = phrases.union(_phrases(materialize(_counted(docs, hashed, send(owners)))))
+        found.append(phrases.join(wanted, "slot").select((F.lit(b << 32) + F.col("slot")).alias("slot"), "lang", "phrase", "a"))
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)

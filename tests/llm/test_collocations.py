@@ -49,6 +49,13 @@ def test_against_plain(spark, rows, block, least, top):
     assert sorted(map(tuple, C.collocations(docs, least, top, block).collect())) == plain(rows, least, top)
 
 
+def test_phrases_whose_owner_is_elsewhere(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    keys = C.candidate_keys(docs.select("lang", "text"), 30)
+    monkeypatch.setattr(C, "candidate_keys", lambda *_: keys.withColumn("part", C.F.when(C.F.col("part") < 0, -1).otherwise(C.F.col("part") + 3)))
+    assert sorted(map(tuple, C.collocations(docs).collect())) == plain(rows, 30, 2000)
+
+
 def test_without_rows(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert C.collocations(docs.limit(0)).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
