@@ -11,8 +11,8 @@ frequent lines stop taking part early. Runs are tables in the shared folder; a r
 when its successor is complete.
 
 A text is hashed once, into postings of (document, key). The settled keys come back to their documents by two joins, on the
-key and then on a hash of id and text; both are plain joins that Spark may split where a key is hot, nothing is broadcast
-by us or gathered for more than one document.
+key, salted so that a line that a third of all documents hold is dealt to ``SALTS`` tasks, and then on a hash of id and
+text; nothing is broadcast by us or gathered for more than one document.
 
 Odd rows: null and empty texts are one empty line; an empty key is shorter than one code point and stays. Every row counts
 as a document, also repeated ones, and null ids are ids like others. An empty table gives no rows. Columns of the input
@@ -34,6 +34,7 @@ from corpusloom.llm.common import in_arrow, shared_dir, slices
 
 BLANK = b" \t\n\v\f\r"
 KEY = ["k1", "k2"]
+SALTS = 8
 
 
 def line_hashes(text: bytes, chars: int) -> list[bytes | None]:
@@ -127,7 +128,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, chars: int = 1, batche
     runs = LineRuns(spark, f"{folder}/runs", least, fanout)
     for batch in range(batches):
         runs.add(posted.where(F.col("batch") == batch).select(*KEY))
-    hits = posted.join(runs.frequent(), KEY, "left_semi").select("route", *KEY).distinct()
+    salted = runs.frequent().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = posted.withColumn("salt", F.pmod("route", F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"], "left_semi").select("route", *KEY).distinct()
     marked = hits.groupBy("route").agg(F.collect_list(F.struct(*KEY)).alias("__drop"))
     fields = docs.schema.fields
     own = [f"__{i}" for i in range(len(fields))]  # names of any kind, also "route", may be in the input
