@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from corpusloom.functions.text import collapsed
+from corpusloom.functions.text import collapsed, content_tokens
 
 # Labels that count as good, and those that say an audit did not happen.
 READY = "high medium training_ready ready".split()
@@ -40,7 +40,8 @@ def complete_audit(*labels: Column) -> Column:
 
 
 def complexity_problem(task: Column, units: Column, hops: Column, least_units: Column, least_hops: Column, fallback: Column) -> Column:
-    """Too few units of evidence, too few hops, or one observation where the task relates several and no fallback is marked."""
+    """Too few units of evidence, too few hops, or one observation where the task relates several and no fallback is marked. Null counts are 0."""
+    units, hops = F.coalesce(units, F.lit(0)), F.coalesce(hops, F.lit(0))
     return (
         F.when(units < F.coalesce(least_units, F.lit(1)), "insufficient_evidence_units").when(hops < F.coalesce(least_hops, F.lit(1)), "insufficient_reasoning_hops")
         .when(task.isin(CROSS_OBSERVATION) & (units < 2) & ~F.coalesce(fallback, F.lit(False)), "cross_observation_required")
@@ -48,33 +49,37 @@ def complexity_problem(task: Column, units: Column, hops: Column, least_units: C
 
 
 def handoff_problem(question: Column, answer: Column, cited: Column, allowed: Column, choices: Column) -> Column:
-    """Why a generated sample is not handed on: blank parts, citations beyond its evidence (none cited: all of it), or choices without exactly one answer."""
+    """Why a generated sample is not handed on: blank parts or choices, citations beyond its evidence (none cited: all of it), or choices without exactly one answer."""
     strings = F.array().cast("array<string>")
-    used = F.when(F.size(F.coalesce(cited, strings)) > 0, cited).otherwise(F.coalesce(allowed, strings))
+    cited = F.filter(F.coalesce(cited, strings), lambda c: F.coalesce(c, F.lit("")) != "")
+    used = F.when(F.size(cited) > 0, cited).otherwise(F.coalesce(allowed, strings))
     same = F.size(F.filter(choices, lambda c: folded(c) == folded(answer)))
     return (
         F.when(folded(question) == "", "missing_question").when(folded(answer) == "", "missing_answer").when(F.size(used) == 0, "missing_citations")
-        .when(F.size(F.array_except(used, F.coalesce(allowed, strings))) > 0, "unknown_citations").when(F.coalesce(F.size(choices), F.lit(-1)) != 4, "choices_not_four").when(same != 1, "answer_not_unique_choice")
+        .when(F.size(F.array_except(used, F.coalesce(allowed, strings))) > 0, "unknown_citations").when(F.coalesce(F.size(choices), F.lit(-1)) != 4, "choices_not_four")
+        .when(F.exists(choices, lambda c: folded(c) == ""), "blank_choice").when(same != 1, "answer_not_unique_choice")
     )
 
 
 @F.pandas_udf(DoubleType())
 def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters by longest common blocks, which no built-in function gives."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def distractor_problem(question: Column, choices: Column, answer: Column) -> Column:
     """Why the choices of an item are malformed or give the answer away."""
-    words = lambda c: F.size(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) > 2))
+    words = lambda c: F.size(content_tokens(c))  # noqa: E731  different ones
     named = F.transform(choices, folded)
     sizes = F.array_sort(F.transform(named, words))
     median = F.element_at(sizes, F.floor(F.size(sizes) / 2).cast("int") + 1)
     short = F.greatest(F.lit(1), F.floor(median * 0.35))
+    long = words(folded(answer)) >= 4  # short answers are not compared, which takes Python
+    leaked = alike(F.when(long, folded(answer)), F.when(long, folded(question))) >= 0.78
     return (
         F.when((F.coalesce(F.size(choices), F.lit(-1)) != 4) | F.exists(named, lambda c: c == ""), "must_have_exactly_four_nonempty_choices").when(F.size(F.array_distinct(named)) != 4, "duplicate_choices")
         .when((folded(answer) == "") | ~F.array_contains(named, folded(answer)), "answer_must_match_one_choice")
-        .when((words(folded(answer)) >= 4) & (alike(folded(answer), folded(question)) >= 0.78), "answer_leaked_in_question")
+        .when(leaked, "answer_leaked_in_question")
         .when(F.arrays_overlap(named, F.array(*map(F.lit, GENERIC))), "generic_meta_distractor").when((median > 0) & F.exists(sizes, lambda n: n < short), "option_length_outlier")
     )
 

@@ -29,13 +29,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpusloom.plans import campaigns, judging  # noqa: F401  add their own
+    from corpusloom.plans import campaigns, harness, judging, stores  # noqa: F401  add their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpusloom.plans import campaigns, judging  # noqa: F401
+    from corpusloom.plans import campaigns, harness, judging, stores  # noqa: F401
 
     return dict(_SQL)
 
