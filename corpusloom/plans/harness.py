@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import canonical
 from corpusloom.operators import gates, profiles
 from corpusloom.plans.catalog import _t, query
 from corpusloom.streaming import hypotheses
@@ -110,3 +111,34 @@ def distractor_reasons(spark, sf_dir):
     """Questions and answers here are unlike each other or equal, so equality stands for likeness in the SQL."""
     reason = gates.distractor_problem(F.col("question"), F.array("answer", "x", "y", "z"), F.col("answer"))
     return _samples(spark, sf_dir).select("conv_id", "turn", reason.alias("reason"))
+
+
+def _solutions(spark, sf_dir):
+    """Answers as a model writes them and as the truth has them, from the columns of line items; some are null."""
+    q, n, s = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")
+    hundredth = F.round(F.col("l_discount") * 100, 0).cast("int").cast("string")
+    predicted = (
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("\\left( "), q, F.lit(", "), hundredth, F.lit("\\right)."))).when(F.col("l_returnflag") == "A", F.concat(F.lit("\\dfrac"), n, F.lit("{"), s, F.lit("}")))
+        .when((F.col("l_linestatus") == "F") | (F.col("l_quantity") <= 40), F.concat(F.lit("x = "), q, F.lit(".00 km")))
+    )
+    truth = (
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("["), q, F.lit(".0,"), F.round("l_tax", 2).cast("string"), F.lit("]"))).when(F.col("l_returnflag") == "A", F.concat(n, F.lit("/"), (F.col("l_suppkey") + F.col("l_linenumber") % 2).cast("string"))).otherwise(q)
+    )
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", predicted.alias("predicted"), truth.alias("truth"))
+
+
+_HUNDREDTH = "round(l_discount * 100)::INT"
+
+
+@query(rf"""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN '(' || l_quantity::INT || ',' || {_HUNDREDTH} || ')' WHEN 'A' THEN '\frac{{' || l_linenumber || '}}{{' || l_suppkey || '}}'
+ELSE CASE WHEN l_linestatus = 'F' OR l_quantity <= 40 THEN l_quantity::INT::VARCHAR END END AS answer FROM lineitem""")
+def canonical_answers(spark, sf_dir):
+    return _solutions(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", canonical.canonical_answer(F.col("predicted")).alias("answer"))
+
+
+@query(f"""WITH p AS (SELECT *, {_HUNDREDTH}::DOUBLE AS x, round(l_tax, 2) AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN abs(x - y) <= 1e-4 * greatest(x, y) OR abs(x - y / 100) <= 1e-4 * greatest(x, y / 100) OR abs(x - y * 100) <= 1e-4 * greatest(x, y * 100)
+WHEN 'A' THEN l_linenumber % 2 = 0 ELSE l_linestatus = 'F' OR l_quantity <= 40 END AS equal FROM p""")
+def equal_answers(spark, sf_dir):
+    same = canonical.answers_equal(canonical.canonical_answer(F.col("predicted")), canonical.canonical_answer(F.col("truth")))
+    return _solutions(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", same.alias("equal"))
