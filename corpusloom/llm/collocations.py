@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER, in_arrow, materialize, mix, slices, span_hashes, utf8, word_bounds
 
 LEAST, LONGEST, TOP, COVER_PERCENT = 30, 4, 2000, 80
-BLOCK, MOST_BITS, SEGMENT, WIDTH, HELD = 1 << 22, 28, 4096, 32, 1 << 21
+BLOCK, MOST_BITS, SEGMENT, WIDTH, HELD, SHARES = 1 << 22, 28, 4096, 32, 1 << 21, 64
 UNKNOWN, NONE, ANY = "und", -1, -2
 _FACTORS = np.random.default_rng(71_993).integers(1, 1 << 63, 2 * LONGEST + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LEVELS = np.arange(1, 129, dtype=np.uint64) * _FACTORS[0]
@@ -358,6 +358,8 @@ def _ranked(rows: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     inner = F.expr("filter(transform(part_slots, (s, i) -> named_struct('slot', s, 'f', part_counts[i], 'i', i)), p -> p.slot >= 0 and p.i >= size(split(phrase, ' ')))")
     longer = rows.where(size > 2).select("a", F.explode(inner).alias("p")).where(F.col("a") * 100 >= F.col("p.f") * COVER_PERCENT)
     kept = best.join(longer.select("p.slot").distinct(), "slot", "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best_of = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    # the best of a language are among the best of each of its shares, so no task gets all phrases of one language
+    shares = kept.withColumn("share", F.pmod("slot", F.lit(SHARES))).withColumn("rank", best_of("lang", "share")).where(F.col("rank") <= top)
+    ranked = shares.withColumn("rank", best_of("lang")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
