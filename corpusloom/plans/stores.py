@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rehoming
-from corpusloom.operators import diagnosis, streams
+from corpusloom.operators import decontamination, diagnosis, reports, streams
+from corpusloom.plans import catalog
 from corpusloom.plans.catalog import _t, query
 from corpusloom.sources import blobs, scans, sinks
 from corpusloom.sources.shared import scratch
@@ -137,3 +138,82 @@ def moved_references(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select("page_id", F.struct(deep.alias("items"), F.lit("x").alias("uri")).alias("record"))
     changed = rehoming.rewrite_references(rows, rehoming.moved("https:", "store/new"))
     return rehoming.references(changed, "page_id").where("uri is not null")
+
+
+_LINES_OF = """SELECT CASE WHEN doc_id % 10 = 3 THEN left(to_json({text: text})::VARCHAR, 10) WHEN doc_id % 10 = 4 THEN '  ' WHEN doc_id % 10 = 5 THEN '[1]' WHEN doc_id % 2 = 0 THEN to_json({lang: lang, text: text, source: nullif(source, 'src1'), n: {a: [source, '']}})::VARCHAR ELSE to_json({n: {a: [source, '']}, source: nullif(source, 'src1'), text: text, lang: lang})::VARCHAR END AS value, * FROM documents"""
+
+
+def _json_lines(spark, sf_dir):
+    """Documents as JSON lines with keys in two orders, nulls, nested texts, and lines that are cut off, blank or no object."""
+    k, rest = F.col("doc_id") % 10, F.struct(F.array("source", F.lit("")).alias("a")).alias("n")
+    keep = {"ignoreNullFields": "false"}
+    source = F.nullif("source", F.lit("src1")).alias("source")
+    whole = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("lang", "text", source, rest), keep)).otherwise(F.to_json(F.struct(rest, source, "text", "lang"), keep))
+    line = F.when(k == 3, F.substring(F.to_json(F.struct("text"), keep), 1, 10)).when(k == 4, "  ").when(k == 5, "[1]").otherwise(whole)
+    return _t(spark, sf_dir, "documents").withColumn("value", line)
+
+
+@query(f"""WITH l AS ({_LINES_OF}), p AS (SELECT *, doc_id % 10 NOT IN (3, 5) AS valid FROM l WHERE trim(value) <> ''),
+s AS (SELECT count(*) AS total, count(*) FILTER (valid) AS parsed, sum((text IS NULL OR trim(text) = '')::INT + (source IS NULL OR source = 'src1' OR trim(source) = '')::INT) FILTER (valid) AS empty,
+count(DISTINCT CASE WHEN valid THEN (text, lang, source)::VARCHAR ELSE value END) AS records, count(DISTINCT text) FILTER (valid) AS texts, quantile_cont(length(text), 0.5) FILTER (valid) AS m FROM p)
+SELECT total, round(parsed / total, 6) AS parse_valid_rate, round(empty / (parsed * 2), 6) AS null_rate, round(1 - records / total, 6) AS record_dup_rate, round(1 - texts / parsed, 6) AS field_dup_rate, 'text' AS dup_field,
+round(greatest(1 - records / total, 1 - texts / parsed), 6) AS dup_rate FROM s""")
+def file_metrics(spark, sf_dir):
+    return reports.file_metrics(_json_lines(spark, sf_dir), ["text", "source"])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat_ws(' ', nullif(lang, ''), nullif(text, ''), nullif(source, 'src1'), source) ELSE concat_ws(' ', source, nullif(source, 'src1'), nullif(text, ''), lang) END AS text
+FROM documents WHERE doc_id % 10 NOT IN (3, 4, 5)""")
+def record_texts(spark, sf_dir):
+    """The lines that are whole objects; their strings come in the order of the line."""
+    lines = _json_lines(spark, sf_dir).where("value like '{%}'")
+    return lines.select("doc_id", reports.record_text(F.col("value")).alias("text"))
+
+
+@query(f"""WITH b AS ({catalog._REF} SELECT DISTINCT gram FROM grams), d AS ({catalog._DOC} SELECT id, w, gram FROM (SELECT id, w, gram FROM grams JOIN words USING (id)) WHERE gram IN (SELECT gram FROM b)),
+f AS (SELECT id, any_value(w) AS w FROM d GROUP BY id ORDER BY id LIMIT 3)
+SELECT id, arg_min(g, i) AS example FROM (SELECT id, i, CASE WHEN len(w) >= 13 THEN array_to_string(w[i:i + 12], ' ') ELSE array_to_string(w, ' ') END AS g FROM f, unnest(range(1, greatest(len(w) - 11, 2))) t(i)) WHERE g IN (SELECT gram FROM b) GROUP BY id""")
+def contamination_examples(spark, sf_dir):
+    rows, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    return reports.first_examples(rows, decontamination.contamination_flags(rows, items, "doc_id"), decontamination.gram_index(items), "doc_id")
+
+
+@query("""WITH n AS (SELECT nullif(text, '') AS t, nullif(CASE WHEN length(text) % 5 = 0 THEN ' ' ELSE role END, 'system') AS r FROM conversations)
+SELECT count(*) FILTER (coalesce(trim(t) <> '' AND trim(r) <> '', false)) AS rows, count(*) FILTER (NOT coalesce(trim(t) <> '' AND trim(r) <> '', false)) AS skipped_blank_rows FROM n""")
+def export_counts(spark, sf_dir):
+    blank = F.nullif(F.when(F.length("text") % 5 == 0, " ").otherwise(F.col("role")), F.lit("system"))
+    return reports.instruction_export(_t(spark, sf_dir, "conversations").select(F.nullif("text", F.lit("")).alias("t"), blank.alias("r")), "t", "r")[1]
+
+
+@query("""WITH r AS (SELECT nullif(o_custkey % 50, 7) AS pair, o_totalprice > 100000 AS good, o_orderkey % 7 AS calls, length(o_orderpriority) AS tokens, [o_orderpriority, o_orderstatus] AS tags FROM orders),
+p AS (SELECT pair, count(*) AS n FROM r WHERE pair IS NOT NULL GROUP BY pair), t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM r) GROUP BY tag ORDER BY n DESC, tag LIMIT 5)
+SELECT count(*) AS samples, sum(good::INT)::BIGINT AS goodcase, sum(calls)::BIGINT AS api_calls, sum(tokens)::BIGINT AS tokens, round(sum(good::INT) / sum(calls), 6) AS goodcase_per_call, (SELECT count(*) FROM p) AS unique_pairs, (SELECT max(n) FROM p) AS most,
+(SELECT round(avg(n), 6) FROM p) AS mean, (SELECT string_agg(tag || ':' || n, ',' ORDER BY n DESC, tag) FROM t) AS top_failure_tags FROM r""")
+def ledger_totals(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.nullif(F.col("o_custkey") % 50, F.lit(7)).alias("pair"), (F.col("o_totalprice") > 100000).alias("good"), (F.col("o_orderkey") % 7).alias("calls"), F.length("o_orderpriority").alias("tokens"), F.array("o_orderpriority", "o_orderstatus").alias("tags"))
+    said = F.array_join(F.transform("top_failure_tags", lambda t: F.concat_ws(":", t["tag"], t["n"].cast("string"))), ",")
+    return reports.ledger_totals(rows).withColumn("top_failure_tags", said)
+
+
+_ERRORS = "CASE WHEN length(text) % 4 = 0 THEN 'ValueError: ' || text WHEN length(text) % 4 = 1 THEN role WHEN text = '' THEN 'x.Y:' END"
+
+
+@query(f"""WITH e AS (SELECT conv_id * 1000 + turn AS id, {_ERRORS} AS error FROM conversations), f AS (SELECT * FROM e WHERE error IS NOT NULL)
+SELECT id, 'judge' AS operator, CASE WHEN error LIKE 'ValueError:%' THEN 'ValueError' WHEN error = 'x.Y:' THEN 'x.Y' ELSE 'Error' END AS error_class, left(regexp_replace(error, '^[A-Za-z_][A-Za-z0-9_.]*:\\s*', ''), 1000) AS message FROM f
+UNION ALL SELECT id, 'again', '', '' FROM e WHERE error IS NULL""".replace("\\\\", "\\"))
+def dead_letters(spark, sf_dir):
+    """The rows that an operator failed on, and those that are left for its rerun."""
+    size = F.length("text") % 4
+    error = F.when(size == 0, F.concat(F.lit("ValueError: "), "text")).when(size == 1, F.col("role")).when(F.col("text") == "", "x.Y:")
+    rows = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), error.alias("error"))
+    letters = reports.dead_letters(rows, "id", "judge", "error")
+    return letters.unionByName(reports.to_run(rows, letters, "id", "judge").select("id", F.lit("again").alias("operator"), F.lit("").alias("error_class"), F.lit("").alias("message")))
+
+
+@query("""WITH m AS (SELECT o_orderstatus || (o_custkey % 11) AS method, o_orderpriority AS benchmark, max(o_totalprice) AS score FROM orders WHERE o_totalprice > 150000 GROUP BY 1, 2),
+w AS (SELECT method, max(score) FILTER (benchmark = '1-URGENT') AS "1-URGENT", max(score) FILTER (benchmark = '2-HIGH') AS "2-HIGH", max(score) FILTER (benchmark = '5-LOW') AS "5-LOW" FROM m GROUP BY method),
+p AS (SELECT *, ("1-URGENT" IS NOT NULL)::INT + ("2-HIGH" IS NOT NULL)::INT + ("5-LOW" IS NOT NULL)::INT AS present, round(("1-URGENT" + "2-HIGH" + "5-LOW") / 3, 6) AS mean FROM w)
+SELECT *, CASE WHEN mean IS NOT NULL THEN rank() OVER (ORDER BY mean DESC NULLS LAST)::INT END AS rank FROM p""")
+def result_table(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.concat("o_orderstatus", (F.col("o_custkey") % 11).cast("string")).alias("method"), F.col("o_orderpriority").alias("benchmark"), F.col("o_totalprice").alias("score"))
+    return reports.result_table(rows, ["1-URGENT", "2-HIGH", "5-LOW"])
