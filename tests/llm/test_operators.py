@@ -228,6 +228,36 @@ def test_html_names_of_wrappers():
     assert html_extract.main_text(f"<body>{inner}</body>") == f"{long.strip()}\nRelated work\n{long.strip()}"
 
 
+LONG = "Some words, and more of them, in one block of prose. " * 4
+TEXT = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *[(f"<article><p>{LONG}</p></article><{tag}>" + f"<div><p>{'A reader says this, and that. ' * 5}</p></div>" * n + f"</{tag.split()[0]}>", TEXT) for tag in ("div id=comments", "section class=comments", "ol class=commentlist", "div class=comment-list") for n in (20, 30)],
+        (f"<main><article><p>{LONG}</p></article><div id=comments>" + f"<p>{LONG}</p>" * 30 + "</div></main>", TEXT),
+        (f"<div class=text><p>{LONG}</p></div><div id=comments>" + f"<p>{LONG}</p>" * 30 + "</div>", TEXT),
+        (f"<article><p>{LONG}</p></article><div class=related>" + f"<article><p>{LONG}</p></article>" * 3 + "</div>", TEXT),
+        (f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG * 4}</p></article></div>", TEXT),
+        (f"<article><p>{LONG}</p></article><div class=more><article><p>{LONG * 4}</p></article></div>", TEXT),
+        (f"<article><p>{LONG}</p></article><ol class=commentlist><li>{LONG * 5}</li></ol>", TEXT),
+        (f"<article><p>{LONG}</p></article><div class=talk><p>{LONG * 5}</p></div>", TEXT),
+        (f"<article><p>{LONG}</p></article><div><article class=comment><p>{LONG * 5}</p></article></div>", TEXT),
+        (f"<div class=all><article><p>{LONG}</p></article><article><p>{LONG}</p></article></div>", f"{TEXT}\n{TEXT}"),
+        (f"<div class=wrap><div class=intro>Short intro.</div><div class=body><p>{LONG}</p></div></div>", f"Short intro.\n{TEXT}"),
+        (f"<div class=post><div class=lead>Lead.</div><div class=text><p>{LONG}</p></div><div class=end>The end.</div></div>", f"Lead.\n{TEXT}\nThe end."),
+        (f"<div class=page><div class=logo>Site</div><div class=text><p>{LONG}</p></div><nav>menu</nav></div>", TEXT),
+        (f"<article><p>{LONG}</p><ins class=adsbygoogle>Buy, now.</ins><div class=adbox>Buy, again.</div></article>", TEXT),
+        (f"<h1>Title</h1><article><p>{LONG}</p></article>", f"Title\n{TEXT}"),
+        (f"<article class=commentary><p>{LONG}</p></article>", TEXT),
+        (f"<div id=comments><p>{LONG}</p></div>", TEXT),
+    ],
+)
+def test_html_ordinary_pages(page, want):
+    assert html_extract.main_text(f"<html><body><header>Site</header>{page}<footer>end</footer></body></html>") == want
+
+
 def test_language(spark):
     docs, pages = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "pages")
     got = language_id.identify(pages, language_id.train(docs)).collect()
