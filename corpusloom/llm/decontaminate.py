@@ -162,7 +162,7 @@ class Benchmark:
 def _benchmark(items: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> Benchmark:
     """The items in blocks of at most ``block_bytes`` of text (or one longer item)."""
     context = items.sparkSession.sparkContext
-    rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = items.select(F.col(item_col).alias("o"), F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").orderBy("o", "t").select("i", "t")
     blocks, depth, ids, texts = [], 1, [], []
 
     def close():
@@ -235,10 +235,11 @@ def _judged(column, items: Benchmark, hit_share: float) -> dict:
         for pair in np.unique(doc * len(x.ids) + x.item[suffix]).tolist():
             met[pair // len(x.ids)].add(x.ids[pair % len(x.ids)])
         n = shard.common(at, x._query, suffix, x.left[suffix])
-        by = np.lexsort((x.item[suffix], at, -n, doc))  # ties: the earliest place, then the item read first
+        by = np.lexsort((x.item[suffix], at, -n, doc))  # ties: the earliest place, then the smallest item
         top = by[np.append(True, doc[by[1:]] != doc[by[:-1]])]
-        top = top[n[top] > best[doc[top]]]
-        d = doc[top]
+        d, place = doc[top], at[top] - shard.heads[doc[top]]
+        better = (n[top] > best[d]) | (n[top] == best[d]) & (place < where[d])
+        top, d = top[better], d[better]
         best[d], where[d], which[d] = n[top], at[top] - shard.heads[d], x.ids[x.item[suffix[top]]]
     hit = np.add.reduceat((np.cumsum(cover[:-1]) > 0).astype(np.int64), shard.heads[:-1])
     dirty = (hit > 0) & (share.denominator * hit >= share.numerator * n_words)
