@@ -258,10 +258,10 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, id_col: str = "
     return hit.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("cut")).alias("intervals"))
 
 
-def _kept(part: pa.Table, text_column: str) -> tuple[list[np.ndarray], list[list[bytes]]]:
+def _kept(part: pa.Table, text_column: str, cut_column: str) -> tuple[list[np.ndarray], list[list[bytes]]]:
     """Per row which words stay and all its words."""
     keep, words = [], []
-    for text, cuts in zip(part[text_column].to_pylist(), part["__cuts"].to_pylist(), strict=True):
+    for text, cuts in zip(part[text_column].to_pylist(), part[cut_column].to_pylist(), strict=True):
         own = [w for w in (text or "").encode().translate(_AS_SPACE).split(b" ") if w]
         change = np.zeros(len(own) + 1, np.int64)
         for c in cuts or ():
@@ -275,10 +275,14 @@ def _kept(part: pa.Table, text_column: str) -> tuple[list[np.ndarray], list[list
 _AS_SPACE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 
 
-def _joined(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+def _joined(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with the intervals to cut in one more column, and the name of it, which no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "_" * next(k for k in range(2, len(taken) + 3) if not any("_" * k + x in taken for x in ("id", "key", "cuts")))
     cuts = repeated_intervals(docs, window=window, id_col=id_col, text_col=text_col)
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("intervals").alias("__cuts"))
-    return docs.join(cuts, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left").drop("__id", "__key")
+    cuts = cuts.select(F.col("doc_id").alias(f"{mark}id"), F.col("text_key").alias(f"{mark}key"), F.col("intervals").alias(f"{mark}cuts"))
+    joined = docs.join(cuts, (docs[id_col].cast("long") == F.col(f"{mark}id")) & (F.xxhash64(docs[text_col]) == F.col(f"{mark}key")), "left")
+    return joined.drop(f"{mark}id", f"{mark}key"), f"{mark}cuts"
 
 
 def repeated_report(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +290,7 @@ def repeated_report(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
 
     def run(batches):
         for part in slices(batches, "text"):
-            keep, words = _kept(part, "text")
+            keep, words = _kept(part, "text", cut_column)
             kept = [b" ".join(w for w, k in zip(own, mask.tolist(), strict=True) if k) if not mask.all() else b" ".join(own) for own, mask in zip(words, keep, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -296,7 +300,8 @@ def repeated_report(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_arrow(_joined(rows, window, "doc_id", "text"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined, cut_column = _joined(rows, window, "doc_id", "text")
+    return in_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,10 +310,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
 
     def run(batches):
         for part in slices(batches, text_col):
-            keep, words = _kept(part, text_col)
+            keep, words = _kept(part, text_col, cut_column)
             old = part[text_col].to_pylist()
             new = [t if m.all() else b" ".join(w for w, k in zip(own, m.tolist(), strict=True) if k).decode() for t, own, m in zip(old, words, keep, strict=True)]
             at = part.schema.get_field_index(text_col)
-            yield from part.set_column(at, text_col, pa.array(new, part.schema.field(text_col).type)).drop_columns(["__cuts"]).to_batches()
+            yield from part.set_column(at, text_col, pa.array(new, part.schema.field(text_col).type)).drop_columns([cut_column]).to_batches()
 
-    return in_arrow(_joined(docs, window, id_col, text_col).select(*docs.columns, "__cuts"), run, fields)
+    joined, cut_column = _joined(docs, window, id_col, text_col)
+    return in_arrow(joined.select(*[F.col(f"`{c}`") for c in docs.columns], cut_column), run, fields)

@@ -232,6 +232,25 @@ LONG = "Some words, and more of them, in one block of prose. " * 4
 TEXT = LONG.strip()
 
 
+def test_decontaminate_ties(spark):
+    docs = spark.createDataFrame([(1, "x one two three y")], SCHEMA)
+    items = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), ("c", "x one two")], "item_id string, text string")
+    for size in (1, 1 << 20):
+        r = decontaminate.contamination_report(docs, items, block_bytes=size).first()
+        assert (r.longest_match, r.match_start, r.match_item, r.n_items) == (3, 0, "c", 3)
+        r = decontaminate.contamination_report(docs, items.where("item_id <> 'c'"), block_bytes=size).first()
+        assert (r.longest_match, r.match_start, r.match_item) == (3, 1, "a")
+
+
+def test_repeats_with_other_columns(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, 5, "k", "c"), (2, f"new {text} end", 6, "l", "d"), (None, None, 7, "m", "e")], "doc_id long, text string, __id int, `__key` string, __cuts string")
+    out = substring_dedup.remove_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, text, 5, "k", "c"), (2, "new end", 6, "l", "d"), (None, None, 7, "m", "e")], key=repr)
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0 == substring_dedup.repeated_report(docs.limit(0)).count()
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
