@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import canonical
-from corpusloom.operators import gates, profiles
+from corpusloom.operators import gates, observations, profiles
 from corpusloom.plans.catalog import _t, query
 from corpusloom.streaming import hypotheses
 
@@ -142,3 +142,66 @@ WHEN 'A' THEN l_linenumber % 2 = 0 ELSE l_linestatus = 'F' OR l_quantity <= 40 E
 def equal_answers(spark, sf_dir):
     same = canonical.answers_equal(canonical.canonical_answer(F.col("predicted")), canonical.canonical_answer(F.col("truth")))
     return _solutions(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", same.alias("equal"))
+
+
+_SEEN = """SELECT 'u' || user_id AS video, datediff('day', DATE '2020-01-01', ts::DATE)::INT AS seg, event_id, event_type AS who, (epoch_us(ts) - epoch_us(ts::DATE::TIMESTAMP)) / 1e6 AS s, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS i FROM events"""
+_UNITS_OF = f"""WITH e AS ({_SEEN}), o AS (SELECT video, seg, seg * 86400.0 AS base, min(who) AS a, max(who) AS z, min(s) AS first, max(s) AS last, count(*) AS n FROM e GROUP BY video, seg),
+units AS (SELECT video, format('a_{{:04d}}_entity_{{:02d}}', seg, i) AS evidence_id, 'entity_event' AS source_kind, seg AS segment_index, seg * 86400.0 + s AS start_sec, seg * 86400.0 + least(86400.0, s + value * 600) AS end_sec,
+CASE WHEN value > 90 THEN '' WHEN value > 50 THEN who || ' walks' ELSE who || ' rests' END AS text, [who] AS entity_ids, CASE WHEN value > 30 THEN 'before' ELSE '' END AS visible_preconditions, CASE WHEN value < 70 THEN 'after' ELSE '' END AS visible_outcome, 'structured' AS timestamp_quality FROM e
+UNION ALL SELECT video, format('a_{{:04d}}_caption_01', seg), 'caption_span', seg, base, base + 86400, 'day of ' || a, CASE WHEN n > 1 THEN [a] ELSE [] END, '', '', 'unanchored_prefix' FROM o
+UNION ALL SELECT video, format('a_{{:04d}}_caption_02', seg), 'caption_span', seg, base + 605, base + 86400, z || ' leaves', CASE WHEN n > 1 AND last >= 605 THEN [a] ELSE [] END, '', '', 'anchored' FROM o)"""
+
+
+def _observations(spark, sf_dir):
+    """Days of users as segments of videos: events, a caption with parts that count and parts that don't, and one entity's interval."""
+    day, s = F.to_date("ts"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.to_date("ts").cast("timestamp"))) / 1e6
+    rows = _t(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("video"), F.date_diff(day, F.lit("2020-01-01").cast("date")).alias("segment_index"), "event_id", "event_type", s.alias("s"), "value")
+    text = F.when(F.col("value") > 90, " ").when(F.col("value") > 50, F.concat("event_type", F.lit(" walks "))).otherwise(F.concat("event_type", F.lit(" rests")))
+    event = F.struct(
+        "event_id", F.col("s").alias("start_sec"), (F.col("s") + F.col("value") * 600).alias("end_sec"), F.array("event_type", "event_type").alias("participants"), text.alias("description"),
+        F.when(F.col("value") > 30, "before").alias("visible_preconditions"), F.when(F.col("value") < 70, "after ").alias("visible_outcome"), F.lit(None).cast("string").alias("uncertainty"),
+    )
+    days = rows.groupBy("video", "segment_index").agg(F.sort_array(F.collect_list(event)).alias("e"), F.min("event_type").alias("a"), F.max("event_type").alias("z"), F.min("s").alias("first"), F.max("s").alias("last"))
+    caption = F.concat(F.lit("day of "), "a", F.lit(" [10:05-1440:00] "), "z", F.lit(" leaves[09:00-08:00] lost [00:10-00:20]  "))
+    interval = F.when(F.size("e") > 1, F.array(F.struct(F.col("first").alias("start_sec"), F.col("last").alias("end_sec"))))
+    update = F.array(F.struct(F.col("a").alias("entity_id"), interval.alias("evidence_intervals"), F.create_map(F.lit("seen"), F.size("e").cast("string")).alias("attributes")))
+    return days.select("video", "segment_index", (F.col("segment_index") * 86400.0).alias("start_sec"), F.lit(86400.0).alias("duration_sec"), caption.alias("caption"), update.alias("entity_updates"), F.transform("e", lambda x: x.dropFields("event_id")).alias("observed_events"))
+
+
+@query(f"{_UNITS_OF} SELECT * FROM units")
+def evidence_units(spark, sf_dir):
+    return observations.evidence_units(_observations(spark, sf_dir)).drop("uncertainty")
+
+
+@query(f"""{_UNITS_OF} SELECT video, a AS entity_id, row_number() OVER (PARTITION BY video, a ORDER BY base + CASE WHEN n > 1 THEN first ELSE 0 END)::INT AS number, seg AS segment_index,
+base + CASE WHEN n > 1 THEN first ELSE 0 END AS start_sec, base + CASE WHEN n > 1 THEN last ELSE 86400 END AS end_sec, n::INT AS seen FROM o""")
+def observed_tracks(spark, sf_dir):
+    return observations.entity_tracks(_observations(spark, sf_dir)).withColumn("seen", F.col("attributes")["seen"].cast("int")).drop("attributes")
+
+
+# Every family by joins of units with units; _RANK puts its candidates in order
+_RANK = "ORDER BY greatest(h, len(ids) - 1) + least(3, greatest(0, (hi - lo) / 60)) DESC, hi - lo DESC, k"
+
+
+@query(f"""{_UNITS_OF}, u AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start_sec, end_sec, evidence_id) AS k FROM units WHERE text <> ''),
+x AS (SELECT video, unnest(entity_ids) AS w, k, start_sec, end_sec, evidence_id FROM u), c AS (SELECT video, w, list(evidence_id ORDER BY k) AS ids, list(start_sec ORDER BY k) AS ss, list(end_sec ORDER BY k) AS es, min(k) AS k FROM x GROUP BY video, w),
+later AS (SELECT a.video, a.k, min(b.k) AS b FROM x a JOIN x b ON a.video = b.video AND a.w = b.w AND b.start_sec > greatest(a.start_sec, a.end_sec) GROUP BY a.video, a.k),
+s AS (SELECT u.*, v.evidence_id AS other, v.start_sec AS os, v.end_sec AS oe FROM u LEFT JOIN later USING (video, k) LEFT JOIN u v ON v.video = u.video AND v.k = later.b),
+f AS (SELECT 0 AS t, 1 AS h, video, [ids[1], ids[-1]] AS ids, ss[1] AS lo, greatest(es[1], es[-1]) AS hi, k, false AS alone FROM c WHERE len(ids) >= 2
+UNION ALL SELECT 3, 2, video, [ids[1], ids[len(ids) // 2 + 1], ids[-1]], ss[1], greatest(es[1], es[len(ids) // 2 + 1], es[-1]), k, false FROM c WHERE len(ids) >= 3
+UNION ALL SELECT 1, 1, video, CASE WHEN other IS NULL THEN [evidence_id] ELSE [evidence_id, other] END, start_sec, greatest(end_sec, coalesce(oe, end_sec)), k, other IS NULL FROM s WHERE visible_preconditions <> '' AND visible_outcome <> ''
+UNION ALL SELECT 4, 1, video, CASE WHEN other IS NULL THEN [evidence_id] ELSE [evidence_id, other] END, start_sec, greatest(end_sec, coalesce(oe, end_sec)), k, false FROM s WHERE text LIKE '% walks' OR text LIKE '% leaves'
+UNION ALL SELECT 2, 1, a.video, [a.evidence_id, b.evidence_id], a.start_sec, greatest(a.end_sec, b.end_sec), a.k, false FROM u a JOIN u b ON a.video = b.video AND b.k = a.k + 1 WHERE b.start_sec >= a.end_sec),
+g AS (SELECT *, row_number() OVER (PARTITION BY video, t {_RANK}) AS r FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video, t, ids {_RANK}) = 1))
+SELECT video, ['entity_tracking', 'state_change', 'temporal_relation', 'conditional_counting', 'dynamic_spatial_trajectory'][t + 1] AS task_type, ids AS evidence_ids, greatest(h, len(ids) - 1)::INT AS hop_count, hi - lo AS temporal_span_sec, alone AS single_observation_fallback FROM g WHERE r <= 2""")
+def task_candidates(spark, sf_dir):
+    """Five of the eight families, two candidates each; the other three take the same units by like rules."""
+    found = observations.task_candidates(observations.evidence_units(_observations(spark, sf_dir)), most=2)
+    some = found.where(F.col("task_type").isin("entity_tracking", "state_change", "temporal_relation", "conditional_counting", "dynamic_spatial_trajectory"))
+    return some.select("video", "task_type", "evidence_ids", "hop_count", "temporal_span_sec", "single_observation_fallback")
+
+
+@query("""SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END, abs(hour(ts) - 2), value DESC, event_id) = 1 AS frontier_selected FROM events""")
+def marked_frontier(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("user_id") % 3 == 0, "frontier").alias("bucket"), F.hour("ts").alias("correct"), F.col("value").alias("span"), F.col("event_id").alias("ordinal"))
+    return observations.marked_frontier(rows, ["event_type"]).select("event_id", "frontier_selected")
