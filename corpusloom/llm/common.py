@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.shared import root
+
 SLICE_BYTES = 2 << 20
 BATCH_ROWS = 500
 FILE_ROWS = 10_000
@@ -30,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that the driver and all executors share."""
+    return root(spark)
 
 
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
