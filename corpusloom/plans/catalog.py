@@ -20,6 +20,8 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def keep(f):
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries have the name {f.__name__}")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
@@ -29,13 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpusloom.plans import campaigns, harness, judging, stores  # noqa: F401  add their own
+    from corpusloom.plans import campaigns, harness, judging, rounds, stores  # noqa: F401  add their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpusloom.plans import campaigns, harness, judging, stores  # noqa: F401
+    from corpusloom.plans import campaigns, harness, judging, rounds, stores  # noqa: F401
 
     return dict(_SQL)
 

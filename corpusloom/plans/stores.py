@@ -91,13 +91,13 @@ def _reviews(spark, sf_dir):
 
 
 @query(f"{_TAGGED} SELECT conv_id, turn, list_distinct_in_order AS tags FROM t")
-def failure_tags(spark, sf_dir):
+def text_failure_tags(spark, sf_dir):
     """Reviews of turns: two axes whose reasons are texts with what a reviewer may say; a last turn has no second reason."""
     return diagnosis.failure_tags(_reviews(spark, sf_dir)).select("id.conv_id", "id.turn", "tags")
 
 
 @query(f"{_TAGGED} SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct_in_order) AS tag FROM t) GROUP BY tag")
-def failure_tag_counts(spark, sf_dir):
+def text_failure_counts(spark, sf_dir):
     return diagnosis.tag_counts(diagnosis.failure_tags(_reviews(spark, sf_dir)))
 
 
