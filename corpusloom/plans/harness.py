@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import canonical
+from corpusloom.functions import canonical, datasets
 from corpusloom.operators import gates, observations, profiles
 from corpusloom.plans.catalog import _t, query
 from corpusloom.streaming import hypotheses
@@ -205,3 +205,23 @@ def task_candidates(spark, sf_dir):
 def marked_frontier(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("user_id") % 3 == 0, "frontier").alias("bucket"), F.hour("ts").alias("correct"), F.col("value").alias("span"), F.col("event_id").alias("ordinal"))
     return observations.marked_frontier(rows, ["event_type"]).select("event_id", "frontier_selected")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 'step ' || l_linenumber WHEN 'R' THEN 's' ELSE l_linestatus END AS solution,
+CASE l_returnflag WHEN 'A' THEN l_suppkey::VARCHAR WHEN 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN (l_quantity / 100)::VARCHAR ELSE regexp_replace((l_quantity::INT / l_linenumber)::VARCHAR, '\\.0$', '') END ELSE CASE WHEN l_linestatus = 'F' THEN 'yes' END END AS answer,
+CASE l_returnflag WHEN 'A' THEN 'how many?' WHEN 'R' THEN 'Read the following table ' || CASE WHEN l_linestatus = 'O' THEN 'regarding "' || l_shipdate::DATE || '" ' ELSE '' END || 'and answer a question:' || chr(10) || 'a|' || l_partkey || chr(10) || 'q'
+ELSE 'Body ' || l_partkey || '. is it?' || CASE WHEN l_linestatus = 'F' THEN ' (Yes or No)' ELSE '' END END AS question FROM lineitem""".replace("\\\\", "\\"))
+def dataset_records(spark, sf_dir):
+    """Line items as records of three datasets; some have no title, some no answer."""
+    n, q, key = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_partkey").cast("string")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    counted = F.to_json(F.struct(text("step ", n.cast("string"), " #### ", F.col("l_suppkey").cast("string"), " ").alias("answer"), F.lit("how many?").alias("question")))
+    answer = F.when(n % 2 == 0, text(q.cast("string"), "%")).otherwise(text(q.cast("string"), "/", n.cast("string")))
+    title = F.when(F.col("l_linestatus") == "O", F.to_date("l_shipdate").cast("string"))
+    tabled = F.to_json(F.struct(F.lit("s").alias("solution"), answer.alias("answer"), F.lit("decimal_number").alias("ans_type"), title.alias("table_title"), text("a|", key).alias("table"), F.lit("q").alias("question")))
+    told = F.to_json(F.struct(F.col("l_linestatus").alias("Equation"), F.when(F.col("l_linestatus") == "F", "yes").alias("Answer"), text("Body ", key).alias("Body"), F.lit("is it?").alias("Question")))
+    name = F.when(F.col("l_returnflag") == "A", "gsm8k").when(F.col("l_returnflag") == "R", "tabmwp").otherwise("svamp")
+    record = F.when(F.col("l_returnflag") == "A", counted).when(F.col("l_returnflag") == "R", tabled).otherwise(told)
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", record.alias("r"), name.alias("d"))
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", datasets.ground_truth(F.col("r"), F.col("d")).alias("t"), datasets.question_text(F.col("r"), F.col("d")).alias("question"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "t.solution", "t.answer", "question")
