@@ -74,3 +74,18 @@ def chosen_letter(text: Column) -> Column:
     """a to e after "answer is" (or "choice is") before any further problem; null if there is none."""
     head = F.lower(F.replace(F.element_at(F.split(text, "Problem:", 2), 1), F.lit("choice is"), F.lit("answer is")))
     return F.nullif(F.upper(F.regexp_extract(head, r"answer is \(?([abcde])\)?", 1)), F.lit(""))
+
+
+def first_code(text: Column) -> Column:
+    """What the first code fence of a text holds; without one the text, unless it opens a fence; null if there is nothing."""
+    fence = F.regexp_extract(text, r"(?s)```(?:[a-zA-Z0-9_+-]*)[ \t]*\n(.*?)```", 1)
+    fenced = text.rlike(r"(?s)```(?:[a-zA-Z0-9_+-]*)[ \t]*\n.*?```")
+    plain = stripped(text)
+    return F.when(fenced, stripped(fence)).when((plain != "") & ~plain.startswith("```"), plain)
+
+
+def choice_prompt(question: Column, options: Column) -> Column:
+    """The prompt of a multiple-choice question about a video, with its options a line each."""
+    # Fixed value: the wording that answers are scored under.
+    head = "Watch the video and answer the multiple-choice question. Return exactly one uppercase letter: A, B, C, or D.\n\nQuestion: "
+    return F.concat(F.lit(head), question, F.lit("\n"), F.array_join(F.coalesce(options, F.array().cast("array<string>")), "\n"), F.lit("\n\nAnswer:"))

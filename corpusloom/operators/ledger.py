@@ -159,3 +159,38 @@ def usage_rollup(events: DataFrame, model: str, tokens: Column, ok: Column) -> D
     flat = events.select(F.col(model).alias("model"), tokens.alias("t"), ok.cast("long").alias("ok"))
     out = flat.rollup("model").agg(F.count("*").alias("calls"), F.sum("ok").alias("successes"), F.sum("t").alias("tokens"), F.sum(F.col("t").isNull().cast("long")).alias("missing"))
     return out.withColumn("model", F.coalesce("model", F.lit("all")))
+
+
+def batch_digests(cards: DataFrame, folded: DataFrame | None = None) -> DataFrame:
+    """(batch, samples, api_calls, settled, accepted, gate_rejects, axis_failures) of cards (batch, calls, settled, good, valid, outcomes).
+
+    Batches that ``folded`` has already are left out, so folding one again changes nothing. Only settled cards are judged;
+    axis_failures maps the axes of their outcomes to how often each is named.
+    """
+    fresh = cards if folded is None else cards.join(folded.select("batch").distinct(), "batch", "left_anti")
+    done = F.coalesce("settled", F.lit(False))
+    yes = lambda c: F.count_if(done & F.coalesce(F.col(c), F.lit(False)))
+    sums = fresh.groupBy("batch").agg(F.count("*").alias("samples"), F.coalesce(F.sum("calls"), F.lit(0)).alias("api_calls"), F.count_if(done).alias("settled"), yes("good").alias("accepted"), F.count_if(done & ~F.coalesce("valid", F.lit(True))).alias("gate_rejects"))
+    axes = fresh.where(done).select("batch", F.explode("outcomes").alias("axis")).groupBy("batch", "axis").agg(F.count("*").alias("n"))
+    named = axes.groupBy("batch").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("axis", "n")))).alias("axis_failures"))  # a handful of axes
+    return sums.join(named, "batch", "left").withColumn("axis_failures", F.coalesce("axis_failures", F.create_map().cast("map<string,bigint>")))
+
+
+def failure_table(cards: DataFrame, examples: int = 3) -> DataFrame:
+    """(axis, failures, batches, mean_score_when_failing, examples) of settled cards (batch, id, score, settled, outcomes).
+
+    Examples are the first cards by batch and id, and in the last place the newest.
+    """
+    hits = cards.where(F.coalesce("settled", F.lit(False))).select("batch", "id", "score", F.explode("outcomes").alias("axis"))
+    first = F.row_number().over(Window.partitionBy("axis").orderBy("batch", "id"))
+    last = F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("batch"), F.desc("id")))
+    shown = hits.withColumn("k", first).withColumn("z", last).where((F.col("k") < examples) | (F.col("z") == 1))
+    named = shown.groupBy("axis").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("examples"))
+    sums = hits.groupBy("axis").agg(F.count("*").alias("failures"), F.count_distinct("batch").alias("batches"), F.bround(F.avg("score"), 2).alias("mean_score_when_failing"))
+    return sums.join(named, "axis").select("axis", "failures", "batches", "mean_score_when_failing", "examples")
+
+
+def newest_states(cards: DataFrame, most: int = 200) -> DataFrame:
+    """(batch, id, state) of the last ``most`` cards (batch, id, state) that name a state, by batch and id."""
+    rows = cards.where(F.trim("state") != "").select("batch", "id", F.trim("state").alias("state"))
+    return rows.orderBy(F.desc("batch"), F.desc("id")).limit(most)

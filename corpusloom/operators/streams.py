@@ -128,3 +128,21 @@ def _ran(blocks: Column, lines, ok) -> Column:
     ran = F.transform(F.filter(programs, lambda b: b["ran"]), lambda b: b["content"])
     ran = F.when(F.size(ran) == 0, F.array(F.lit(""))).otherwise(ran)
     return F.transform(ran, lambda p, i: F.when((i == 0) & (F.size(imports) > 0), F.concat(F.array_join(imports, "\n"), F.lit("\n"), p)).otherwise(p))
+
+
+def chat_text(message: Column, thinking: bool | str | None) -> Column:
+    """The text of a message (reasoning_content, reasoning, content) under a policy of three states.
+
+    ``omit``, null and false give the content; true puts reasoning and content into their marks, unless the content has
+    them already. Without content and reasoning, or without a message, it is null.
+    """
+    omitted = thinking is None or isinstance(thinking, str) and thinking.strip().lower() == "omit"
+    if not omitted and not isinstance(thinking, bool):
+        raise TypeError("thinking is true, false, omit or None")
+    content = message["content"]
+    if omitted or not thinking:
+        return content
+    reasoning = F.coalesce(F.nullif(message["reasoning_content"], F.lit("")), F.nullif(message["reasoning"], F.lit("")))
+    said = F.coalesce(content, F.lit(""))
+    wrapped = F.concat(F.lit("<think>"), F.coalesce(reasoning, F.lit("")), F.lit("</think>\n<answer>"), said, F.lit("</answer>"))
+    return F.when(content.isNull() & reasoning.isNull(), None).when(said.rlike(r"(?s)<think>.*?</think>.*?<answer>.*?</answer>"), said).otherwise(wrapped)

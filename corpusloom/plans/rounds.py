@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluations
+from corpusloom.functions import answers
+from corpusloom.operators import evaluations, ledger
 from corpusloom.plans.catalog import _t, query
 
 
@@ -108,3 +109,48 @@ def migration_plan(spark, sf_dir):
     reason = F.when(F.col("o_orderpriority") == "1-URGENT", "too_easy").when(F.col("o_orderpriority") == "2-HIGH", "answer_leak").when(F.col("o_orderpriority") == "5-LOW", "identity_failure").otherwise("unknown")
     signals = rows.groupBy(F.nullif("o_orderstatus", F.lit("P")).alias("task_type"), F.when(F.col("o_custkey") % 7 < 3, F.col("o_orderpriority")).alias("operator"), reason.alias("reason")).agg(F.count("*").alias("count"))
     return evaluations.migration_plan(signals, "base@3", "generic", ("prompt",))
+
+
+_CARDS = """SELECT o_orderpriority AS batch, o_orderkey AS id, o_custkey % 4 AS calls, nullif(round(o_totalprice / 100000, 1), 1.5) AS score, CASE WHEN o_custkey % 9 > 0 THEN o_orderstatus <> 'P' END AS settled, o_totalprice > 200000 AS good, CASE WHEN o_custkey % 5 = 0 THEN false WHEN o_custkey % 5 = 1 THEN true END AS valid,
+CASE WHEN o_totalprice < 100000 THEN ['cost', o_orderstatus] WHEN o_totalprice < 300000 THEN [o_orderstatus] ELSE [] END AS outcomes, CASE WHEN o_custkey % 3 = 0 THEN ' ' ELSE ' at ' || o_custkey END AS state FROM orders"""
+
+
+def _cards(spark, sf_dir):
+    c = F.col("o_custkey")
+    outcomes = F.when(F.col("o_totalprice") < 100000, F.array(F.lit("cost"), "o_orderstatus")).when(F.col("o_totalprice") < 300000, F.array("o_orderstatus")).otherwise(F.array().cast("array<string>"))
+    return _t(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("batch"), F.col("o_orderkey").alias("id"), (c % 4).alias("calls"), F.nullif(F.round(F.col("o_totalprice") / 100000, 1), F.lit(1.5)).alias("score"), F.when(c % 9 > 0, F.col("o_orderstatus") != "P").alias("settled"),
+        (F.col("o_totalprice") > 200000).alias("good"), F.when(c % 5 == 0, False).when(c % 5 == 1, True).alias("valid"), outcomes.alias("outcomes"), F.when(c % 3 == 0, " ").otherwise(F.concat(F.lit(" at "), c.cast("string"))).alias("state"),
+    )
+
+
+@query(f"""WITH c AS ({_CARDS}), s AS (SELECT batch, count(*) AS samples, sum(calls)::BIGINT AS api_calls, count_if(settled)::BIGINT AS settled, count_if(settled AND good)::BIGINT AS accepted, count_if(settled AND NOT coalesce(valid, true))::BIGINT AS gate_rejects FROM c WHERE batch <> '5-LOW' GROUP BY batch),
+a AS (SELECT batch, string_agg(axis || ':' || n, ',' ORDER BY axis) AS axis_failures FROM (SELECT batch, axis, count(*) AS n FROM (SELECT batch, unnest(outcomes) AS axis FROM c WHERE settled) GROUP BY ALL) GROUP BY batch) SELECT s.*, coalesce(axis_failures, '') AS axis_failures FROM s LEFT JOIN a USING (batch)""")
+def batch_digests(spark, sf_dir):
+    """Digests of all batches but one that was folded before."""
+    cards = _cards(spark, sf_dir)
+    found = ledger.batch_digests(cards, cards.where("batch = '5-LOW'"))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("axis_failures")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return found.withColumn("axis_failures", said)
+
+
+@query(f"""WITH h AS (SELECT batch, id, score, unnest(outcomes) AS axis FROM ({_CARDS}) WHERE settled), r AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY batch, id) AS k, row_number() OVER (PARTITION BY axis ORDER BY batch DESC, id DESC) AS z FROM h)
+SELECT axis, count(*) AS failures, count(DISTINCT batch) AS batches, round_even(avg(score), 2) AS mean_score_when_failing, list(id ORDER BY k) FILTER (k < 3 OR z = 1) AS examples FROM r GROUP BY axis""")
+def failure_table(spark, sf_dir):
+    return ledger.failure_table(_cards(spark, sf_dir))
+
+
+@query(f"SELECT batch, id, trim(state) AS state FROM ({_CARDS}) WHERE trim(state) <> '' ORDER BY batch DESC, id DESC LIMIT 200")
+def newest_states(spark, sf_dir):
+    return ledger.newest_states(_cards(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN trim(text, chr(32) || chr(10)) WHEN length(text) % 3 = 1 THEN 'x = ' || turn WHEN length(text) % 3 = 2 THEN NULL END AS code,
+'Watch the video and answer the multiple-choice question. Return exactly one uppercase letter: A, B, C, or D.' || chr(10) || chr(10) || 'Question: ' || coalesce(text, '') || chr(10) || 'A. ' || role || chr(10) || 'B. none' || chr(10) || chr(10) || 'Answer:' AS prompt FROM conversations WHERE text <> ''""")
+def codes_and_prompts(spark, sf_dir):
+    """Texts as they are, with a fence, and with one that isn't closed; and prompts of them as questions."""
+    size = F.length("text") % 3
+    said = F.when(size == 0, F.col("text")).when(size == 1, F.concat("text", F.lit("\n```python\nx = "), F.col("turn").cast("string"), F.lit("\n```\nend"))).otherwise(F.concat(F.lit("```\n"), "text"))
+    rows = _t(spark, sf_dir, "conversations").where("text <> ''")
+    prompt = answers.choice_prompt(F.coalesce("text", F.lit("")), F.array(F.concat(F.lit("A. "), "role"), F.lit("B. none")))
+    return rows.select("conv_id", "turn", answers.first_code(said).alias("code"), prompt.alias("prompt"))

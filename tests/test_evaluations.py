@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluations as E
+from corpusloom.operators import ledger
 
 
 def test_usage(spark):
@@ -45,3 +46,15 @@ def test_plans(spark):
     assert [r.action for r in E.migration_plan(quiet, "p@1", "g", ("prompt",)).orderBy("number").collect()] == ["replace_or_insert", "explore_structure"]
     assert [r.action for r in E.migration_plan(quiet, "p@1", "g", ("prompt", "operator")).collect()] == ["replace_or_insert"]
     assert E.migration_plan(signals.limit(0), "p@1", "g").count() == 0
+
+
+def test_digests(spark):
+    schema = "batch string, id long, calls long, score double, settled boolean, good boolean, valid boolean, outcomes array<string>, state string"
+    rows = [("b1", 1, 2, 1.0, True, True, None, ["x", "y"], " s "), ("b1", 2, None, None, None, True, False, ["x"], ""), ("b2", 3, 1, 2.0, True, None, False, ["x"], None), ("b2", 4, 1, None, True, False, True, None, "t"), ("b3", 5, 1, 4.0, True, False, True, ["x"], "u")]
+    cards = spark.createDataFrame(rows, schema)
+    digests = ledger.batch_digests(cards)
+    got = {r.batch: (r.samples, r.api_calls, r.settled, r.accepted, r.gate_rejects, r.axis_failures) for r in digests.collect()}
+    assert got == {"b1": (2, 2, 1, 1, 0, {"x": 1, "y": 1}), "b2": (2, 2, 2, 0, 1, {"x": 1}), "b3": (1, 1, 1, 0, 0, {"x": 1})}
+    assert ledger.batch_digests(cards, digests).count() == 0
+    assert {r.axis: r[1:] for r in ledger.failure_table(cards, 2).collect()} == {"x": (3, 3, 2.33, [1, 5]), "y": (1, 1, 1.0, [1])}
+    assert [r.state for r in ledger.newest_states(cards, 2).collect()] == ["u", "t"]

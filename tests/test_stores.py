@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from corpusloom.functions import rehoming
+from corpusloom.functions import answers, rehoming
 from corpusloom.operators import diagnosis, gates, profiles, streams
 from corpusloom.sources import blobs, records, scans, sinks
 from corpusloom.streaming import hypotheses, versions
@@ -236,6 +236,22 @@ def test_chat_streams(spark):
     assert [r.chunk for r in streams.stream_chunks(spark.createDataFrame([("s", body)], "stream string, body string")).orderBy("seq").collect()] == ['{"a": 1}', '{"b":2}']
 
 
+def test_chat_policy(spark):
+    rows = [(1, "r", None, "c"), (2, None, "s", None), (3, None, None, None), (4, "r", None, "<think>a</think> <answer>b</answer>"), (5, "", "", "c")]
+    m = spark.createDataFrame(rows, "k int, reasoning_content string, reasoning string, content string").withColumn("m", F.struct("reasoning_content", "reasoning", "content"))
+    got = {r.k: (r.a, r.b) for r in m.select("k", streams.chat_text(F.col("m"), True).alias("a"), streams.chat_text(F.col("m"), " OMIT ").alias("b")).collect()}
+    wrapped = "<think>{}</think>\n<answer>{}</answer>".format
+    assert got == {1: (wrapped("r", "c"), "c"), 2: (wrapped("s", ""), None), 3: (None, None), 4: (rows[3][3], rows[3][3]), 5: (wrapped("", "c"), "c")}
+    with pytest.raises(TypeError):
+        streams.chat_text(F.col("m"), "yes")
+
+
+def test_code(spark):
+    said = {"a\n```python\nx = 1\n```\n```\ny\n```": "x = 1", "```\nz\n```": "z", " plain ": "plain", "```\nopen": None, " ": None, "": None}
+    rows = spark.createDataFrame([(t,) for t in [*said, None]], "t string").select("t", answers.first_code(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in rows} == said | {None: None}
+
+
 TEXTS = {
     "plain": [("rationale", "plain")],
     "a\n```python\nx = 1\nprint(x)\n```\n```output\n1\n```\nso b": [("rationale", "a\n"), ("program", "x = 1\nprint(x)\n"), ("output", "1\n"), ("rationale", "so b")],
