@@ -58,8 +58,19 @@ class BlobTable:
         return rows.withColumn("problem", problem).withColumn("content", F.when(F.col("same"), F.col("content"))).drop("same")
 
 
-def image_references(refs: DataFrame) -> DataFrame:
-    """References that say to be images have a type of image, and those to videos one of video; others are refused with a reason."""
-    kind = F.element_at(F.split("media_type", "/"), 1)
-    reason = F.when((F.col("kind") == "image") & (kind != "image"), "image_needs_image_type").when((F.col("kind") == "video_reference") & (kind != "video"), "video_needs_video_type").when(F.trim("uri") == "", "uri_is_required").when(~F.col("kind").isin("image", "binary", "blob", "video_reference"), "unknown_kind")
-    return refs.withColumn("reason", reason)
+def reference_problem(kind: Column, uri: Column, media_type: Column) -> Column:
+    """Why a reference to an artifact is refused: an unknown kind, no address, or a type that is not its kind's; null if it is not."""
+    family = F.split_part(F.coalesce(media_type, F.lit("")), F.lit("/"), F.lit(1))
+    return (
+        F.when(~F.coalesce(kind.isin("image", "binary", "blob", "video_reference"), F.lit(False)), "unknown_kind").when(F.trim(F.coalesce(uri, F.lit(""))) == "", "uri_is_required")
+        .when((kind == "image") & (family != "image"), "image_needs_image_type").when((kind == "video_reference") & (family != "video"), "video_needs_video_type")
+    )
+
+
+def registered(artifacts: DataFrame, new: DataFrame) -> DataFrame:
+    """A registry (name, kind, uri, media_type, sha256) with new references in place of those of the same name; refused ones are an error of their task."""
+    problem = reference_problem(F.col("kind"), F.col("uri"), F.col("media_type"))
+    checked = F.when(problem.isNull(), F.col("uri")).otherwise(F.raise_error(F.concat_ws(": ", F.col("name"), problem)))
+    columns = ["name", "kind", "uri", "media_type", "sha256"]
+    latest = refuse_unsafe(new, "name").withColumn("uri", checked).select(*columns).dropDuplicates(["name"])
+    return artifacts.select(*columns).join(latest.select("name"), "name", "left_anti").unionByName(latest)

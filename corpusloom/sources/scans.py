@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The fields that an evaluation reads.
@@ -29,18 +29,12 @@ def numbered(rows: DataFrame, name: str = "row") -> DataFrame:
     Spark reads files in blocks. A first pass counts the rows of each block (Parquet: from the footers), sums of a row a
     block give where each starts, and within a block rows stand in order. The second pass reads just what is asked of it.
     """
-    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
-    counts = rows.select(*at).groupBy("__file", "__block").agg(F.count("*").alias("n")).orderBy("__file", "__block").toArrow().to_pylist()  # a row a block of a file, as many as tasks
-    starts, total = [], 0
-    for c in counts:
-        starts.append((c["__file"], c["__block"], total, c["n"]))
-        total += c["n"]
-    spark = rows.sparkSession
-    begins = spark.createDataFrame(starts, "__file string, __block long, __begin long, __n long")
-    placed = rows.select("*", *at, F.monotonically_increasing_id().alias("__id"))
-    first = rows.select(*at, F.monotonically_increasing_id().alias("__id")).groupBy("__file", "__block").agg(F.min("__id").alias("__first"))
-    known = begins.join(first, ["__file", "__block"])
-    return placed.join(F.broadcast(known), ["__file", "__block"]).select(*[c for c in rows.columns if c != "_metadata"], (F.col("__begin") + F.col("__id") - F.col("__first")).alias(name))
+    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id")]
+    blocks = rows.select(*at).groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block, as many as tasks read
+    known = blocks.select("__file", "__block", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__begin"))
+    number = (F.col("__begin") + F.col("__id") - F.col("__first")).alias(name)
+    return rows.select("*", *at).join(known, ["__file", "__block"]).select(*[c for c in rows.columns if c != "_metadata"], number)
 
 
 def batch(rows: DataFrame, size: int, index: int, name: str = "row") -> DataFrame:
@@ -76,8 +70,6 @@ def numbering_gaps(names: DataFrame, pattern: str = r"(\d+)\D*$", column: str =
 
     Files without a number are not looked at. Gaps come from neighbours, so no list of all numbers is made but of missing ones.
     """
-    from pyspark.sql import Window
-
     number = F.regexp_extract(column, pattern, 1)
     seen = names.select(number.alias("digits")).where("digits <> ''").groupBy(F.col("digits").cast("long").alias("number")).agg(F.count("*").alias("n"))
     after = F.lead("number").over(Window.orderBy("number"))  # one row a file

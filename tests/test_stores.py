@@ -147,6 +147,18 @@ def test_unsafe_keys(spark, tmp_path, key):
     assert not (tmp_path / "blobs").exists()
 
 
+def test_artifacts(spark):
+    schema = "name string, kind string, uri string, media_type string, sha256 string"
+    old = spark.createDataFrame([("a", "image", "blobs/1", "image/png", "1"), ("b", "blob", "blobs/2", "x/y", "2")], schema)
+    new = spark.createDataFrame([("b", "video_reference", "https://v", "video/mp4", None), ("c", "binary", "blobs/3", "x/y", "3")], schema)
+    assert sorted(r.uri for r in blobs.registered(old, new).collect()) == ["blobs/1", "blobs/3", "https://v"]
+    bad = {("image", "u", "text/x"): "image_needs_image_type", ("video_reference", " ", "video/x"): "uri_is_required", ("video_reference", "u", None): "video_needs_video_type", (None, "u", "x"): "unknown_kind"}
+    rows = spark.createDataFrame(list(bad), "k string, u string, m string").select("k", "u", "m", blobs.reference_problem(F.col("k"), F.col("u"), F.col("m")).alias("p")).collect()
+    assert {tuple(r)[:3]: r.p for r in rows} == bad
+    with pytest.raises(Exception, match="x: uri_is_required"):
+        blobs.registered(old, new.limit(1).withColumn("uri", F.lit("")).withColumn("name", F.lit("x"))).collect()
+
+
 # --- versions
 
 
