@@ -97,10 +97,15 @@ def run_stream(spark: SparkSession, folder: str, target: str, checkpoint: str) -
     A run ends when all files are in; the next one takes up there. ``target`` gets the state of each hypothesis that a
     micro-batch touched; the newest of each is its state.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = spark.readStream.schema(OBSERVED).option("maxFilesPerTrigger", 1).json(folder)
-    states = rows.groupBy(*KEY).transformWithState(statefulProcessor=Tracker(), outputStructType=f"strategy string, hypothesis string, {STATE}, seen int", outputMode="append", timeMode="none")
-    states.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)  # keyed state of this kind needs it; the session's own holds again after the run
+    try:
+        rows = spark.readStream.schema(OBSERVED).option("maxFilesPerTrigger", 1).json(folder)
+        states = rows.groupBy(*KEY).transformWithState(statefulProcessor=Tracker(), outputStructType=f"strategy string, hypothesis string, {STATE}, seen int", outputMode="append", timeMode="none")
+        states.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return latest(spark.read.parquet(target))
 
 
