@@ -23,3 +23,11 @@ def test_footer_counts_of_folders(spark, tmp_path):
     for name, n in (("documents", 7), ("lineitem", 11), ("pages", 1)):
         spark.range(n).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert same_as_sql(spark, tmp_path, "footer_counts")
+
+
+def test_failure_tags_of_chance_words(spark, tmp_path):
+    """Words that other campaigns have rules for, and letters beyond ASCII beside the words of a rule."""
+    said = ["x bleeding x", "a seam", "physics", "éhalo", "halo", "too many", "typoß", "text 2 too\u00a0small", "text 2 too\n small", "caption ſmall", "title too ſmall", "pops in", "", None]
+    rows = [(k, t, "user", (text or "") + "." * pad if text is not None else None) for k, text in enumerate(said) for t, pad in enumerate((0, 1, 2, 3))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert same_as_sql(spark, tmp_path, "text_failure_tags")
