@@ -3,7 +3,9 @@
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
+from corpusloom.operators import evidence
 from corpusloom.plans import catalog
 
 
@@ -32,3 +34,16 @@ def test_failure_tags_of_chance_words(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert same_as_sql(spark, tmp_path, "text_failure_tags")
     assert same_as_sql(spark, tmp_path, "text_failure_counts")
+
+
+def test_fused_events_fold_streams(spark):
+    """Many keys and stretches are folded by the tasks as streams, not as one Python call for each."""
+    rows = spark.range(4000).select((F.col("id") % 500).alias("key"), "id", F.lit(0).alias("segment"), (F.floor(F.col("id") / 500) * F.when(F.col("id") % 2 == 0, 4.0).otherwise(100.0)).alias("start"), F.array(F.lit("a")).alias("entities"), F.lit("x").alias("text"))
+    found = evidence.fused_events(rows.withColumn("end", F.col("start") + 1.0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+    got = {(r.key, r.event): (r.start, r.end, r.ids) for r in found.collect()}
+    even = {(k, 0): (0.0, 29.0, [k + 500 * i for i in range(8)]) for k in range(0, 500, 2)}
+    assert got == even | {(k, i): (100.0 * i, 100.0 * i + 1, [k + 500 * i]) for k in range(1, 500, 2) for i in range(8)}
+    odd = spark.createDataFrame([(1, 1, 0, 0.0, 1.0, ["a"]), (1, 2, 0, 1.0, None, ["a"]), (1, 3, 0, 2.0, 3.0, ["a"]), (1, 4, 0, None, 3.0, None), (2, 5, 0, 0.0, 1.0, None)], "key long, id long, segment int, start double, end double, entities array<string>")
+    assert sorted((r.key, r.ids) for r in evidence.fused_events(odd.withColumn("text", F.lit(None).cast("string"))).collect()) == [(1, [1]), (1, [2]), (1, [3]), (1, [4]), (2, [5])]
