@@ -7,8 +7,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import scratch
+
 # The fields that an evaluation reads.
 EVALUATED = ("problem", "answer", "solution", "id", "problem_idx")
+BLOCK_BITS = 18  # numbers of files are compared in blocks of so many bits
+GAP_ROWS = 1 << 16
 JSON_KINDS, TABLE_KINDS = {"json", "jsonl", "ndjson"}, {"parquet"}
 
 
@@ -69,12 +73,28 @@ def numbering_gaps(names: DataFrame, pattern: str = r"(\d+)\D*$", column: str =
     """(number, problem): numbers that are missing between the smallest and the largest of files ``column``, or stand there twice.
 
     Files without a number are not looked at. Gaps come from neighbours, so no list of all numbers is made but of missing ones.
+    Neighbours are sought within blocks of ``1 << BLOCK_BITS`` numbers, then between the blocks of a block of blocks, and so
+    on, each time by the least and the greatest number that stand in them; no group has more rows than that.
     """
     number = F.regexp_extract(column, pattern, 1)
-    seen = names.select(number.alias("digits")).where("digits <> ''").groupBy(F.col("digits").cast("long").alias("number")).agg(F.count("*").alias("n"))
-    after = F.lead("number").over(Window.orderBy("number"))  # one row a file
-    missing = seen.withColumn("next", after).where(F.col("next") > F.col("number") + 1).select(F.explode(F.sequence(F.col("number") + 1, F.col("next") - 1)).alias("number"), F.lit("missing").alias("problem"))
-    return missing.union(seen.where("n > 1").select("number", F.lit("doubled").alias("problem")))
+    digits = names.select(number.alias("digits")).where("digits <> ''").select(F.col("digits").cast("long").alias("number"))
+    seen = digits.groupBy("number").agg((F.count("*") > 1).alias("doubled"))
+    spark, path = names.sparkSession, scratch(names.sparkSession, "numbers")
+    seen.write.parquet(path)  # names are read once
+    seen = spark.read.schema(seen.schema).parquet(path)
+    level = seen.select(F.col("number").alias("first"), F.col("number").alias("last"), F.shiftright("number", BLOCK_BITS).alias("block"))
+    bounds = seen.groupBy(F.shiftright("number", BLOCK_BITS).alias("block")).agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    gaps = None
+    for _ in range(-(-63 // BLOCK_BITS)):  # of 63 bits, the last level has one block
+        next_ = F.lead("first").over(Window.partitionBy("block").orderBy("first"))
+        found = level.select("last", next_.alias("next")).where(F.col("next") - 1 > F.col("last"))
+        gaps = found if gaps is None else gaps.unionByName(found)
+        level = bounds.select("first", "last", F.shiftright("block", BLOCK_BITS).alias("block"))
+        bounds = level.groupBy("block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    # a wide gap is cut first, so no row holds all its numbers
+    runs = gaps.select(F.explode(F.sequence(F.col("last") + 1, F.col("next") - 1, F.lit(GAP_ROWS))).alias("a"), "next")
+    missing = runs.select(F.explode(F.sequence("a", F.col("a") + F.least(F.lit(GAP_ROWS - 1), F.col("next") - 1 - F.col("a")))).alias("number"), F.lit("missing").alias("problem"))
+    return missing.union(seen.where("doubled").select("number", F.lit("doubled").alias("problem")))
 
 
 def read_evaluation(spark: SparkSession, folder: str, fields: tuple[str, ...] = EVALUATED) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import evidence
 from corpusloom.plans import catalog
+from corpusloom.sources import scans
 
 
 def same_as_sql(spark, folder, name):
@@ -47,3 +48,16 @@ def test_fused_events_fold_streams(spark):
     assert got == even | {(k, i): (100.0 * i, 100.0 * i + 1, [k + 500 * i]) for k in range(1, 500, 2) for i in range(8)}
     odd = spark.createDataFrame([(1, 1, 0, 0.0, 1.0, ["a"]), (1, 2, 0, 1.0, None, ["a"]), (1, 3, 0, 2.0, 3.0, ["a"]), (1, 4, 0, None, 3.0, None), (2, 5, 0, 0.0, 1.0, None)], "key long, id long, segment int, start double, end double, entities array<string>")
     assert sorted((r.key, r.ids) for r in evidence.fused_events(odd.withColumn("text", F.lit(None).cast("string"))).collect()) == [(1, [1]), (1, [2]), (1, [3]), (1, [4]), (2, [5])]
+
+
+def test_numbering_gaps_in_blocks(spark, monkeypatch):
+    """Neighbours are found across blocks of all levels, and no window holds all numbers in one task."""
+    some = [0, 3, 4, 4, 7, 8, 16, 17, 63, 64, 64, 150, 151, 4100, 4103]
+    monkeypatch.setattr(scans, "BLOCK_BITS", 5)
+    monkeypatch.setattr(scans, "GAP_ROWS", 16)
+    found = scans.numbering_gaps(spark.createDataFrame([(f"part-{n:05d}.jsonl",) for n in some] + [("none",)], "file string"))
+    assert sorted(map(tuple, found.collect())) == sorted([(n, "doubled") for n in (4, 64)] + [(n, "missing") for n in range(4103) if n not in some])
+    monkeypatch.setattr(scans, "BLOCK_BITS", 18)
+    wide = scans.numbering_gaps(spark.createDataFrame([("9223372036854775807",), ("9223372036854000000",), ("9223372036854775800",)], "file string"))
+    assert wide.count() == 775807 - 2
+    assert "SinglePartition" not in wide._jdf.queryExecution().executedPlan().toString()
