@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import unit
 
-BLOCK_ROWS = 4096  # vectors of a block; a task holds two blocks and their products
+BLOCK_ROWS = 32_768  # vectors of a block; a task holds two blocks and the products of CHUNK_ROWS vectors with one of them
+CHUNK_ROWS = 512
 FEWEST_BLOCKS = 4
 
 
@@ -42,8 +43,11 @@ def _kernel_sum(x: DataFrame, y: DataFrame, sigma: float) -> float:
     def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"s": []}, dtype=np.float64)
-        kernel = np.exp((np.minimum(1, _matrix(a["v"]) @ _matrix(b["y_v"]).T) - 1) / (sigma * sigma))
-        return pd.DataFrame({"s": [float(a["w"].to_numpy() @ kernel @ b["y_w"].to_numpy())]})
+        x, y, w, total = _matrix(a["v"]), _matrix(b["y_v"]), a["w"].to_numpy(), 0.0
+        for at in range(0, len(x), CHUNK_ROWS):
+            kernel = np.exp((np.minimum(1, x[at : at + CHUNK_ROWS] @ y.T) - 1) / (sigma * sigma))
+            total += float(w[at : at + CHUNK_ROWS] @ kernel @ b["y_w"].to_numpy())
+        return pd.DataFrame({"s": [total]})
 
     return _block_pairs(x, y, "v").applyInPandas(met, "s double").agg(F.sum("s")).first()[0] or 0.0
 
@@ -88,9 +92,13 @@ def nearest_cosines(rows: DataFrame, id_col: str, vector: str = "embedding") ->
     def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "nearest": np.zeros(0)})
-        near = _matrix(a["v"]) @ _matrix(b["y_v"]).T
-        near[a["id"].to_numpy()[:, None] == b["y_id"].to_numpy()[None, :]] = -np.inf
-        best = near.max(axis=1)
+        x, y, ids, y_ids, best = _matrix(a["v"]), _matrix(b["y_v"]), a["id"].to_numpy(), b["y_id"].to_numpy(), np.empty(len(a))
+        both = bool(np.isin(ids, y_ids).any())  # rows of one id meet only where a block meets itself
+        for at in range(0, len(x), CHUNK_ROWS):
+            near = x[at : at + CHUNK_ROWS] @ y.T
+            if both:
+                near[ids[at : at + CHUNK_ROWS, None] == y_ids[None, :]] = -np.inf
+            best[at : at + CHUNK_ROWS] = near.max(axis=1)
         return pd.DataFrame({"id": a["id"], "nearest": best})[np.isfinite(best)]
 
     held = _units(rows, vector, F.col(id_col).cast("long").alias("id")).where("id is not null")

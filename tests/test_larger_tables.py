@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evidence
+from corpusloom.operators import embeddings, evidence
 from corpusloom.plans import catalog
 from corpusloom.sources import scans
 
@@ -61,3 +63,17 @@ def test_numbering_gaps_in_blocks(spark, monkeypatch):
     wide = scans.numbering_gaps(spark.createDataFrame([("9223372036854775807",), ("9223372036854000000",), ("9223372036854775800",)], "file string"))
     assert wide.count() == 775807 - 2
     assert "SinglePartition" not in wide._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_wider_than_their_products(spark):
+    """A block has more vectors than are multiplied at once, so few copies of a vector are sent, and all pairs are compared."""
+    assert embeddings.BLOCK_ROWS >= 8 * 4096 and embeddings.CHUNK_ROWS * embeddings.BLOCK_ROWS * 8 <= 1 << 27
+    v = np.random.default_rng(7).normal(size=(3000, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T
+    k = np.exp(near - 1)
+    np.fill_diagonal(near, -np.inf)
+    assert {r.id: r.nearest for r in embeddings.nearest_cosines(df, "id").collect()} == pytest.approx(dict(enumerate(near.max(axis=1))))
+    a, b = slice(0, 1500), slice(1500, 3000)
+    assert embeddings.rbf_mmd(df.where("id < 1500"), df.where("id >= 1500")) == pytest.approx(k[a, a].mean() + k[b, b].mean() - 2 * k[a, b].mean(), abs=1e-9)
