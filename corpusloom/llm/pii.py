@@ -12,8 +12,8 @@ instances and ``MIN_PRECISION`` are trusted. A candidate of fitting form becomes
 ``MIN_SCORE``, and supports further patterns in the next of ``ROUNDS`` rounds. All documents enter; sums are
 pre-aggregated per task.
 
-Places are counted by words: only a word that is the word next to the span in some pattern that could be trusted leaves
-its task, with the two words before it and the one after it.
+Places are counted by words, summed within the tasks. A pattern of one word that stands at so many places that its spans
+could never be the share of them that is asked for goes no further. Wider patterns are sought by the two words next to the span.
 
 Null and empty texts have no spans. Rows with the same id are told apart by their text; repeated rows get equal
 results. Positions count code points, ends are exclusive. Very long runs of digits or letters are matched without
@@ -22,6 +22,8 @@ backtracking. Columns besides id and text are not read, but redact() keeps them,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,26 +154,43 @@ def _near(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame
 
 
 def _counted(docs: DataFrame, hopeful: DataFrame, n: int) -> DataFrame:
-    """How often the words of each hopeful pattern stand anywhere in the texts: (pattern, places)."""
-    # A wide pattern has fewer places than the one word at its span, which is hopeful whenever the wide one is.
-    # So words go by alone; only those beside a span in some hopeful pattern take their neighbours along.
-    line = hopeful.select(F.substring("pattern", 1, 1).alias("side"), F.split(F.expr("substring(pattern, 2)"), " ").alias("w"))
-    heads = line.select(F.when(F.col("side") == "<", F.element_at("w", -1)).otherwise(F.col("w")[0]).alias("word")).distinct()
+    """How often the words of each hopeful pattern stand anywhere in the texts: (pattern, places).
+
+    ``hopeful`` has pattern and most, the places at which a known instance could stand at best. A pattern with so many
+    places that these are no share of MIN_PRECISION is left out as soon as that is known.
+    """
+    line = hopeful.select("pattern", "most", F.substring("pattern", 1, 1).alias("side"), F.split(F.expr("substring(pattern, 2)"), " ").alias("w"))
+    line = materialize(line.select("pattern", "most", F.size("w").alias("width"), F.when(F.col("side") == "<", F.element_at("w", -1)).otherwise(F.col("w")[0]).alias("word"), F.when(F.col("side") == "<", F.slice("w", -2, 2)).otherwise(F.col("w")).alias("pair")), n)
     words = _words(F.lower("text"))
-    none = F.array(F.lit(None).cast("string"))
-    around = _bound(words, lambda w: F.arrays_zip(w.alias("word"), F.concat(none, none, w).alias("b2"), F.concat(none, w).alias("b1"), F.slice(F.concat(w, none), 2, F.greatest(F.size(w), F.lit(1))).alias("a1")))
-    seen = docs.select(F.inline(around).alias("word", "b2", "b1", "a1")).where("word is not null")
-    seen = _near(seen, materialize(heads, n), "word", "left_semi")
-    joined = lambda *c: F.concat_ws(" ", *c)
-    whole = lambda c, *parts: F.when(F.col(c).isNotNull(), F.concat(*parts))
-    patterns = F.array(
-        F.concat(F.lit("<"), "word"), whole("b1", F.lit("<"), joined("b1", "word")), whole("b2", F.lit("<"), joined("b2", "b1", "word")),
-        F.concat(F.lit(">"), "word"), whole("a1", F.lit(">"), joined("word", "a1")),
-    )
+    # All words are summed within their tasks, so what leaves them is words, not places.
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("places"))
+    counts = materialize(_near(counts, materialize(line.select("word").distinct(), n), "word"), n)
+    line = materialize(line.join(counts, "word", "left").withColumn("places", F.coalesce("places", F.lit(0).cast("long"))), n)
+    one = line.where((F.col("width") == 1) & _enough("most", "places"))
+    # Of wide patterns the two words at the span are sought together, unless the one at the span never stands alone.
+    wide = line.where("width > 1 and places > 0").select("pattern", F.array_join("pair", " ").alias("pair"))
+    parts = [one.select("pattern", "places")]
+    if not wide.isEmpty():
+        none = F.array(F.lit(None).cast("string"))
+        around = _bound(words, lambda w: F.arrays_zip(w.alias("word"), F.concat(none, w).alias("b1"), F.concat(none, none, w).alias("b2")))
+        seen = docs.select(F.inline(around).alias("word", "b1", "b2")).where("word is not null and b1 is not null")
+        seen = _near(seen.select(F.concat_ws(" ", "b1", "word").alias("pair"), "b2"), materialize(wide.select("pair").distinct(), n), "pair", "left_semi")
+        patterns = F.array(F.concat(F.lit("<"), "pair"), F.concat(F.lit(">"), "pair"), F.when(F.col("b2").isNotNull(), F.concat(F.lit("<"), F.concat_ws(" ", "b2", "pair"))))
+        places = _near(seen.select(F.explode(patterns).alias("pattern")).where("pattern is not null"), wide.select("pattern"), "pattern", "left_semi")
+        parts.append(places.groupBy("pattern").agg(F.count("*").alias("places")))
+    left = materialize(one.select("pattern", "most").unionByName(line.where("width > 1").select("pattern", "most")), n)
+    if left.isEmpty():
+        return left.select("pattern", F.col("most").alias("places"))
     glued = F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_GLUED), F.lit(1)), _before))
-    places = seen.select(F.explode(patterns).alias("pattern")).where("pattern is not null")
-    places = _near(places, hopeful, "pattern", "left_semi").unionByName(_near(docs.select(F.explode(glued).alias("pattern")), hopeful, "pattern", "left_semi"))
-    return materialize(places.groupBy("pattern").agg(F.count("*").alias("places")), n)
+    parts.append(_near(docs.select(F.explode(glued).alias("pattern")), left, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("pattern").agg(F.sum("places").alias("places"))
+    return materialize(sums.join(left, "pattern").where(_enough("most", "places") & (F.col("places") > 0)).select("pattern", "places"), n)
+
+
+def _enough(most: str, places: str) -> Column:
+    """Whether a pattern could reach MIN_PRECISION: its precision is at most the share of its places that spans could prove,
+    as each place that becomes known adds one to the sum above and takes away half a place of doubt."""
+    return F.col(most) >= MIN_PRECISION * F.col(places) - 1e-6
 
 
 def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -188,16 +207,20 @@ def discover(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> tuple[
     if edges.isEmpty():
         return nothing
     # Patterns that could be trusted: enough seeds, or candidates beside enough seeds later on; and beside a candidate, or
-    # they can teach nothing. Their places are counted once.
+    # they can teach nothing; and enough of both for one kind. Their places are counted once.
     enough = lambda df, *by: df.groupBy(*by).agg(F.count_distinct("value").alias("n")).where(f"n >= {MIN_SUPPORT}").select("pattern")
     hopeful = enough(known, "pattern", "kind").union(enough(edges, "pattern")).distinct()
-    hopeful = materialize(hopeful.join(edges.select("pattern").distinct(), "pattern", "left_semi"), n)
+    hopeful = hopeful.join(edges.select("pattern").distinct(), "pattern", "left_semi")
+    names = F.array(*map(F.lit, KINDS))
+    fitting = edges.withColumn("kind", F.explode(F.array(*map(F.lit, range(len(KINDS)))))).where(_fits(F.element_at(names, F.col("kind") + 1), F.col("value")))
+    proofs = known.select("pattern", "kind", "value", "times").unionByName(fitting.select("pattern", "kind", "value", "times")).groupBy("pattern", "kind").agg(F.sum("times").alias("most"), F.count_distinct("value").alias("n"))
+    hopeful = materialize(hopeful.join(proofs.where(f"n >= {MIN_SUPPORT}").groupBy("pattern").agg(F.max("most").alias("most")), "pattern"), n)
     if hopeful.isEmpty():
         return nothing
     common = _counted(docs, hopeful, n)
-    names = F.array(*map(F.lit, KINDS))
-    fitting = edges.join(hopeful, "pattern", "left_semi").withColumn("kind", F.explode(F.array(*map(F.lit, range(len(KINDS)))))).where(_fits(F.element_at(names, F.col("kind") + 1), F.col("value")))
-    fitting = materialize(fitting.groupBy("pattern", "kind").agg(F.sum("times").alias("fitting")), n)
+    if common.isEmpty():
+        return nothing
+    fitting = materialize(fitting.join(common, "pattern", "left_semi").groupBy("pattern", "kind").agg(F.sum("times").alias("fitting")), n)
     known = known.withColumn("settled", F.lit(0).cast("long"))
     answers = None
     for _ in range(rounds):

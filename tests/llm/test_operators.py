@@ -381,6 +381,21 @@ def test_personal_data_in_copied_rows(spark):
     vague = {r.doc_id: r.spans for r in pii.spans_report(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).collect()}
     assert vague[13] == "" and vague[0] == "phone:8:25"  # the glued cue precedes other things more often
 
+def test_pii_common_words_leave_no_places(spark, monkeypatch):
+    """A word beside candidates that stands nearly everywhere can prove nothing; its places are summed, not passed on."""
+    counted, real = {}, pii._counted
+
+    def spy(docs, hopeful, n):
+        out = real(docs, hopeful, n)
+        counted.update({r.pattern: r.places for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(pii, "_counted", spy)
+    rows = [(k, f"la mar de sol de casa ref acct: +1 415 555 01{k:02d} end") for k in range(60)] + [(100 + k, f"fin de ref acct: 415555{k:04d} end") for k in range(8)] + [(200 + k, f"sol de 77{k:05d} mar") for k in range(8)]
+    got = {r.doc_id: r.spans for r in pii.spans_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert counted["<acct:"] == counted["<ref acct:"] == counted[">end"] == 68 and not {"<de", "<sol de", ">mar"} & set(counted)
+    assert all(got[100 + k] == "phone:17:27" for k in range(8)) and not any(got[200 + k] for k in range(8))
+
 
 def test_nearest(spark):
     vectors = table(spark, SF, "embeddings")
