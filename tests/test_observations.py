@@ -112,3 +112,17 @@ def test_frontier_keeps_all_rows(spark):
     rows = spark.createDataFrame([("t", "easy", 4, 9.0, 1), ("t", "frontier", 1, None, 2), ("t", "frontier", 2, 1.0, 3), ("t", "frontier", 2, 5.0, 4), ("u", None, None, None, 5)], "task string, bucket string, correct int, span double, ordinal int")
     assert {r.ordinal: r.frontier_selected for r in O.marked_frontier(rows, ["task"]).collect()} == {1: False, 2: False, 3: False, 4: True, 5: True}
     assert O.marked_frontier(rows.withColumn("x", F.lit(1)).limit(0), ["task"]).count() == 0
+
+
+def test_task_candidates_by_tasks_of_units(spark, monkeypatch):
+    """Tasks grow in number with the units, whatever the session's number of partitions; results are those of few tasks."""
+    units = spark.range(3000).select(
+        F.concat(F.lit("v"), F.col("id") % 50).alias("video"), F.concat(F.lit("u"), "id").alias("evidence_id"), F.col("id").cast("double").alias("start_sec"), (F.col("id") + 7.0).alias("end_sec"), F.lit("walks").alias("text"),
+        F.array(F.concat(F.lit("e"), F.col("id") % 3)).alias("entity_ids"), F.lit("b").alias("visible_preconditions"), F.lit("a").alias("visible_outcome"),
+    )
+    few = O.task_candidates(units, 2)
+    monkeypatch.setattr(O, "TASK_UNITS", 60)
+    many = O.task_candidates(units, 2)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(video" in plan and ", 50)" in plan and ", 4)" not in plan.replace("floor", "")
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() > 50 * 8
