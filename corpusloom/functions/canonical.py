@@ -8,7 +8,7 @@ and matrices by position, and the right side of ``k = ...``. Where only algebra
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,18 +47,34 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
+def _any_of(words: Iterable[str]) -> str:
+    """One pattern for all of the words, in which what they begin with alike is read once; a dot stands for any character."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[:1], []).append(w[1:])
+    ends = "" in first
+    parts = [k + _any_of(rest) for k, rest in first.items() if k]
+    found = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+    return (found + "?" if ends else found) if parts else ""
+
+
+def _sought(unit: str) -> str:
+    """What a text must contain if a unit is ever to come up in it: the unit, or its first word if dropping others could put it together."""
+    # what is dropped leaves the marks on both its sides, so only two marks side by side can be new
+    return re.match(r"[^ .]*", unit.strip())[0] if re.search(r"[\W_]{2}|\.", unit) else unit
+
+
 def without_units(text: Column) -> Column:
     """Unit words that stand apart are dropped, one unit after the other and twice over, unless nothing would be left."""
     units = [*UNITS, *(u + "s" for u in UNITS)]
-    # dropping never joins letters, so a unit whose first word is nowhere in a text never comes up in it
-    known = F.array(*[F.struct(F.lit(re.match(r"[^ .]*", u.strip())[0]).alias("word"), F.lit(rf"(?U)(^|\W){u}($|\W)").alias("pattern")) for u in units])
+    known = F.array(*[F.struct(F.lit(_sought(u)).alias("word"), F.lit(rf"(?U)(^|\W){u}($|\W)").alias("pattern")) for u in units])
     patterns = F.transform(F.filter(known, lambda u: F.contains(text, u["word"])), lambda u: u["pattern"])
 
     def drop(held: Column, pattern: Column) -> Column:
         return once(F.regexp_replace(held, pattern, F.lit("$1$2")), lambda left: F.when(left != "", left).otherwise(held))
 
     # most texts have none, and are read once
-    apart = rf"(?U)(?:^|\W)(?:{'|'.join(dict.fromkeys(units))})(?:$|\W)"
+    apart = rf"(?U)(?:^|\W){_any_of(dict.fromkeys(units))}(?:$|\W)"
     return F.when(text.rlike(apart), F.aggregate(once(patterns, lambda p: F.concat(p, p)), text, drop)).otherwise(text)
 
 
@@ -77,9 +93,10 @@ def number_words(text: Column) -> Column:
 
     def made(found: Column) -> Column:
         number = F.aggregate(found, start, step, lambda s: s["total"] + s["part"]).cast("string")
-        return F.when(text.rlike(r"^\d+$"), F.regexp_replace(text, r"^0+(?=\d)", "")).when((F.size(found) == 0) | F.array_contains(found, "point"), text).otherwise(number)
+        return F.when((F.size(found) == 0) | F.array_contains(found, "point"), text).otherwise(number)
 
-    return once(words, made)
+    # every number word has three letters in a row
+    return F.when(text.rlike(r"^\d+$"), F.regexp_replace(text, r"^0+(?=\d)", "")).when(text.rlike("[A-Za-z]{3}"), once(words, made)).otherwise(text)
 
 
 def _fractions(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Canonical answers and their equality on literals."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,13 @@ def test_choices_and_units(spark):
     units = {"3\\pi": "3*3.14", "\\pi": "3.14", "5%": "5/100", "$3": "3", "20°C": "20", "7°": "7", "{π}": "{3.14}"}
     rows = spark.createDataFrame([(t,) for t in units], "t string").select("t", C.clean_units(F.col("t")).alias("c")).collect()
     assert {r.t: r.c for r in rows} == units
+
+
+def test_units_are_sought_at_little_cost():
+    """All units make one pattern that reads their beginnings once, and a unit is only tried where its words can come up."""
+    units = [*C.UNITS, *(u + "s" for u in C.UNITS)]
+    found = C._any_of(dict.fromkeys(units))
+    assert C._any_of(["ab", "ac", "a"]) == "a(?:b|c)?"
+    for text in [*units, *(u + "x" for u in units), *(u[1:] for u in units), "", "q ;", "p x m"]:
+        assert bool(re.fullmatch(found, text)) == any(re.fullmatch(u, text) for u in units), text
+    assert [C._sought(u) for u in ("sq m", "m sqaure", "q .", "p . m", "v â € ™")] == ["sq m", "m sqaure", "q", "p", "v"]
