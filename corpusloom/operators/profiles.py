@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.canonical import once
+
 # Bounds of a profile.
 DEPTH, MOST_PATHS, MOST_VALUES, VALUE_CHARS, EMBEDDED_CHARS = 3, 40, 20, 160, 64 * 1024
 
@@ -15,10 +17,14 @@ def _is_object(value: Column) -> Column:
 
 def _opened(value: Column) -> Column:
     """The object in a variant, or in a text that is one whole JSON object; null for all else."""
-    text = F.when(F.schema_of_variant(value) == "STRING", F.trim(F.try_variant_get(value, "$", "string")))
-    embedded = F.when(text.startswith("{") & text.endswith("}") & (F.length(text) <= EMBEDDED_CHARS), F.try_parse_json(text))
-    found = F.coalesce(F.when(_is_object(value), value), embedded)
-    return F.when(_is_object(found), found)
+
+    def embedded(text: Column) -> Column:
+        found = F.when(text.startswith("{") & text.endswith("}") & (F.length(text) <= EMBEDDED_CHARS), F.try_parse_json(text))
+        return once(found, lambda o: F.when(_is_object(o), o))
+
+    # a text is parsed once, however often what it holds is asked for
+    text = lambda v: F.trim(F.try_variant_get(v, "$", "string"))
+    return once(value, lambda v: once(F.schema_of_variant(v), lambda kind: F.when(kind.startswith("OBJECT"), v).when(kind == "STRING", once(text(v), embedded))))
 
 
 def scalar_values(rows: DataFrame, column: str) -> DataFrame:
@@ -29,7 +35,7 @@ def scalar_values(rows: DataFrame, column: str) -> DataFrame:
     them, so 1.0 and 1 are one value.
     """
     tvf = rows.sparkSession.tvf
-    found = rows.select(_opened(F.try_parse_json(F.col(column))).alias("o0")).where("o0 is not null")
+    found = rows.select(_opened(F.try_parse_json(F.col(column))).alias("o0"))  # a filter here would parse every record anew
     for level in range(1, DEPTH + 1):
         opened = tvf.variant_explode_outer(F.col(f"o{level - 1}").outer()).select(F.col("key").alias(f"k{level}"), F.col("value").alias(f"v{level}"))
         found = found.lateralJoin(opened).withColumn(f"o{level}", _opened(F.col(f"v{level}")))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import embeddings, evidence
+from corpusloom.operators import embeddings, evidence, profiles
 from corpusloom.plans import catalog
 from corpusloom.sources import scans
 
@@ -77,3 +77,11 @@ def test_blocks_wider_than_their_products(spark):
     assert {r.id: r.nearest for r in embeddings.nearest_cosines(df, "id").collect()} == pytest.approx(dict(enumerate(near.max(axis=1))))
     a, b = slice(0, 1500), slice(1500, 3000)
     assert embeddings.rbf_mmd(df.where("id < 1500"), df.where("id >= 1500")) == pytest.approx(k[a, a].mean() + k[b, b].mean() - 2 * k[a, b].mean(), abs=1e-9)
+
+
+def test_profiles_parse_records_once(spark):
+    """However often the plan asks for what a record holds, its text is parsed once."""
+    rows = spark.createDataFrame([('{"a": 1, "b": " {\\"c\\": true}"}',), ("[1]",), ("x",), (None,)], "record string")
+    found = profiles.scalar_values(rows, "record")
+    assert found._jdf.queryExecution().executedPlan().toString().count("parseJson(record") == 1
+    assert sorted(map(tuple, found.collect())) == [("a", "1"), ("b.c", "true")]
