@@ -29,6 +29,8 @@ _AFTER_TEXT = (("x=", ""), ("y=", ""), ("z=", ""), ("x\\in", ""), ("y\\in", ""),
 # Number words.
 _SMALL = {w: k for k, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {w: 10 * k for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 _LARGE = {"thousand": 10**3, "million": 10**6, "billion": 10**9}
+# Fixed value: numbers that are their own canonical form, as no step below finds anything in them.
+_SETTLED = r"^-?(?:0|[1-9]\d*)(?:\.\d*[1-9])?\z"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -43,6 +45,11 @@ def replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def _unslashed(pairs: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
+    """The replacements that texts without a backslash can need."""
+    return tuple(p for p in pairs if "\\" not in p[0])
+
+
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
@@ -67,8 +74,10 @@ def _sought(unit: str) -> str:
 def without_units(text: Column) -> Column:
     """Unit words that stand apart are dropped, one unit after the other and twice over, unless nothing would be left."""
     units = [*UNITS, *(u + "s" for u in UNITS)]
-    known = F.array(*[F.struct(F.lit(_sought(u)).alias("word"), F.lit(rf"(?U)(^|\W){u}($|\W)").alias("pattern")) for u in units])
-    patterns = F.transform(F.filter(known, lambda u: F.contains(text, u["word"])), lambda u: u["pattern"])
+    # each list is one literal, so the analyser does not go through hundreds of them
+    listed = lambda texts: F.split(F.lit("\n".join(texts)), "\n")
+    words = listed(map(_sought, units))
+    patterns = F.filter(listed(rf"(?U)(^|\W){u}($|\W)" for u in units), lambda p, i: F.contains(text, words[i]))
 
     def drop(held: Column, pattern: Column) -> Column:
         return once(F.regexp_replace(held, pattern, F.lit("$1$2")), lambda left: F.when(left != "", left).otherwise(held))
@@ -80,8 +89,7 @@ def without_units(text: Column) -> Column:
 
 def number_words(text: Column) -> Column:
     """The number that the number words of a text make, other words aside; digits alone lose leading zeros; texts without any stay as they are."""
-    names = F.create_map(*[F.lit(x) for kv in _SMALL.items() for x in kv])
-    large = F.create_map(*[F.lit(x) for kv in _LARGE.items() for x in kv])
+    names, large = (F.str_to_map(F.lit(",".join(f"{w}:{k}" for w, k in known.items()))).cast("map<string,bigint>") for known in (_SMALL, _LARGE))
     words = F.filter(F.split(F.lower(F.replace(text, F.lit("-"), F.lit(" "))), r"\s+"), lambda w: F.map_contains_key(names, w) | F.map_contains_key(large, w) | w.isin("hundred", "point"))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("part"))
 
@@ -120,7 +128,13 @@ def _slash(text: Column) -> Column:
 
 def canonical_answer(text: Column, skip_unit: bool = False) -> Column:
     """The canonical form of an answer; null stays null."""
-    out = F.regexp_replace(replaced(_stripped(text), _BEFORE_UNITS[:1]), r"\.+\z", "")
+    # most answers are numbers or have no LaTeX, and need few of the steps
+    return once(_stripped(text), lambda t: F.when(t.rlike(_SETTLED), t).when(t.contains("\\"), _of_latex(t, skip_unit)).otherwise(_of_plain(t, skip_unit)))
+
+
+def _of_latex(text: Column, skip_unit: bool) -> Column:
+    """The canonical form of a text without white space at its ends, by all steps."""
+    out = F.regexp_replace(replaced(text, _BEFORE_UNITS[:1]), r"\.+\z", "")
     out = replaced(out, _BEFORE_UNITS[1:])
     out = F.regexp_replace(F.regexp_replace(out, r"\\begin\{array\}\{.*?\}", r"\\begin{pmatrix}"), r"\\end\{array\}", r"\\end{pmatrix}")
     out = replaced(out, _NAMES)
@@ -141,6 +155,26 @@ def canonical_answer(text: Column, skip_unit: bool = False) -> Column:
     return once(once(out, _fractions), _slash)
 
 
+def _of_plain(text: Column, skip_unit: bool) -> Column:
+    """What the steps come to for such a text without a backslash: none is in it until infinity gets one."""
+    out = F.regexp_replace(replaced(text, _BEFORE_UNITS[:1]), r"\.+\z", "")
+    out = _stripped(replaced(out, _unslashed(_NAMES)))
+    if not skip_unit:
+        out = once(out, without_units)
+    out = replaced(once(replaced(out, _unslashed(_SIGNS)), number_words), _unslashed(_AFTER_TEXT))
+    out = F.replace(out, F.lit("infinity"), F.lit("\\infty"))
+    out = once(out, lambda t: F.when(t.contains("\\infty"), t).otherwise(F.replace(t, F.lit("inf"), F.lit("\\infty"))))
+    out = F.replace(out, F.lit("and"), F.lit(""))
+
+    def marked(t: Column) -> Column:
+        out = F.when(t.contains("j") & ~t.contains("i"), F.replace(t, F.lit("j"), F.lit("i"))).otherwise(t)
+        out = F.regexp_replace(F.regexp_replace(out, r"(\d+)\.0*([^\d])", "$1$2"), r"(\d+)\.0*\z", "$1")
+        out = F.regexp_replace(F.regexp_replace(out, r"^\.", "0."), r"(?s)^[^=]{0,2}=([^=]*)\z", "$1")
+        return _slash(F.replace(out, F.lit(" "), F.lit("")))
+
+    return once(out, lambda t: F.when(t.rlike("[j.= /]"), marked(t)).otherwise(t))
+
+
 def clean_units(text: Column) -> Column:
     """Pi as 3.14, a percent sign as a division, money and degree signs dropped."""
     out = F.replace(text, F.lit("\\pi"), F.lit("π"))

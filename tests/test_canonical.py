@@ -96,3 +96,13 @@ def test_units_are_sought_at_little_cost():
     for text in [*units, *(u + "x" for u in units), *(u[1:] for u in units), "", "q ;", "p x m"]:
         assert bool(re.fullmatch(found, text)) == any(re.fullmatch(u, text) for u in units), text
     assert [C._sought(u) for u in ("sq m", "m sqaure", "q .", "p . m", "v â € ™")] == ["sq m", "m sqaure", "q", "p", "v"]
+
+
+def test_few_steps_give_the_form_of_all(spark):
+    """Numbers stay as they are, and texts without a backslash get by few steps what they get by all."""
+    texts = [*FORMS, "0", "-12", "0.5", "-30.05", "1" * 40, "x = j", "inf", "infinity and 1.0", "- 1 / 2", "1.50 .", "{.5", "tfrac", "dfrac12", "xsqrt2/3", "a.0b", "-0.50", "+1", "1\n", "and", ". ."]
+    t = F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")
+    rows = spark.createDataFrame([(t,) for t in texts if "\\" not in t], "t string").select(t.alias("t"))
+    got = rows.select("t", C._of_latex(F.col("t"), False).alias("all"), C._of_plain(F.col("t"), False).alias("few"), C.canonical_answer(F.col("t")).alias("c")).collect()
+    assert [r.t for r in got if not r.all == r.few == r.c] == []
+    assert [r.t for r in got if re.fullmatch(C._SETTLED[1:-2], r.t) and r.c != r.t] == [] and re.fullmatch(C._SETTLED[1:-2], "-30.05")

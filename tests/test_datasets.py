@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from corpusloom.functions import datasets as D
+from corpusloom.plans import catalog
 
 TRUTHS = [
     ("math", {"solution": "We get \\boxed{\\frac12}."}, "We get \\boxed{\\frac12}.", "\\frac{1}{2}"),
@@ -60,3 +61,13 @@ def test_answers(spark):
     rows = spark.createDataFrame([(k, d, t) for k, (d, t, _) in enumerate(ANSWERS)], "k int, d string, t string")
     got = {r.k: r.a for r in rows.select("k", D.extracted_answer(F.col("t"), F.col("d")).alias("a")).collect()}
     assert {k: v for k, v in got.items() if v != ANSWERS[k][2]} == {}
+
+
+def test_records_are_parsed_and_answered_once(spark):
+    """All three texts of a record come from one parse and one answer, and are those that are asked for alone."""
+    rows = [(d, json.dumps(r)) for d, r, *_ in TRUTHS + QUESTIONS] + [("gsm8k", "{"), ("svamp", "[1]"), ("math", None), (None, "{}")]
+    texts = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, d string, r string").select("k", "r", "d", D.record_texts(F.col("r"), F.col("d")).alias("t"))
+    alone = texts.select("k", "t", D.ground_truth(F.col("r"), F.col("d")).alias("truth"), D.question_text(F.col("r"), F.col("d")).alias("question"))
+    assert [r.k for r in alone.collect() if r.t != (*r.truth, r.question)] == []
+    plan = catalog.queries()["dataset_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("parseJson("), plan.count("$.target")) == (1, 1)
